@@ -13,8 +13,10 @@ from cairn.llm.components import components
 
 #: Words to a shingle, least similarity in percent.
 WIDTH, PERCENT = 5, 75
-#: Minima to a band, bands. A pair at 0.75 shares no band with probability 4e-6, at 0.8 with 4e-9.
+#: Minima to a band, bands (a power of two at most 64). A pair at 0.75 shares no band with probability 4e-6, at 0.8 with 4e-9.
 ROWS, BANDS = 6, 64
+#: Bands whose larger buckets are tried against their least node before all pairs are.
+STAR_BANDS = 16
 #: Two bits of each minimum make the sketch; links are estimated from it, and checked on full
 #: sets unless the estimate lies this many standard deviations below the threshold.
 SIGMAS = 5.5
@@ -60,7 +62,7 @@ def signature(s: np.ndarray, coefficients, rows: int, bands: int) -> tuple[np.nd
     key = np.zeros(bands, np.uint64)
     for i in range(rows):
         key = _mix(key * np.uint64(31) + mixed[i::rows])
-    key = _mix(key + np.arange(bands, dtype=np.uint64))
+    key = key << np.uint64(6) | np.arange(bands, dtype=np.uint64)  # the low bits tell the band
     two = (mixed & np.uint64(3)).astype(np.uint8).reshape(-1, 4)
     return key.view(np.int64), two[:, 0] | two[:, 1] << 2 | two[:, 2] << 4 | two[:, 3] << 6
 
@@ -133,21 +135,34 @@ def _verifier(width: int, percent: int):
     return run
 
 
-def _across(percent: int, fields: int):
-    """Pairs of different components in one block pair whose sketches agree enough."""
+def _across(width: int, percent: int, fields: int):
+    """Links between different components in one block pair: sketches first, then full sets."""
 
     def run(batches):
         least = least_agreement(percent, fields)
         for t in blocks.groups(batches, ["k", "_i", "_j"]):
-            node, comp, b = (t.column(c).to_numpy() for c in ("node", "comp", "_b"))
+            node, comp, b, n = (t.column(c).to_numpy() for c in ("node", "comp", "_b", "n"))
             sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
             i, j = t.column("_i")[0].as_py(), t.column("_j")[0].as_py()
-            rows = np.flatnonzero(b == i)
-            cols = np.flatnonzero(b == j)
+            rows, cols = np.flatnonzero(b == i), np.flatnonzero(b == j)
+            sets: dict[int, np.ndarray] = {}
+
+            def of(x, t=t, sets=sets):
+                if x not in sets:
+                    sets[x] = shingles(t.column("_text")[x].as_py(), width)
+                return sets[x]
+
             us, vs = [], []
             for r in rows:
                 c = cols[(comp[cols] != comp[r]) & ((node[cols] > node[r]) if i == j else True)]
-                c = c[_agreement(sk[r], sk[c]) >= least]
+                c = c[(100 * np.minimum(n[c], n[r]) >= percent * np.maximum(n[c], n[r])) & (_agreement(sk[r], sk[c]) >= least)]
+                if not len(c):
+                    continue
+                own, flat = of(r), np.concatenate([of(x) for x in c])
+                at = np.searchsorted(own, flat)
+                hit = own[np.minimum(at, len(own) - 1)] == flat
+                both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n[c])[:-1]]), dtype=np.int64)
+                c = c[100 * both >= percent * (n[c] + n[r] - both)]
                 us.append(np.maximum(node[c], node[r]))
                 vs.append(np.minimum(node[c], node[r]))
             if us:
@@ -165,11 +180,13 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
 
     1. Each text gives its set's minima under rows*bands universal hashes, as bands and as a
        sketch of two bits each. Equal sets become one node.
-    2. In every bucket (nodes that share a band), all are tried against its least and largest
-       node: first by sketch, then on full sets. Links found give components.
-    3. In buckets of four or more that still hold two components, all pairs of different
-       components are tried the same way, in blocks of bounded size, so that no link is lost
-       and pairs already connected are never made. Components are then taken over all links.
+    2. The two nodes of a bucket (nodes that share a band) of two, and in the first bands every
+       node and the least of its bucket, are tried: by sketch, then on full sets. The links
+       found give components.
+    3. In buckets of three or more that still hold two components, all pairs of different
+       components are tried the same way inside blocks of bounded size, so that no link is
+       lost; pairs already connected are never made, and only links leave the blocks.
+       Components are then taken over all links.
 
     Null texts and texts without words have no shingles and link with nothing, whatever else
     is equal; null doc_ids take part in links, and alone they have a null component and are
@@ -185,28 +202,26 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     placed = nodes.select("node", F.explode("bands").alias("k"))
     buckets = save(placed.groupBy("k").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count(F.lit(1)).alias("c")).filter("c > 1"))
     members = save(placed.join(buckets.filter("c > 2"), "k"))
-    stars = buckets.select(F.col("b").alias("u"), F.col("a").alias("v"))
-    stars = stars.unionByName(members.filter("node <> a").select(F.col("node").alias("u"), F.col("a").alias("v")))
-    stars = save(stars.unionByName(members.filter("node <> b").select(F.col("b").alias("u"), F.col("node").alias("v"))).distinct())
+    stars = buckets.filter("c = 2").select(F.col("b").alias("u"), F.col("a").alias("v"))
+    led = members.filter((F.col("node") != F.col("a")) & (F.col("k").bitwiseAND(63) < STAR_BANDS))
+    stars = save(stars.unionByName(led.select(F.col("node").alias("u"), F.col("a").alias("v"))).distinct())
     some = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).unionByName(members.select("node")).distinct()
     wanted = nodes.join(some, "node", "left_semi").select("node", "_key")
     texts = save(slim.select("_key", "_text").join(wanted.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]).join(wanted, "_key").select("node", "_text"))
     sketches = nodes.select("node", "sketch")
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        x, y = (texts.select(F.col("node").alias(n), F.col("_text").alias(t)) for n, t in (("u", "tx"), ("v", "ty")))
-        return save(pairs.join(x, "u").join(y, "v").select("u", "v", "tx", "ty").mapInArrow(_verifier(width, percent), "u long, v long"))
-
     x, y = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(s)) for n, s in (("u", "sx"), ("v", "sy")))
     tried = stars.join(x, "u").join(y, "v").mapInArrow(_sketched(percent, fields), "u long, v long")
-    links = verified(tried)
+    x, y = (texts.select(F.col("node").alias(n), F.col("_text").alias(t)) for n, t in (("u", "tx"), ("v", "ty")))
+    links = save(tried.join(x, "u").join(y, "v").select("u", "v", "tx", "ty").mapInArrow(_verifier(width, percent), "u long, v long"))
     found = save(components(links))
-    # a bucket of two or three has had all its pairs tried
-    apart = members.filter("c > 3").join(found, "node", "left").select("k", "c", "node", F.coalesce("component", "node").alias("comp"))
+    # buckets of two have had their pair tried
+    apart = members.join(found, "node", "left").select("k", "c", "node", F.coalesce("component", "node").alias("comp"))
     mixed = apart.groupBy("k").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x < _y").select("k")
-    open_rows = apart.join(mixed, "k", "left_semi").join(sketches, "node")
-    more = save(blocks.deal(open_rows, "k", "c", "node").select("k", "_i", "_j", "_b", "node", "comp", "sketch").mapInArrow(_across(percent, fields), "u long, v long").distinct())
-    late = verified(more)
+    held = nodes.select("node", "n", "sketch").join(texts, "node")
+    open_rows = apart.join(mixed, "k", "left_semi").join(held, "node")
+    dealt = blocks.deal(open_rows, "k", "c", "node").select("k", "_i", "_j", "_b", "node", "comp", "n", "sketch", "_text")
+    late = save(dealt.mapInArrow(_across(width, percent, fields), "u long, v long").distinct())
     if not late.isEmpty():
         stars_now = found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
         found = save(components(stars_now.unionByName(late)))
