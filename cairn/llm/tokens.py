@@ -75,7 +75,7 @@ class PrefixCounter:
         last: list[bytes] = [b""] * (n + 1)
         count = [0] * (n + 1)
         for end in range(1, n + 1):
-            for start in range(max(0, end - self.longest), end):
+            for start in range(end - 1, max(-1, end - self.longest - 1), -1):  # one suffix at most fits; short ones are likelier
                 t = b[start:end]
                 if t in vocab:
                     pair = (last[start], t)
