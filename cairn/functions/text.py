@@ -111,3 +111,8 @@ def stable_id(prefix: str, length: int, *parts: Column) -> Column:
 def identity_codes(text: Column) -> Column:
     """Codes such as AB-12: up to eight letters, a separator or none, two digits or more."""
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(r"\b[A-Za-z]{1,8}[-/]?\d{2,}\b"), F.lit(0)), F.upper))
+
+
+def claim_text(claim: Column) -> Column:
+    """A claim as it is scored: trimmed, runs of white space as one."""
+    return F.trim(F.regexp_replace(claim, r"\s+", " "))

@@ -14,12 +14,13 @@ def diff_snapshot(old: DataFrame, new: DataFrame, key: str, quick: Sequence[str]
     """(key, change): added, removed, changed, touched or same.
 
     Rows whose quick columns (size, time) agree are the same without a look at their content
-    hash; equal hashes under other quick columns are only touched.
+    hash; equal hashes under other quick columns are only touched. Without quick columns the
+    hash decides.
     """
     o = old.select(key, *(F.col(c).alias(f"_o_{c}") for c in (*quick, content)), F.lit(True).alias("_old"))
     both = o.join(new.select(key, *quick, content, F.lit(True).alias("_new")), key, "full")
     same = F.lit(True)
-    for c in quick:
+    for c in quick or [content]:
         same = same & F.col(c).eqNullSafe(F.col(f"_o_{c}"))
     change = F.when(F.col("_old").isNull(), "added").when(F.col("_new").isNull(), "removed").when(same, "same").when(F.col(content).eqNullSafe(F.col(f"_o_{content}")), "touched").otherwise("changed")
     return both.select(key, change.alias("change"))
@@ -154,7 +155,7 @@ def transitions(journal: DataFrame, file: str) -> DataFrame:
     """Changes of each file in order: apply reads forward, undo backward. (file, seq, ord, before, after)."""
     at = F.when(F.col("kind") == "undo", -F.col("ord")).otherwise(F.col("ord"))
     turned = lambda c, d: F.when(F.col("kind") == "undo", F.col(d)).otherwise(F.col(c))
-    w = Window.partitionBy(file).orderBy("seq", at)
+    w = Window.partitionBy(file).orderBy("seq", at, "before")
     return journal.select(file, "seq", "ord", "kind", turned("before", "after").alias("before"), turned("after", "before").alias("after"), F.row_number().over(w).alias("step"))
 
 

@@ -62,7 +62,7 @@ def similar_pairs(vectors: DataFrame, key: str, block: str, vec: str = "embeddin
 
 def rule_drift(pages: DataFrame) -> DataFrame:
     """(id, drift) for pages (id, type, slug, depth) against their rule (rule_type, slug_pattern, rule_depth)."""
-    drift = F.when(F.col("type") != F.col("rule_type"), "type").when(~F.col("slug").rlike(F.col("slug_pattern")), "slug").when(F.col("depth") > F.col("rule_depth"), "depth")
+    drift = F.when(F.col("type") != F.col("rule_type"), "type").when(~F.rlike("slug", F.col("slug_pattern")), "slug").when(F.col("depth") > F.col("rule_depth"), "depth")
     return pages.select("id", drift.alias("drift")).filter("drift IS NOT NULL")
 
 
@@ -87,6 +87,6 @@ def verify_run(before: DataFrame, after: DataFrame, attributed: DataFrame) -> Da
     """(path, change, attributed): file changes of a run, and whether the run recorded them."""
     from cairn.operators.evidence import diff_snapshot
 
-    d = diff_snapshot(before, after, "path", ["hash"], "hash").filter("change <> 'same'")
+    d = diff_snapshot(before, after, "path", [], "hash").filter("change <> 'same'")
     own = attributed.select("path").distinct().withColumn("_own", F.lit(True))
     return d.join(own, "path", "left").select("path", "change", F.coalesce("_own", F.lit(False)).alias("attributed"))
