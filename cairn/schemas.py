@@ -9,8 +9,27 @@ from pyspark.sql import types as T
 SCHEMA_VERSION = 1
 
 
+_SIMPLE = {"string": T.StringType(), "int": T.IntegerType(), "long": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(), "date": T.DateType(), "timestamp": T.TimestampType()}
+
+
+def _type(text: str) -> T.DataType:
+    if text.startswith("array<"):
+        return T.ArrayType(_type(text[6:-1]))
+    if text.startswith("struct<"):
+        return _schema(text[7:-1].replace(":", ""))
+    return _SIMPLE[text]
+
+
 def _schema(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
+    """A schema from ``name type, ...`` without a session."""
+    fields, depth, start = [], 0, 0
+    for i, c in enumerate(ddl + ","):
+        depth += (c == "<") - (c == ">")
+        if c == "," and not depth:
+            name, kind = ddl[start:i].strip().split(" ", 1)
+            fields.append(T.StructField(name, _type(kind)))
+            start = i + 1
+    return T.StructType(fields)
 
 
 PAGES = _schema("id string, slug string, rel_path string, title string, type string, tags array<string>, role string, frontmatter string, body_hash string, summary string, aliases array<string>, about array<string>, source_fence_line int, body_line int, line_count int, bytes long, created_at timestamp, updated_at timestamp")
