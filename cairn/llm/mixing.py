@@ -35,8 +35,8 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], share: float, cap
     return run.select("_null", "_src", "source_size", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = SEED, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
-    """Every row of docs with __size, __source_size, __target, __copies and __taken.
+def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = SEED, text: str = "text", source: str = "source", doc_id: str = "doc_id", carry: Sequence[str] | None = None) -> DataFrame:
+    """Every row of docs, or its columns ``carry``, with __size, __source_size, __target, __copies and __taken.
 
     A document's expected copies are its source's target over its source's size, at most
     ``cap``. The prefix sum of these within the source, from the largest document down, plus
@@ -53,12 +53,14 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
     sizes = save(keyed.groupBy("_null", "_src").agg(F.sum("__size").alias("source_size")))
     targets = source_targets(sizes, weights, share, cap)
     order = [F.col("__size").desc(), F.col(doc_id).asc_nulls_last(), F.col("_hash")]
+    carried = list(docs.columns if carry is None else carry)
+    keyed = keyed.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carried, doc_id])), "_null", "_src", "__size", "_hash")
     ranked = number_rows(keyed, ["_null", "_src"], order, "_rank").join(targets.withColumnsRenamed({"source_size": "__source_size", "target": "__target"}), ["_null", "_src"])
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.when(F.col("_null"), "n").otherwise("s"), F.col("_src"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     copies = F.floor(F.col("_rank") * rate + offset) - F.floor((F.col("_rank") - 1) * rate + offset)
     out = ranked.withColumn("__copies", copies.cast("long")).withColumn("__taken", F.col("__copies") * F.col("__size"))
-    return out.select(*(f"`{c}`" for c in docs.columns), "__size", "__source_size", "__target", "__copies", "__taken")
+    return out.select(*(f"`{c}`" for c in carried), "__size", "__source_size", "__target", "__copies", "__taken")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:

@@ -11,9 +11,7 @@ SHARDS, TOKEN_LIMIT = 16, 512
 
 
 def op1_mixing(spark, sf_dir):
-    docs = common.table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    slim = docs.withColumn("text", F.col("text"))
-    out = mixing.plan_mix(slim)
+    out = mixing.plan_mix(common.table(spark, sf_dir, "documents"), carry=["doc_id"])
     return out.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), F.col("__taken").alias("taken"))
 
 
