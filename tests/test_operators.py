@@ -267,3 +267,32 @@ def test_schema_guard(spark):
     with pytest.raises(ValueError, match="line"):
         schemas.validate(df.drop("line"), schemas.LINKS)
     assert schemas.outside(spark.createDataFrame([("knowledge",), ("bad",), (None,)], "role string"), "role", schemas.ROLES).count() == 1
+
+
+def test_unicode_and_stems(spark):
+    from cairn.functions.unicode import fold, fold_diacritics, nfkc, porter, porter_stems
+
+    pairs = "caresses caress ponies poni ties ti cats cat feed feed agreed agre plastered plaster motoring motor sing sing conflated conflat troubled troubl sized size hopping hop falling fall failing fail filing file happy happi sky sky relational relat conditional condit rational ration digitizer digit operator oper feudalism feudal decisiveness decis hopefulness hope triplicate triplic formative form formalize formal electrical electr goodness good revival reviv allowance allow inference infer adjustable adjust replacement replac adoption adopt effective effect probate probat rate rate cease ceas controll control roll roll".split()
+    assert [porter(w) for w in pairs[::2]] == pairs[1::2]
+    assert fold("Éǆ ﬁ ö") == "Edz fi o"
+    r = spark.createDataFrame([("É ﬁ", ["cats", "ties", "cats"]), (None, None)], "t string, w array<string>").select(fold_diacritics(F.col("t")), nfkc(F.col("t")), porter_stems(F.col("w"))).collect()
+    assert tuple(r[0]) == ("E fi", "É fi", ["cat", "ti", "cat"]) and tuple(r[1]) == (None, None, None)
+
+
+def test_changes_to_files(spark):
+    from cairn.operators import changes as C
+
+    files = spark.createDataFrame([("a.md", "A [[x/old]] [[x/old|t]]"), ("x/old.md", "O"), ("x/old/pic.png", "P"), ("x/older.md", "Q")], "path string, text string")
+    links = spark.createDataFrame([("a.md", "x/old")], "from_page string, to_slug string")
+    moved = {r["path"]: r["text"] for r in C.move(files, links, "x/old.md", "y/new.md").collect()}
+    assert moved == {"a.md": "A [[y/new]] [[y/new|t]]", "y/new.md": "O", "y/new/pic.png": "P", "x/older.md": "Q"}
+    edits = spark.createDataFrame([("a.md", "append", "more"), ("n.md", "create", "N"), ("x/old.md", "create", "no"), ("zz.md", "append", "no")], "path string, mode string, text string")
+    after, journal = C.apply(files, edits, "c")
+    assert {r["path"] for r in journal.collect()} == {"a.md", "n.md"}
+    assert sorted(map(tuple, C.undo(after, journal).collect())) == sorted(map(tuple, files.collect()))
+    touched = after.withColumn("text", F.when(F.col("path") == "n.md", "changed").otherwise(F.col("text")))
+    assert sorted(map(tuple, C.undo(touched, journal).collect())) == sorted(map(tuple, touched.collect()))  # no longer what the change left
+    stay, gone = C.forget(files, spark.createDataFrame([("a.md",), ("none",)], "path string"), "path")
+    assert stay.count() == 3 and [r["path"] for r in gone.collect()] == ["a.md"]
+    d = spark.createDataFrame([(1, None, "s"), (2, None, "s"), (3, "p", "t"), (4, None, "taken")], "document int, page_id string, slug string")
+    assert [tuple(r) for r in C.adopt(d, spark.createDataFrame([("taken",)], "slug string")).collect()] == [("s", 1)]
