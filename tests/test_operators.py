@@ -296,3 +296,26 @@ def test_changes_to_files(spark):
     assert stay.count() == 3 and [r["path"] for r in gone.collect()] == ["a.md"]
     d = spark.createDataFrame([(1, None, "s"), (2, None, "s"), (3, "p", "t"), (4, None, "taken")], "document int, page_id string, slug string")
     assert [tuple(r) for r in C.adopt(d, spark.createDataFrame([("taken",)], "slug string")).collect()] == [("s", 1)]
+
+
+def test_index_again_equals_rebuild(spark, tmp_path):
+    from cairn.plans import index as I
+
+    root, out = tmp_path / "kb", str(tmp_path / "idx")
+    (root / "n").mkdir(parents=True)
+    (root / "a.md").write_text(PAGE + "\nSee [[b]] and [c](n/c.md)")
+    (root / "b.md").write_text("# B\nback to [[a]]")
+    (root / "n" / "c.md").write_text("# C")
+    (root / "pic.png").write_bytes(b"x")
+    I.index(spark, str(root), out, 1)
+    (root / "b.md").write_text("# B\nnow to [[gone]] instead")
+    (root / "n" / "c.md").rename(root / "n" / "d.md")
+    change = {r["rel_path"]: r["change"] for r in I.index(spark, str(root), out, 2, before=1).collect()}
+    assert change == {"a.md": "same", "b.md": "changed", "n/c.md": "removed", "n/d.md": "added", "pic.png": "same"}
+    I.index(spark, str(root), out, 3)
+    for name in I.TABLES:
+        a, b = (sorted(map(str, I.table(spark, out, v, name).select(*sorted(I.table(spark, out, v, name).columns)).collect())) for v in (2, 3))
+        assert a == b, name
+    links = {(r["from_page"], r["to_slug"]): r["broken"] for r in I.table(spark, out, 2, "links").collect()}
+    assert links == {("a", "ann"): True, ("a", "b"): False, ("a", "n/c"): True, ("b", "gone"): True}
+    assert [tuple(r) for r in I.moved(spark, out, 1, 2).collect()] == [("n/c.md", "n/d.md")]
