@@ -72,6 +72,9 @@ def test_article_of_a_page():
     assert pages.extract(None) == pages.extract("") == ""
     assert pages.extract("<div><p>Only</p> tail") == "Only\ntail"
     assert pages.extract("plain &lt;text&gt;") == "plain <text>"
+    wrapped = "<body><div class='page with-sidebar'><article><div class='post-header'><h1>T</h1></div><p>B</p><div class='share-bar'>S</div></article><div class='sidebar'>X</div></div></body>"
+    assert pages.extract(wrapped) == "T\nB"
+    assert pages.extract("<article><p>a</p><p hidden>b</p><div style='display: none'>c</div></article>") == "a"
     deep = "<div>" * 5000 + "x" + "</div>" * 5000
     assert pages.extract(deep) == "x"
 
