@@ -74,6 +74,15 @@ def traverse(edges: DataFrame, seeds: DataFrame, hops: int = 2, direction: str =
     spark = edges.sparkSession
     if relations:
         edges = edges.filter(F.col("relation").isin(*relations))
+    # every hop reads the edges: kept in memory, or on disk where they do not fit
+    held = edges.select("id", "from_node", "to_node", "relation", "confidence").persist()
+    try:
+        return _levels(spark, held, seeds, hops, direction, limit, fan_out)
+    finally:
+        held.unpersist()
+
+
+def _levels(spark, edges: DataFrame, seeds: DataFrame, hops: int, direction: str, limit: int, fan_out: int) -> DataFrame:
     kind = "seed string, node string, confidence double, path array<string>, _at long"
     level = [(r["seed"], r["seed"], 1.0, [r["seed"]], 0) for r in seeds.select("seed").distinct().collect()]
     seen = {(s, n) for s, n, *_ in level}
