@@ -10,14 +10,22 @@ BASE, LOWEST, HIGHEST = 0.62, 0.05, 0.98
 HEDGE, QUESTION, UNCHECKED = -0.28, -0.30, -0.25
 KEYED, DIGIT, MEASURE, SUBJECT, ATTRIBUTE = 0.14, 0.08, 0.07, 0.06, 0.04
 INFLATED, SHORT_SOURCE, TWO_WORDS, THREE_WORDS, LABEL, NOTHING_SAID, BARE_VALUE = -0.12, -0.15, -0.34, -0.16, -0.20, -0.12, -0.30
+#: Words that hedge, verbs, and the patterns of a signal.
 HEDGES = ("maybe", "perhaps", "probably", "possibly", "might", "i think", "not sure", "unclear", "apparently", "allegedly")
 VERBS = ("is", "are", "was", "were", "has", "have", "had", "will", "can", "does", "did", "runs", "uses", "costs", "lives", "works", "owns", "expires", "starts", "ends")
 
+KEY_CLAIM = r"^[A-Z][^:]{1,40}:\s*\S"
+UNCHECKED_TASK = r"^\s*[-*]\s*\[ \]"
+KEY_LINE = r"^\s*[-*]\s*\*?\*?[A-Z][^:]{1,40}:?\*?\*?\s*[:|]\s*\S"
+MEASURED = r"(?i)\d{4}-\d{2}-\d{2}|[€$£]\s?\d|\b\d+(?:[.,]\d+)?\s?(?:%|eur|usd|gbp|kg|km|months?|years?)\b"
+LABEL_ONLY = r"^[A-Z][A-Za-z]*$|^[A-Z][A-Z\s]+$"
+VALUE_ONLY = r"^[\d\s,.:/–—-]+$"
+
 
 def confidence(source: Column, claim: Column, subject: Column, attribute: Column) -> Column:
     """Score of a claim against its source line, 0.05 to 0.98, to two decimals."""
     words = F.size(F.filter(F.split(F.trim(claim), r"\s+"), lambda w: w != ""))
-    keyed = claim.rlike(r"^[A-Z][^:]{1,40}:\s*\S")
+    keyed = claim.rlike(KEY_CLAIM)
     verb = claim.rlike(r"(?i)\b(" + "|".join(VERBS) + r")\b")
     low = F.lower(source)
     hedged = F.lit(False)
@@ -26,19 +34,19 @@ def confidence(source: Column, claim: Column, subject: Column, attribute: Column
     signals = [
         (hedged, HEDGE),
         (F.rtrim(source).endswith("?"), QUESTION),
-        (source.rlike(r"^\s*[-*]\s*\[ \]"), UNCHECKED),
-        (source.rlike(r"^\s*[-*]\s*\*?\*?[A-Z][^:]{1,40}:?\*?\*?\s*[:|]\s*\S"), KEYED),
+        (source.rlike(UNCHECKED_TASK), UNCHECKED),
+        (source.rlike(KEY_LINE), KEYED),
         (source.rlike(r"\d"), DIGIT),
-        (source.rlike(r"(?i)\d{4}-\d{2}-\d{2}|[€$£]\s?\d|\b\d+(?:[.,]\d+)?\s?(?:%|eur|usd|gbp|kg|km|months?|years?)\b"), MEASURE),
+        (source.rlike(MEASURED), MEASURE),
         (F.trim(F.coalesce(subject, F.lit(""))) != "", SUBJECT),
         (F.trim(F.coalesce(attribute, F.lit(""))) != "", ATTRIBUTE),
         (F.length(claim) > F.length(source) * 2.5 + 40, INFLATED),
         (F.length(F.trim(source)) < 12, SHORT_SOURCE),
         (~keyed & (words < 3), TWO_WORDS),
         (~keyed & (words == 3), THREE_WORDS),
-        (F.trim(claim).rlike(r"^[A-Z][A-Za-z]*$|^[A-Z][A-Z\s]+$"), LABEL),
+        (F.trim(claim).rlike(LABEL_ONLY), LABEL),
         ((words < 6) & ~claim.rlike(r"\d") & ~verb, NOTHING_SAID),
-        (~keyed & claim.rlike(r"^[\d\s,.:/–—-]+$"), BARE_VALUE),
+        (~keyed & claim.rlike(VALUE_ONLY), BARE_VALUE),
     ]
     total = F.lit(BASE)
     for on, by in signals:

@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 #: What separates tokens, and words that carry no content.
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "which", "will", "with")
+#: The forms of an attribute line and of a table row, and values that are links.
+KEY_VALUE = r"^\s*(?:[-*+]\s*)?(?:\*\*|__)?([A-Za-z][\w\s'/-]{1,40}?)(?:\*\*|__)?\s*:\s*(.+?)\s*$"
+TABLE_ROW = r"^\s*\|\s*(?:\*\*)?([A-Za-z][\w\s'/-]{1,40}?)(?:\*\*)?\s*\|\s*(.+?)\s*\|"
+LINK_VALUE = r"^//|^https?:|^\[\["
 #: A value that can conflict has a digit or one of these words.
 DECISIVE = ("yes", "no", "true", "false", "none", "active", "inactive", "expired", "cancelled", "monthly", "weekly", "annual", "annually")
 
@@ -73,13 +77,11 @@ def conflicts(x: Column, y: Column) -> Column:
 
 def attribute_value(line: Column) -> Column:
     """(attribute, value) of a ``Key: value`` line or table row whose value is decisive; else null."""
-    key = r"^\s*(?:[-*+]\s*)?(?:\*\*|__)?([A-Za-z][\w\s'/-]{1,40}?)(?:\*\*|__)?\s*:\s*(.+?)\s*$"
-    row = r"^\s*\|\s*(?:\*\*)?([A-Za-z][\w\s'/-]{1,40}?)(?:\*\*)?\s*\|\s*(.+?)\s*\|"
-    pick = lambda i: F.when(line.rlike(row), F.regexp_extract(line, row, i)).otherwise(F.regexp_extract(line, key, i))
+    pick = lambda i: F.when(line.rlike(TABLE_ROW), F.regexp_extract(line, TABLE_ROW, i)).otherwise(F.regexp_extract(line, KEY_VALUE, i))
     name = F.trim(F.regexp_replace(F.regexp_replace(F.lower(pick(1)), "[*_`]", ""), r"\s+", " "))
     value = F.trim(pick(2))
     hard = value.rlike(r"(?i)\d|\b(" + "|".join(DECISIVE) + r")\b")
-    plain = ~value.rlike(r"^//|^https?:|^\[\[") & ~line.rlike(r"^\s*#{1,6}\s")
+    plain = ~value.rlike(LINK_VALUE) & ~line.rlike(r"^\s*#{1,6}\s")
     return F.when((name != "") & (value != "") & hard & plain, F.struct(name.alias("attribute"), value.alias("value")))
 
 
