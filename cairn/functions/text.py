@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 #: What separates tokens, and words that carry no content.
 NOT_ALNUM = r"[^\p{L}\p{N}]+"
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "has", "have", "in", "is", "it", "its", "of", "on", "or", "that", "the", "this", "to", "was", "were", "which", "will", "with")
+STOP_WORDS = ("the", "a", "an", "and", "or", "of", "to", "in", "on", "at", "for", "with", "is", "are", "was", "were", "be", "been", "has", "have", "had", "this", "that", "these", "those", "it", "its", "as", "by", "from", "usually", "often", "always", "each", "every", "they", "them", "their", "we", "our", "us", "he", "she", "his", "her", "you", "your", "user", "users")
+#: Words of a question that are no search terms.
+QUERY_STOP_WORDS = ("the", "a", "an", "of", "for", "is", "are", "was", "were", "be", "what", "when", "which", "who", "whom", "how", "does", "do", "did", "in", "on", "at", "to", "and", "or", "with", "by", "from", "this", "that", "it", "its", "there", "their")
 #: The forms of an attribute line and of a table row, and values that are links.
 KEY_VALUE = r"^\s*(?:[-*+]\s*)?(?:\*\*|__)?([A-Za-z][\w\s'/-]{1,40}?)(?:\*\*|__)?\s*:\s*(.+?)\s*$"
 TABLE_ROW = r"^\s*\|\s*(?:\*\*)?([A-Za-z][\w\s'/-]{1,40}?)(?:\*\*)?\s*\|\s*(.+?)\s*\|"
@@ -38,6 +40,14 @@ def light_stem(word: Column) -> Column:
     )
 
 
+def term_overlap(line: Column, queries: list[str]) -> Column:
+    """How many of the queries' terms, stop words aside and lightly stemmed, a line has."""
+    terms = {light_stem_of(w) for q in queries for t in match_terms(q) for w in t.replace("'", " ").replace("-", " ").split() if len(w) > 1 and w not in QUERY_STOP_WORDS}
+    if not terms:
+        return F.lit(0)
+    return F.size(F.array_intersect(F.transform(tokens(line), light_stem), F.array(*(F.lit(t) for t in sorted(terms)))))
+
+
 def light_stem_of(word: str) -> str:
     """light_stem() of a plain string."""
     for least, end in ((4, "ies"), (3, "es"), (3, "s")):

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 #: Word families, tried in this order.
 FAMILIES = (
-    ("discussion", r"(?i)\b(if|unless|suppose|assuming|provided that)\b"),
-    ("history", r"(?i)\b(rejected|declined|cancelled|abandoned|no longer)\b"),
-    ("discussion", r"(?i)\b(maybe|perhaps|might|possibly|tentatively|not sure)\b"),
-    ("reports", r"^\s*(user|assistant|system):"),
-    ("reports", r"(?i)\b(said|says|told|according to|claims?|reported)\b"),
+    ("discussion", r"(?i)\b(?:if|suppose|assuming|hypothetical|counterfactual|what if|would have)\b|(?:^|[^\p{L}])(?:если|предположим|допустим|гипотез\p{L}*|гипотетическ\p{L}*|контрфактическ\p{L}*)(?:$|[^\p{L}])"),
+    ("history", r"(?i)\b(?:rejected|cancelled|canceled|not decided|not accepted|did not choose)\b|(?:отклон\p{L}*|отмен\p{L}*|не решено|не выбрал\p{L}*|решение не принято)"),
+    ("discussion", r"(?i)\b(?:might|maybe|perhaps|possibly|probably|suspect|uncertain|tentative|would|could)\b|(?:^|[^\p{L}])(?:возможно|вероятно|может быть|подозрева\p{L}*|не уверен\p{L}*)(?:$|[^\p{L}])"),
+    ("reports", r"(?i)^\s*(?:[-*]\s*)?(?:\*\*)?(?:user|assistant|system|external|пользователь|ассистент|система)(?:\*\*)?\s*:"),
+    ("reports", r"(?i)\b(?:said|says|reported|reports|according to|quoted|quotation)\b|(?:^|[^\p{L}])(?:сказал\p{L}*|сообщил\p{L}*|по словам|цитат\p{L}*)(?:$|[^\p{L}])"),
     ("reports", r"^\s*[>\"“«]"),
-    ("planning", r"(?i)\b(plan to|plans to|will|going to|intend to)\b"),
+    ("planning", r"(?i)\b(?:plan(?:s|ned|ning)? to|propos(?:e|ed|al)|intend(?:s)? to)\b|(?:планиру\p{L}*|намерева\p{L}*|предлага\p{L}*)"),
     ("planning", r"^\s*[-*]\s*\[ \]"),
     ("questions", r"\?\s*$"),
 )

@@ -18,8 +18,8 @@ from cairn.operators import temporal as T
 from cairn.operators.filters import recall_filter
 
 #: Wording that tells what kind of answer a query wants.
-EXPLORE = ("everything about", "tell me about", "overview of", "summarize", "explore", "what do we know")
-QUESTION_WORDS = ("who", "what", "when", "where", "why", "how", "which", "whose")
+EXPLORE = ("anything about", "everything about", "all about", "what do we know", "what do you know", "tell me about", "overview of", "summarize", "summarise", "remind me about")
+QUESTION_WORDS = ("who", "what", "when", "where", "why", "how", "which", "whose", "whom", "is", "are", "was", "were", "do", "does", "did", "can", "could", "should", "would", "will", "have", "has", "am")
 VIEW_WORDS = (
     ("reports", r"\b(said|says|told|reported|according to)\b"),
     ("questions", r"\b(open questions?|unanswered|what did .* ask)\b"),

@@ -8,7 +8,7 @@ from cairn.functions.confidence import BASE, confidence
 from cairn.functions.text import attribute_value, claim_text, conflicts
 from cairn.operators import evidence as E
 from cairn.operators.filters import apply_rules, chunk_view, view_eligible
-from cairn.operators.prose import classify_line
+from cairn.operators.prose import FAMILIES, classify_line
 from cairn.registry import query
 from cairn.sources.tables import read
 
@@ -112,7 +112,7 @@ def attribute_values(spark, sf_dir):
 def confidence_score(spark, sf_dir):
     o = read(spark, sf_dir, "orders", "o_orderkey", "o_custkey")
     k = F.col("o_orderkey")
-    source = F.concat(F.when(k % 5 == 0, "Perhaps order ").otherwise("The order "), F.lit("was sent to customer "), "o_custkey", F.when(k % 3 == 0, " for 12 kg").otherwise(" in time"), F.when(k % 7 == 0, "?").otherwise("."))
+    source = F.concat(F.when(k % 5 == 0, "Possibly order ").otherwise("The order "), F.lit("was sent to customer "), "o_custkey", F.when(k % 3 == 0, " for 12 kg").otherwise(" in time"), F.when(k % 7 == 0, "?").otherwise("."))
     return o.select("o_orderkey", confidence(source, claim_text(F.lit("The order was sent to the customer in time")), F.lit("order"), F.when(k % 2 == 0, "customer")).alias("confidence"))
 
 
@@ -251,9 +251,10 @@ def prune_evidence(spark, sf_dir):
     return E.prune(e, e.filter("id % 3 = 0").select("id"), "2024-01-10").select("id")
 
 
-@query("prose_views", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), v AS (SELECT doc_id, CASE WHEN regexp_matches(lower(t), '\\b(if|unless|suppose|assuming|provided that)\\b') THEN 'discussion' WHEN regexp_matches(lower(t), '\\b(rejected|declined|cancelled|abandoned|no longer)\\b') THEN 'history'
- WHEN regexp_matches(lower(t), '\\b(maybe|perhaps|might|possibly|tentatively|not sure)\\b') THEN 'discussion' WHEN regexp_matches(t, '^\\s*(user|assistant|system):') OR regexp_matches(lower(t), '\\b(said|says|told|according to|claims?|reported)\\b') OR regexp_matches(t, '^\\s*[>"“«]') THEN 'reports'
- WHEN regexp_matches(lower(t), '\\b(plan to|plans to|will|going to|intend to)\\b') OR regexp_matches(t, '^\\s*[-*]\\s*\\[ \\]') THEN 'planning' WHEN regexp_matches(t, '\\?\\s*$') THEN 'questions' ELSE 'factual' END AS view FROM l) SELECT doc_id, view, count(*)::BIGINT AS lines FROM v GROUP BY 1, 2""")
+_PROSE = " ".join(f"WHEN regexp_matches(t, '{p}') THEN '{v}'" for v, p in FAMILIES)
+
+
+@query("prose_views", f"WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), v AS (SELECT doc_id, CASE {_PROSE} ELSE 'factual' END AS view FROM l) SELECT doc_id, view, count(*)::BIGINT AS lines FROM v GROUP BY 1, 2")
 def prose_views(spark, sf_dir):
     lines = read(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
     return lines.groupBy("doc_id", classify_line(F.col("t")).alias("view")).agg(F.count(F.lit(1)).alias("lines"))

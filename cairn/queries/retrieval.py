@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.functions.text import content_words, estimated_tokens, light_stem, tokens
+from cairn.functions.text import content_words, estimated_tokens, light_stem, term_overlap, tokens
 from cairn.operators import retrieval as R
 from cairn.operators.filters import recall_filter
 from cairn.registry import query
@@ -203,7 +203,7 @@ def light_stem_query(spark, sf_dir):
 
 
 @query("content_overlap", """WITH w AS (SELECT item_id, list_distinct(list_filter(string_split_regex(regexp_replace(lower(text), '[^a-z0-9\\s]', ' ', 'g'), '\\s+'),
- lambda x: length(x) > 2 AND x NOT IN ('and','are','for','from','has','have','its','that','the','this','was','were','which','will','with'))) AS w FROM benchmark),
+ lambda x: length(x) > 2 AND x NOT IN ('the','and','for','with','are','was','were','been','has','have','had','this','that','these','those','its','from','usually','often','always','each','every','they','them','their','our','she','his','her','you','your','user','users'))) AS w FROM benchmark),
 p AS (SELECT a.item_id AS x, b.item_id AS y, len(list_intersect(a.w, b.w)) AS s, least(len(a.w), len(b.w)) AS m FROM w a JOIN w b ON a.item_id < b.item_id)
 SELECT x, y, round(s / m, 6) AS share FROM p WHERE m >= 3 AND s / m >= 0.25""")
 def content_overlap(spark, sf_dir):
@@ -228,3 +228,10 @@ def mixed_order(spark, sf_dir):
     swapped = alt.agg((F.count(F.lit(1)) > 0).alias("sw"))
     return top.crossJoin(F.broadcast(swapped)).filter("NOT sw OR rank < 8").select("doc_id", "rank").unionByName(alt)
 
+
+@query("line_overlap", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), w AS (SELECT doc_id, list_distinct(list_transform({_TOK.format('t')}, lambda w: CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] WHEN length(w) > 3 AND w LIKE '%es' THEN w[:-3] WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END)) AS s FROM l)
+SELECT doc_id, max(len(list_intersect(s, ['ontion', 'erth', 'thbl'])))::INT AS best FROM w GROUP BY 1""")
+def line_overlap(spark, sf_dir):
+    """Each document's line with most of the query's terms."""
+    lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
+    return lines.groupBy("doc_id").agg(F.max(term_overlap(F.col("t"), ["the ontion of erth", "thbles"])).alias("best"))

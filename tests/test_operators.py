@@ -42,7 +42,7 @@ def test_text_functions(spark):
     assert (r["same"], r["other"], r["unsure"]) == (False, True, False)
     assert tuple(r["kv"]) == ("premium", "€33/month") and tuple(r["row"]) == ("premium", "€33")
     assert r["url"] is None and r["soft"] is None
-    assert r["slug"] == "hello-world-2" and r["codes"] == ["AB-12", "QQ777"] and set(r["words"]) == {"they", "saw", "wicked", "film"}
+    assert r["slug"] == "hello-world-2" and r["codes"] == ["AB-12", "QQ777"] and set(r["words"]) == {"saw", "wicked", "film"}
     for w in ("policies", "ties", "boxes", "cats", "glass", "as"):
         assert one(spark, s=light_stem(F.lit(w)))["s"] == light_stem_of(w)
     a, b = F.array(*map(F.lit, "abcd")), F.array(*map(F.lit, "abc"))
