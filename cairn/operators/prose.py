@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Word families, tried in this order.
@@ -31,3 +31,46 @@ def classify_line(line: Column) -> Column:
 def prose_eligible(view: Column, wanted: str) -> Column:
     """Whether a line of a view answers a wanted view; all takes everything."""
     return F.lit(True) if wanted == "all" else view == wanted
+
+
+#: Headings that put what is below them in a view.
+HEADING_SCOPES = (
+    ("discussion", r"(?i)\b(?:scenario|alternatives?|discussion|hypothes[ei]s|assumptions?)\b"),
+    ("reports", r"(?i)\b(?:examples?|samples?|transcript|conversation|dialogue)\b"),
+    ("planning", r"(?i)\b(?:plans?|proposals?|intentions?)\b"),
+    ("questions", r"(?i)\bquestions?\b"),
+)
+
+
+def scoped_lines(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line, view): each line of a page, its own view or else that of the nearest heading above it.
+
+    A heading's scope ends at the next heading of its level or a higher one; one page at a time,
+    in Arrow batches. Blank lines and headings themselves have no row.
+    """
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pandas as pd
+        import regex
+
+        families = [(v, regex.compile(p)) for v, p in FAMILIES]
+        scopes = [(v, regex.compile(p)) for v, p in (*FAMILIES[:3], *HEADING_SCOPES)]
+        heading = regex.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*$")
+        for b in batches:
+            out = []
+            for k, t in zip(b[key], b[text], strict=True):
+                stack: list[tuple[int, str]] = []
+                for i, s in enumerate((t or "").split("\n"), 1):
+                    if m := heading.match(s):
+                        level = len(m[1])
+                        while stack and stack[-1][0] >= level:
+                            stack.pop()
+                        own = next((v for v, p in scopes if p.search(m[2])), "")
+                        stack.append((level, own or (stack[-1][1] if stack else "")))
+                    elif s.strip():
+                        view = next((v for v, p in families if p.search(s)), "")
+                        out.append((k, i, view or (stack[-1][1] if stack and stack[-1][1] else "factual")))
+            yield pd.DataFrame(out, columns=[key, "line", "view"])
+
+    return pages.select(key, text).mapInPandas(run, f"{key} {kind}, line int, view string")

@@ -191,3 +191,41 @@ def coverage(cards: DataFrame, concepts: Sequence[str], text: str) -> DataFrame:
     seen = cards.agg(*(F.coalesce(F.bool_or(held(w)), F.lit(False)).alias(f"w{i}") for i, w in enumerate(every)))
     pairs = F.array(*(F.struct(F.lit(c).alias("concept"), reduce(lambda x, y: x & y, (F.col(f"w{every.index(w)}") for w in ws)).alias("covered")) for c, ws in words.items()))
     return seen.select(F.explode(pairs).alias("x")).select("x.*")
+
+
+#: Levels of activation: relevance and overlap of a strong hit, relevance of one that both arms found, of a plausible one.
+STRONG, STRONG_OVERLAP, DUAL, PLAUSIBLE = 0.9, 0.5, 0.85, 0.5
+#: Results that an automatic recall may add.
+AUTOMATIC = 3
+
+
+def activation(relevance: Column, overlap: Column, arms: Column, exact: Column) -> Column:
+    """How surely a hit bears on a prompt: exact, strong, dual, plausible or none."""
+    return (
+        F.when(exact, "exact")
+        .when((relevance >= STRONG) & (overlap >= STRONG_OVERLAP), "strong")
+        .when((arms >= 2) & (relevance >= DUAL), "dual")
+        .when(relevance >= PLAUSIBLE, "plausible")
+        .otherwise("none")
+    )
+
+
+def automatic(hits: DataFrame, key: str, most: int = AUTOMATIC) -> DataFrame:
+    """Of ranked hits with ``signal`` those that may be added unasked: exact ones if any, else strong and dual ones; at most ``most``."""
+    fit = hits.withColumn("_exact", F.max((F.col("signal") == "exact").cast("int")).over(Window.partitionBy()))
+    on = F.when(F.col("_exact") == 1, F.col("signal") == "exact").otherwise(F.col("signal").isin("strong", "dual"))
+    return fit.filter(on).orderBy("rank", key).limit(most).drop("_exact")
+
+
+def clip_lines(text: Column, budget: Column) -> Column:
+    """The first whole lines that fit a budget of characters."""
+    lines = F.split(text, "\n")
+    kind = "struct<used:int,n:int>"
+    zero = F.struct(F.lit(-1).alias("used"), F.lit(0).alias("n")).cast(kind)
+
+    def step(acc, x):
+        # past the first line that does not fit, used stays over the budget
+        used = acc["used"] + F.length(x) + 1
+        return F.struct(used.alias("used"), (acc["n"] + F.when(used <= budget, 1).otherwise(0)).alias("n")).cast(kind)
+
+    return F.array_join(F.slice(lines, F.lit(1), F.aggregate(lines, zero, step, lambda a: a["n"])), "\n")

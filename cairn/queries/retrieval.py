@@ -235,3 +235,17 @@ def line_overlap(spark, sf_dir):
     """Each document's line with most of the query's terms."""
     lines = docs(spark, sf_dir).select("doc_id", F.explode(F.split("text", "\n")).alias("t"))
     return lines.groupBy("doc_id").agg(F.max(term_overlap(F.col("t"), ["the ontion of erth", "thbles"])).alias("best"))
+
+
+@query("activation", f"""{_RRF}, a AS (SELECT doc_id, rank, CASE WHEN doc_id % 50 = 0 AND relevance IS NOT NULL THEN 'exact' WHEN relevance * 2 >= 0.9 AND doc_id % 3 > 0 THEN 'strong' WHEN arms >= 2 AND relevance * 2 >= 0.85 THEN 'dual' WHEN relevance * 2 >= 0.5 THEN 'plausible' ELSE 'none' END AS signal FROM rr)
+SELECT doc_id, rank, signal FROM a""")
+def activation(spark, sf_dir):
+    r = F.col("relevance") * 2
+    signal = R.activation(r, (F.col("doc_id") % 3).cast("double"), F.col("arms"), (F.col("doc_id") % 50 == 0) & F.col("relevance").isNotNull())
+    return hybrid(spark, sf_dir).select("doc_id", "rank", signal.alias("signal"))
+
+
+@query("clip_lines", """WITH l AS (SELECT doc_id, i, string_split(text, chr(10)) AS s FROM documents, range(1, 400) t(i) WHERE i <= len(string_split(text, chr(10)))), e AS (SELECT doc_id, s, max(i) FILTER (length(array_to_string(s[1:i], chr(10))) <= 600) AS k FROM l GROUP BY 1, 2)
+SELECT doc_id, CASE WHEN k IS NULL THEN '' ELSE array_to_string(s[1:k], chr(10)) END AS clipped FROM e""")
+def clip_lines(spark, sf_dir):
+    return docs(spark, sf_dir).select("doc_id", R.clip_lines(F.col("text"), F.lit(600)).alias("clipped"))

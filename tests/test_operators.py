@@ -319,3 +319,19 @@ def test_index_again_equals_rebuild(spark, tmp_path):
     links = {(r["from_page"], r["to_slug"]): r["broken"] for r in I.table(spark, out, 2, "links").collect()}
     assert links == {("a", "ann"): True, ("a", "b"): False, ("a", "n/c"): True, ("b", "gone"): True}
     assert [tuple(r) for r in I.moved(spark, out, 1, 2).collect()] == [("n/c.md", "n/d.md")]
+
+
+def test_scopes_orders_and_automatic_recall(spark):
+    from cairn.operators.prose import scoped_lines
+    from cairn.plans.schedule import schedule
+
+    text = "Plain.\n# Plans\nBuy milk\n## Open questions\nWhen\n# Notes\nMaybe so\nDone"
+    got = {r["line"]: r["view"] for r in scoped_lines(spark.createDataFrame([(1, text), (2, None)], "id int, text string"), "id").collect()}
+    assert got == {1: "factual", 3: "planning", 5: "questions", 7: "discussion", 8: "factual"}
+    assert schedule("abcd", {"a": "c", "c": "d"}) == ["b", "d", "c", "a"]
+    with pytest.raises(ValueError, match="circle"):
+        schedule("ab", {"a": "b", "b": "a"})
+    rows = spark.createDataFrame([(1, 1, "plausible"), (2, 2, "strong"), (3, 3, "dual"), (4, 4, "strong"), (5, 5, "strong")], "id int, rank int, signal string")
+    assert [r["id"] for r in R.automatic(rows, "id").collect()] == [2, 3, 4]
+    assert [r["id"] for r in R.automatic(rows.withColumn("signal", F.when(F.col("id") == 5, "exact").otherwise(F.col("signal"))), "id").collect()] == [5]
+    assert one(spark, c=R.clip_lines(F.lit("ab\ncd\nef"), F.lit(6)))["c"] == "ab\ncd"
