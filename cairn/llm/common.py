@@ -7,11 +7,15 @@ import shutil
 import tempfile
 import uuid
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: White space that separates words everywhere in this subpackage.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bits of the filter that goes before joins of texts.
+FILTER_BITS = 1 << 26
 _LOCAL: dict[str, str] = {}
 
 
@@ -56,6 +60,30 @@ def drop(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _members(bitmap):
+    def run(batches):
+        words = np.frombuffer(bitmap.value, np.int64)
+        for batch in batches:
+            h = batch.column("_h").to_numpy()
+            yield batch.filter(pa.array((words[h >> 6] >> (h & 63)) & 1, pa.int8()).cast(pa.bool_()))
+
+    return run
+
+
+def likely(rows: DataFrame, ids: DataFrame, key: str, other: str) -> DataFrame:
+    """rows whose key may be among ids: a bitmap of FILTER_BITS hashes drops most others before a join deals long rows out.
+
+    None that belongs is dropped; the exact join is the caller's.
+    """
+    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
+    bits = ids.select(place(other).alias("_h")).groupBy(F.shiftright("_h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(_h & 63))")).alias("b")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
+    shared = rows.sparkSession.sparkContext.broadcast(words.tobytes())  # FILTER_BITS / 8 bytes: a fixed size
+    marked = rows.withColumn("_h", place(key))
+    return marked.mapInArrow(_members(shared), marked.schema).drop("_h")
+
+
 def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import blocks
-from cairn.llm.common import drop, save, small_batches
+from cairn.llm.common import drop, likely, save, small_batches
 from cairn.llm.components import components
 
 #: Words to a shingle, least similarity in percent.
@@ -206,8 +206,10 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     led = members.filter((F.col("node") != F.col("a")) & (F.col("k").bitwiseAND(63) < STAR_BANDS))
     stars = save(stars.unionByName(led.select(F.col("node").alias("u"), F.col("a").alias("v"))).distinct())
     some = stars.select(F.col("u").alias("node")).unionByName(stars.select(F.col("v").alias("node"))).unionByName(members.select("node")).distinct()
-    wanted = nodes.join(some, "node", "left_semi").select("node", "_key")
-    texts = save(slim.select("_key", "_text").join(wanted.select("_key").distinct(), "_key", "left_semi").dropDuplicates(["_key"]).join(wanted, "_key").select("node", "_text"))
+    wanted = save(nodes.join(some, "node", "left_semi").select("node", "_key"))
+    # copies of a text are one row for each task before they are dealt out
+    once = likely(slim.filter("_key IS NOT NULL").select("_key", "_text"), wanted, "_key", "_key").groupBy("_key").agg(F.first("_text").alias("_text"))
+    texts = save(once.join(wanted, "_key").select("node", "_text"))
     sketches = nodes.select("node", "sketch")
 
     x, y = (sketches.select(F.col("node").alias(n), F.col("sketch").alias(s)) for n, s in (("u", "sx"), ("v", "sy")))
@@ -230,7 +232,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     classes = classes.join(lows, "component").select("n", "c1", "c2", "_low")
     out = signed.select("doc_id", "_key", "n", "c1", "c2").join(classes, ["n", "c1", "c2"], "left")
     least = F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id"))
-    drop(buckets, members, stars, texts)
+    drop(buckets, members, texts, wanted)
     return out.select("doc_id", "_key", F.col("n").alias("n_shingles"), least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"))
 
 
