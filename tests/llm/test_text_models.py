@@ -190,6 +190,34 @@ def test_leaks_awkward_rows(spark, monkeypatch):
     assert told(decontam.find_leaks(docs, bench)) == told(got)
 
 
+def filler(rng, n):
+    return [f"f{rng.randrange(4000)}" for _ in range(n)]
+
+
+def pasted(spark, items, rng, around=40):
+    """Ids of the items that are missed when each is pasted verbatim between other words."""
+    docs = [(i, " ".join([*filler(rng, around), t, *filler(rng, around)])) for i, t in items]
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string").repartition(8), spark.createDataFrame(items, "item_id long, text string")).collect()
+    return {r["doc_id"] for r in got if r["doc_id"] not in r["items"]}
+
+
+def test_verbatim_items_of_a_large_benchmark(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join(f"v{rng.randrange(9000)}" for _ in range(rng.randrange(20, 60)))) for i in range(2000)]
+    assert pasted(spark, items, rng) == set()
+
+
+def test_basis_holds_every_item():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    rows = [(np.arange(4), np.full(4, 0.5))] * 100 + [(np.arange(4 * i, 4 * i + 4), np.full(4, 0.5)) for i in range(1, 60)]
+    rows += [(np.sort(rng.choice(np.arange(300, 900), 20, replace=False)), np.full(20, 20**-0.5)) for _ in range(97)]
+    used, basis = decontam.latent_basis(rows, rank=8)
+    assert all(np.linalg.norm(x @ basis[np.searchsorted(used, s)]) >= decontam.HELD - 1e-3 for s, x in rows)
+    assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-4) and basis.shape[1] < len(rows)
+
+
 def plain_kneser_ney(texts, probe):
     """Log-probabilities by the recursive definition, over tuples of symbols."""
     table = quality._symbol_table()
