@@ -207,6 +207,26 @@ def test_verbatim_items_of_a_large_benchmark(spark):
     assert pasted(spark, items, rng) == set()
 
 
+def lengths(rng):
+    """Items of 4 to 1000 words; the short ones of frequent words, which many documents hold."""
+    n = [*range(4, 40)] * 2 + [*range(40, 100, 5), 150, 199, 300, 347, 401, 500, 512, 700, 999, 1000] * 2
+    return [(i, " ".join(f"f{int(4000 * rng.random() ** 3)}" if k < 16 else f"v{rng.randrange(9000)}" for _ in range(k))) for i, k in enumerate(n)]
+
+
+def test_verbatim_items_of_any_length(spark):
+    rng = random.Random(12)
+    assert pasted(spark, lengths(rng), rng) == set()
+
+
+def test_an_item_in_parts_is_reported_once(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "BLOCK", 4)
+    rng = random.Random(13)
+    long_ = " ".join(f"v{rng.randrange(9000)}" for _ in range(500))
+    bench = spark.createDataFrame([(1, long_), (2, "q w e r t y"), (2, "q w e r t y")], "item_id long, text string")
+    got = decontam.find_leaks(spark.createDataFrame([(0, "x " * 50 + long_ + " q w e r t y " + "z " * 50)], "doc_id long, text string"), bench).first()
+    assert sorted(got["items"]) == [1, 2, 2]
+
+
 def test_basis_holds_every_item():
     import numpy as np
 
