@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cairn.operators.retrieval import cosine
+#: Rows of a block in one bucket: a task holds two buckets at a time.
+BUCKET = 1024
 
 
 def folder_counts(paths: DataFrame, path: str, parent: str = "") -> DataFrame:
@@ -49,14 +52,51 @@ def routing(hits: DataFrame, folder: str = "folder", least: float = 0.5) -> Data
     return hits.groupBy(folder).agg(F.max("relevance").alias("relevance")).filter(F.col("relevance") >= least)
 
 
+def _pairs_of(key: str, vec: str, least: float):
+    """Pairs of one bucket pair with a cosine of at least about ``least``, by matrix products."""
+
+    def run(group: pa.Table) -> pa.Table:
+        i, j = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
+        same: dict[int, list[int]] = {}
+        found = group.column(vec).to_pylist()
+        for at, v in enumerate(found):
+            if v is not None and None not in v:
+                same.setdefault(len(v), []).append(at)
+        a, b, cos = [], [], []
+        for at in same.values():
+            own = group.take(at)
+            ids, bucket = own.column(key), own.column("_b").to_numpy()
+            x = np.array([found[n] for n in at], np.float64)
+            norm = np.sqrt((x * x).sum(axis=1))
+            left, right = np.flatnonzero(bucket == i), np.flatnonzero(bucket == j)
+            norm = np.where(norm == 0, 1.0, norm)
+            c = (x[left] @ x[right].T) / (norm[left, None] * norm[right])
+            p, q = np.nonzero(~(c < least - 1e-5))
+            a.append(ids.take(left[p]))
+            b.append(ids.take(right[q]))
+            cos.append(c[p, q])
+        kind = group.schema.field(key).type
+        chunks = lambda cols: pa.chunked_array([x for c in cols for x in c.chunks], kind)
+        return pa.table({"x": chunks(a), "y": chunks(b), "c": pa.array(np.concatenate([*cos, np.zeros(0)]))}).append_column("s", pa.array([i == j] * sum(map(len, cos)), pa.bool_()))
+
+    return run
+
+
 def similar_pairs(vectors: DataFrame, key: str, block: str, vec: str = "embedding", least: float = 0.68, excluded: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity): pairs of a block whose cosine reaches ``least``, less excluded pairs.
 
-    A block is a folder, which holds few pages by design; within it every pair is compared.
+    Every pair of a block is compared, in double precision; a zero norm counts as 1. Its rows are dealt into buckets of about BUCKET rows, and
+    each pair of buckets is compared apart, so that a block of any size spreads over many tasks.
     """
-    a, b = (vectors.select(block, F.col(key).alias(n), F.col(vec).alias(f"_{n}")) for n in ("a", "b"))
-    out = a.join(b, block).filter("a < b").withColumn("similarity", F.round(cosine(F.col("_a"), F.col("_b")), 6)).filter(F.col("similarity") >= least)
-    out = out.select("a", "b", "similarity")
+    rows = vectors.select(F.col(block).alias("_block"), key, vec).filter(F.col("_block").isNotNull())
+    n = F.ceil(F.col("_n") / F.lit(BUCKET)).cast("int")
+    rows = rows.join(rows.groupBy("_block").agg(F.count(F.lit(1)).alias("_n")), "_block").withColumn("_b", F.pmod(F.xxhash64(key), n).cast("int"))
+    pair = F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(F.least(k, F.col("_b")).alias("i"), F.greatest(k, F.col("_b")).alias("j")))
+    dealt = rows.withColumn("_pair", F.explode(pair)).select("_block", "_b", key, vec, F.col("_pair.i").alias("_i"), F.col("_pair.j").alias("_j"))
+    kind = vectors.schema[key].dataType.simpleString()
+    met = dealt.groupBy("_block", "_i", "_j").applyInArrow(_pairs_of(key, vec, least), f"x {kind}, y {kind}, c double, s boolean")
+    met = met.filter((F.col("x") != F.col("y")) & (~F.col("s") | (F.col("x") < F.col("y"))))  # a bucket met itself in both orders
+    out = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.round("c", 6).alias("similarity")).filter(F.col("similarity") >= least)
     return out.join(excluded, ["a", "b"], "left_anti") if excluded is not None else out
 
 

@@ -62,6 +62,12 @@ def similar_pairs_cosine(spark, sf_dir):
     return M.similar_pairs(v, "vec_id", "folder", least=0.2)
 
 
+@query("similar_pairs_label", f"SELECT a.vec_id AS a, b.vec_id AS b, {_CS} AS similarity FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id < b.vec_id WHERE {_CS} >= 0.2")
+def similar_pairs_label(spark, sf_dir):
+    """Folders are labels: every pair of a label."""
+    return M.similar_pairs(read(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"), "vec_id", "label", least=0.2)
+
+
 @query("rule_drift", """SELECT p_partkey AS id, CASE WHEN split_part(p_type, ' ', 1) <> 'STANDARD' THEN 'type' WHEN NOT regexp_matches(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), '[0-4]$') THEN 'slug' WHEN p_size > 30 THEN 'depth' END AS drift FROM part
 WHERE split_part(p_type, ' ', 1) <> 'STANDARD' OR NOT regexp_matches(trim(regexp_replace(lower(p_name), '[^\\p{L}\\p{N}]+', '-', 'g'), '-'), '[0-4]$') OR p_size > 30""")
 def rule_drift(spark, sf_dir):

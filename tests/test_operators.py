@@ -335,3 +335,26 @@ def test_scopes_orders_and_automatic_recall(spark):
     assert [r["id"] for r in R.automatic(rows, "id").collect()] == [2, 3, 4]
     assert [r["id"] for r in R.automatic(rows.withColumn("signal", F.when(F.col("id") == 5, "exact").otherwise(F.col("signal"))), "id").collect()] == [5]
     assert one(spark, c=R.clip_lines(F.lit("ab\ncd\nef"), F.lit(6)))["c"] == "ab\ncd"
+
+
+def test_similar_pairs_meet_across_buckets(spark, monkeypatch):
+    import random
+
+    monkeypatch.setattr(M, "BUCKET", 8)
+    rng = random.Random(5)
+    rows = [(i, i % 3 if i % 11 else None, [rng.gauss(0, 1) for _ in range(4)]) for i in range(120)] + [(200, 0, None), (201, 0, [1.0, None, 0.0, 0.0]), (202, 0, [0.0] * 4), (203, 0, [1.0] * 3), (7, 1, [1.0, 0.0, 0.0, 0.0]), (None, 1, [1.0] * 4)]
+    v = spark.createDataFrame(rows, "id long, folder int, embedding array<double>")
+    got = sorted((r["a"], r["b"], r["similarity"]) for r in M.similar_pairs(v, "id", "folder", least=0.2).collect())
+    cos = lambda x, y: sum(p * q for p, q in zip(x, y, strict=True)) / ((sum(p * p for p in x) ** 0.5 or 1) * (sum(q * q for q in y) ** 0.5 or 1))
+    full = [r for r in rows if r[0] is not None and r[1] is not None and r[2] and None not in r[2]]
+    want = sorted((x[0], y[0], round(cos(x[2], y[2]), 6)) for x in full for y in full if x[0] < y[0] and x[1] == y[1] and len(x[2]) == len(y[2]) and round(cos(x[2], y[2]), 6) >= 0.2)
+    assert [g[:2] for g in got] == [w[:2] for w in want] and all(abs(g[2] - w[2]) < 2e-6 for g, w in zip(got, want, strict=True))
+    assert M.similar_pairs(v.limit(0), "id", "folder").count() == 0
+
+
+def test_similar_pairs_of_a_whole_label(spark, data):
+    from cairn.queries import QUERIES
+
+    got = {(r["a"], r["b"]) for r in QUERIES["similar_pairs_label"](spark, data).collect()}
+    part = {(r["a"], r["b"]) for r in QUERIES["similar_pairs_cosine"](spark, data).collect()}
+    assert part < got and any((a - b) % 7 for a, b in got)
