@@ -28,7 +28,8 @@ STRONG = re.compile(r"(^|[\s_-])(ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*
 WEAK = re.compile(r"(^|[\s_-])(notice\w*|alert|sidebar\w*|side-bar|menu\w*|nav|navbar|navigation|breadcrumb\w*|pager|pagination|footer|share|sharing|social\w*|subscribe|signup|login|search|widget\w*|complementary|contentinfo|toolbar|skip-link)($|[\s_-])", re.I)
 #: Words that mark it outside an article only; within, they hold its own headline.
 OUTSIDE = re.compile(r"(^|[\s_-])(header|masthead|topbar)($|[\s_-])", re.I)
-#: A feature that is on this share of a host's pages, on the logarithmic scale of entropy, is unimportant.
+#: A feature may be unimportant from this share of a host's different pages, and where its branch has
+#: less than this diversity of texts, both on the logarithmic scale of entropy.
 LOW, MIN_PAGES = 0.5, 3
 
 
@@ -142,6 +143,10 @@ def _feature(path: str, text: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{path}\0{text}".encode("utf-8", "surrogatepass")) - (1 << 63)
 
 
+def _longest(found: list[tuple[str, str]]) -> str:
+    return max((t for _, t in found), key=lambda t: (len(t), t), default="")
+
+
 def _main(root: Node) -> Node | None:
     """The article: of the outermost article and main elements that are no furniture, the one with most text."""
     best, size, todo = None, 0, [root]
@@ -178,7 +183,9 @@ def extract(html: str | None, low: frozenset = frozenset()) -> str:
     if low:
         # inside an article plain prose is important by its presentation, however often it occurs
         plain = re.compile(r"/(p|h[1-6]|li|blockquote|pre|td|th|dd|dt|b|i|em|strong)$") if top else None
-        found = [(p, t) for p, t in found if (plain and plain.search(p)) or _feature(p, t) not in low]
+        kept = [(p, t) for p, t in found if (plain and plain.search(p)) or _feature(p, t) not in low]
+        if _longest(kept) == _longest(found):  # a page without its longest block is none
+            found = kept
     return "\n".join(t for _, t in found)
 
 
@@ -188,30 +195,37 @@ def host_of(url):
 
 def _features(batches):
     for batch in batches:
-        hosts, feats = [], []
+        out = []
         for h, html in zip(batch.column("host").to_pylist(), batch.column("_html"), strict=True):
             root = Dom(html.as_py() or "").root
-            own = {_feature(p, t) for p, t in blocks(root, lambda x, _: x.tag in NEVER)}
-            hosts += [h] * len(own)
-            feats += own
-        yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(feats, pa.int64())], ["host", "f"])
+            top = _main(root)
+            # copies of a page have one longest block, whatever their furniture
+            sig = _feature("", _longest(blocks(top or root, _furniture, top is not None)))
+            own = {(_feature(p, ""), _feature(p, t)) for p, t in blocks(root, lambda x, _: x.tag in NEVER)}
+            out += [(h, p, f, sig) for p, f in own]
+            out.append((h, None, None, sig))
+        cols = list(zip(*out, strict=True)) or [[]] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), *(pa.array(c, pa.int64()) for c in cols[1:])], ["host", "p", "f", "sig"])
 
 
 def style_tree(pages: DataFrame, html: str = "html", url: str = "url", low: float = LOW, min_pages: int = MIN_PAGES) -> DataFrame:
-    """(host, low): features of each host's merged tree whose importance is under 1 - ``low``.
-
-    A feature is a block's text at its style path (tags and classes from the root). A feature on
-    k of a host's m pages has entropy log k / log m there and importance 1 less that. What is
-    kept of a host grows at most with the square root of its pages, because k is at least
-    m ** low. Counts are summed before they are shuffled, by feature, so a host of any size
-    spreads out.
+    """(host, low): features of each host that are unimportant.
+
+    A feature is a block's text at its style path (tags and classes from the root), the path its
+    branch. Pages with one longest block are copies and count once. A feature on k of a host's m
+    different pages is unimportant if k is at least m ** low and its branch, with d different
+    texts in n places, has a diversity log d / log n under ``low``: texts that many pages share
+    stay where the branch holds different ones. What is kept of a host grows at most with the
+    square root of its pages. Rows are dealt by feature, so a host of any size spreads out.
     """
     small_batches(pages.sparkSession)
     slim = pages.select(host_of(F.col(url)).alias("host"), F.col(html).alias("_html"))
-    sizes = slim.groupBy("host").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= min_pages)
-    k = slim.mapInArrow(_features, "host string, f long").groupBy("host", "f").agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    found = k.join(sizes, "host").filter(F.log(F.col("k").cast("double")) >= F.log(F.col("m").cast("double")) * low)
-    return save(found.groupBy("host").agg(F.collect_list("f").alias("low")))
+    k = save(slim.mapInArrow(_features, "host string, p long, f long, sig long").distinct().groupBy("host", "p", "f").agg(F.count(F.lit(1)).alias("k")))
+    sizes = k.filter("f IS NULL").select("host", F.col("k").alias("m")).filter(F.col("m") >= min_pages)
+    branches = k.filter("f IS NOT NULL").groupBy("host", "p").agg(F.count(F.lit(1)).alias("d"), F.sum("k").alias("n"))
+    branches = branches.filter((F.col("n") > 1) & (F.log(F.col("d").cast("double")) < F.log(F.col("n").cast("double")) * low)).select("host", "p")
+    often = k.filter("k > 1 AND f IS NOT NULL").join(sizes, "host").filter(F.log(F.col("k").cast("double")) >= F.log(F.col("m").cast("double")) * low)
+    return save(often.join(branches, ["host", "p"]).groupBy("host").agg(F.collect_list("f").alias("low")))
 
 
 def _extractor(cols: list[str]):
@@ -233,7 +247,8 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", page_i
 
     The article of a page is the largest article or main element, or else the body. Furniture
     goes by element and by class, id or role; then blocks that the host's style tree holds
-    unimportant go, but for plain prose inside an article, whose presentation is important.
+    unimportant go, but for plain prose inside an article, whose presentation is important, and
+    none from a page whose longest block would go.
 
     Null html counts as empty and gives an empty text; pages without a host share one tree;
     repeated rows are extracted each; no rows give no rows; other columns are ignored.

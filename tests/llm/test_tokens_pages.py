@@ -109,6 +109,29 @@ def test_equal_articles_of_a_host_stay(spark):
     assert {r["text"] for r in got} == {"H\nSame body"}
 
 
+def bodies(spark, rows):
+    return {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+
+
+def test_copies_of_classed_and_articleless_pages_stay(spark):
+    prose = lambda i: f"Report {i} says that the {i * 7} mills of the valley were counted twice by hand"
+    classed = lambda i, n: f"<body><div class=top>Our shop</div><article><p class=lead>Lead {i}</p><div class=text>{prose(i)}</div><section>End {i}</section></article><div class=bottom>Visit {n}</div></body>"
+    bare = lambda i, n: f"<body><div class=top>Our shop</div><div class=page><div class=text><span>{prose(i)}</span></div><div class=more>More {i}</div></div><div class=bottom>Visit {n}</div></body>"
+    for make, want in ((classed, lambda i: f"Lead {i}\n{prose(i)}\nEnd {i}"), (bare, lambda i: f"{prose(i)}\nMore {i}")):
+        only = bodies(spark, [(n, "http://a.example/x", make(1, n)) for n in range(20)])  # copies alone
+        assert all(want(1) in t for t in only.values())
+        some = [(n, "http://a.example/x", make(n if n >= 20 else 1, n)) for n in range(60)]  # copies beside other pages
+        got = bodies(spark, some)
+        assert all(want(n if n >= 20 else 1) in t for n, t in got.items())
+        assert not any("Our shop" in t for t in got.values())
+
+
+def test_passages_that_articles_share_stay(spark):
+    page = lambda i: f"<body><div class=top>Our shop</div><article><div class=text>Own words of page {i} and {i * 3} more</div>{'<div class=text>A passage that a third of the pages share</div>' if i % 3 == 0 else ''}</article></body>"
+    got = bodies(spark, [(i, "http://a.example/x", page(i)) for i in range(30)])
+    assert all(t == f"Own words of page {i} and {i * 3} more" + ("\nA passage that a third of the pages share" if i % 3 == 0 else "") for i, t in got.items())
+
+
 def test_pages_awkward_rows(spark):
     kind = "page_id long, url string, html string, text string, host string, low int"
     rows = [(1, None, None, "x", "h", 1), (None, "http://a.example/", "", None, None, None), (2, "no url", PAGE, "y", "h", 2), (2, "no url", PAGE, "y", "h", 2), (3, "http://a.example/", "<p>" + "long " * 200_000, None, None, None)]
