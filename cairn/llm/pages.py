@@ -34,10 +34,10 @@ LOW, MIN_PAGES = 0.5, 3
 
 
 class Node:
-    __slots__ = ("hidden", "mark", "parent", "parts", "path", "tag")
+    __slots__ = ("hidden", "mark", "parent", "parts", "path", "spared", "tag")
 
     def __init__(self, tag: str, mark: str, parent: Node | None):
-        self.tag, self.mark, self.parent, self.parts, self.hidden = tag, mark, parent, [], False
+        self.tag, self.mark, self.parent, self.parts, self.hidden, self.spared = tag, mark, parent, [], False, False
         self.path = f"{parent.path if parent else ''}/{tag}" + (f".{mark}" if mark else "")
 
 
@@ -95,7 +95,11 @@ class Dom(HTMLParser):
 
 
 def _furniture(n: Node, inside: bool) -> bool:
-    if n.hidden or n.tag in NEVER or n.tag in FURNITURE or (n.tag == "header" and not inside):
+    if n.hidden or n.tag in NEVER:
+        return True
+    if n.spared:
+        return False
+    if n.tag in FURNITURE or (n.tag == "header" and not inside):
         return True
     if not n.mark or n.tag in ("html", "body", "main"):
         return False
@@ -175,10 +179,43 @@ def _has(n: Node, tag: str) -> bool:
     return False
 
 
+def _within(root: Node) -> dict[Node, tuple[int, bool]]:
+    """For each node: length of the text below that is ever shown, and whether it is or holds an article or main element."""
+    order, todo = [], [root]
+    while todo:
+        n = todo.pop()
+        order.append(n)
+        todo += [x for x in n.parts if not isinstance(x, str) and not x.hidden and x.tag not in NEVER]
+    out: dict[Node, tuple[int, bool]] = {}
+    for n in reversed(order):
+        below = [out[x] for x in n.parts if x in out]
+        out[n] = sum(len(x.strip()) for x in n.parts if isinstance(x, str)) + sum(k for k, _ in below), n.tag in ("article", "main") or any(f for _, f in below)
+    return out
+
+
+def _article(root: Node) -> Node | None:
+    """_main(), after sparing furniture that wraps the page.
+
+    Where the lists leave no article, an element they name is spared if it holds over half of the
+    page's text and is a form, is or holds an article or main element, or leaves nothing.
+    """
+    top = _main(root)
+    if top is not None:
+        return top
+    within = _within(root)
+    at = root
+    while at := next((x for x in at.parts if x in within and 2 * within[x][0] > within[root][0]), None):
+        if _furniture(at, False) and (at.tag == "form" or within[at][1] or not blocks(root, _furniture)):
+            at.spared = True
+            if (top := _main(root)) is not None:
+                return top
+    return None
+
+
 def extract(html: str | None, low: frozenset = frozenset()) -> str:
     """The main text of a page. low: features of its host's style tree that are unimportant."""
     root = Dom(html or "").root
-    top = _main(root)
+    top = _article(root)
     found = blocks(top or root, _furniture, top is not None)
     if low:
         # inside an article plain prose is important by its presentation, however often it occurs
@@ -198,7 +235,7 @@ def _features(batches):
         out = []
         for h, html in zip(batch.column("host").to_pylist(), batch.column("_html"), strict=True):
             root = Dom(html.as_py() or "").root
-            top = _main(root)
+            top = _article(root)
             # copies of a page have one longest block, whatever their furniture
             sig = _feature("", _longest(blocks(top or root, _furniture, top is not None)))
             own = {(_feature(p, ""), _feature(p, t)) for p, t in blocks(root, lambda x, _: x.tag in NEVER)}
@@ -250,6 +287,8 @@ def extract_pages(pages: DataFrame, html: str = "html", url: str = "url", page_i
     unimportant go, but for plain prose inside an article, whose presentation is important, and
     none from a page whose longest block would go.
 
+    The lists of furniture never take an element that wraps the page (_article()).
+
     Null html counts as empty and gives an empty text; pages without a host share one tree;
     repeated rows are extracted each; no rows give no rows; other columns are ignored.
     """

@@ -109,6 +109,15 @@ def test_equal_articles_of_a_host_stay(spark):
     assert {r["text"] for r in got} == {"H\nSame body"}
 
 
+def test_furniture_that_wraps_the_page_stays():
+    body = "<nav>Menu</nav><h1>Head</h1><p>A text that is long enough to be the page</p><aside>Side</aside>"
+    want = "Head\nA text that is long enough to be the page"
+    for wrap in ("<form>{}</form>", "<div><form action=x><div class='ad-free'>{}</div></form></div>", "<form><article>{}</article></form>", "<article class='post comments-open'>{}</article>", "<div class='category-sponsored'><article>{}</article></div>", "<div class='ad-free'>{}</div>", "<main class='promo'><div>{}</div></main>"):
+        assert pages.extract(f"<body><header>Site</header>{wrap.format(body)}<footer>End</footer></body>") == want, wrap
+    own = "<body><div class=text><p>Own words</p></div><div class=comments><p>Readers wrote very much more than the page itself</p></div></body>"
+    assert pages.extract(own) == "Own words"
+
+
 def bodies(spark, rows):
     return {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
 
