@@ -172,7 +172,7 @@ def _slim(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, str]:
 
 
 def count_tokens(docs: DataFrame, path: str, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens) of whole texts: the last entry of each prefix table.
+    """(doc_id, n_bytes, n_tokens) of whole texts: what the last entry of each prefix table would be; only totals are kept.
 
     Null texts count as empty: 0 bytes, 0 tokens; special strings of the vocabulary are one
     token each; repeated rows count each; no rows give no rows. ``path`` is the vocabulary file
