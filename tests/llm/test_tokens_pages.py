@@ -98,8 +98,79 @@ def test_style_tree_removes_what_a_host_repeats(spark):
     got = {r["page_id"]: r["text"] for r in pages.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"Story number {i} about {i * 7}" for i in range(12))
     assert "Our shop" in got[100]  # one page tells nothing of its host
-    low = {r["host"]: r["low"] for r in pages.style_tree(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert set(low) == {"a.example"} and len(low["a.example"]) == 2
+    plain = {i: pages.extract(h) for i, _, h in rows}
+    assert all("Our shop" in plain[i] and got[i] != plain[i] for i in range(12))  # the tree, not the lists, took it away
+
+
+def plain_tree(rows):
+    """Importances by the recursive definition: (host, style path) -> importance."""
+    import math
+    from collections import Counter, defaultdict
+
+    styles, texts, sigs = defaultdict(set), defaultdict(set), defaultdict(set)
+    kids = {}
+    for host, html in rows:
+        root = pages.parse(html)
+        top = pages._article(root)
+        sig = pages._longest(pages.runs(top or root, pages._furniture, top is not None))
+        _, st, tx = pages.tree_rows(root)
+        for (e, s), found in st.items():
+            styles[host, e].add((sig, s))
+            kids[host, e, s] = [c for c, _ in found]
+        for e, t in tx:
+            texts[host, e].add((sig, t))
+            sigs[host, e].add(sig)
+
+    def entropy(counts, base):
+        n = sum(counts)
+        return -sum(c / n * math.log(c / n, base) for c in counts)
+
+    def of(host, e):
+        if (host, e) in texts:
+            m = len(sigs[host, e])
+            k = Counter(t for _, t in texts[host, e]).values()
+            return 1.0 if m == 1 else 1 - sum(c * math.log(c, m) for c in k) / sum(k)
+        n = len(styles[host, e])
+        if n == 1:
+            return 1.0
+        k = Counter(s for _, s in styles[host, e])
+        below = sum(c / n * sum(of(host, x) for x in kids[host, e, s]) / len(kids[host, e, s]) for s, c in k.items())
+        d = pages.DAMPING ** len(k)
+        return (1 - d) * entropy(k.values(), n) + d * below
+
+    return {(host, e): of(host, e) for host, e in [*styles, *texts]}
+
+
+def test_importances_against_the_definition(spark):
+    rng = random.Random(5)
+    kinds = ["<p>{}</p>", "<div class=a><p>{}</p><ul><li>x</li><li>{}</li></ul></div>", "<section><h2>Part</h2>{}<p>{}</p></section>", "<div>{} <b>{}</b><br>y</div>"]
+    rows = []
+    for i in range(30):
+        own = [rng.choice(kinds).format(*(f"{rng.choice('abcde')}{rng.randrange(1 + 9 * (i % 2))}" for _ in range(2))) for _ in range(rng.randrange(1, 6))]
+        rows.append((i, f"http://h{i % 3}.example/{i}", f"<body><div class=top>Shop</div><article>{''.join(own)}</article><div class=end>End {i % 2}</div></body>"))
+    rows += rows[:4]  # repeated rows count once
+    trees = pages.page_trees(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    got = {(r["hk"], r["id"]): r["x"] for r in pages.importances(trees).collect()}
+    hosts = {r["u"]: r["h"] for r in spark.createDataFrame([(f"h{i}.example",) for i in range(3)], "u string").selectExpr("u", "xxhash64(u) AS h").collect()}
+    want = plain_tree([(hosts[u.split("/")[2]], h) for _, u, h in rows])
+    assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_deep_pages_take_bounded_memory():
+    import tracemalloc
+
+    for tag in ("div", "div class=menu", "span"):
+        deep = f"<{tag}>" * 60_000 + "x" + "</em></div>" * 60_000
+        tracemalloc.start()
+        assert pages.extract(deep) == "x" and pages.tree_rows(pages.parse(deep))[0] >= 1
+        assert tracemalloc.get_traced_memory()[1] < 200_000_000
+        tracemalloc.stop()
+
+
+def test_repeated_headings_inside_articles_stay(spark):
+    page = lambda i: f"<body><p class=top>Our shop</p><article><h1>Story {i}</h1>{'<p>word %d and more</p>' * (1 + i % 4) % tuple(i * 9 + j for j in range(1 + i % 4))}<h2>Sources</h2><p>Book {i}</p></article><div>Call us</div></body>"
+    got = bodies(spark, [(i, "http://a.example/x", page(i)) for i in range(20)])
+    assert all("Sources" in t and "Our shop" not in t and "Call us" not in t for t in got.values())
 
 
 def test_equal_articles_of_a_host_stay(spark):
