@@ -60,28 +60,55 @@ def drop(*frames: DataFrame) -> None:
             p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def _members(bitmap):
+def _members(bitmaps):
     def run(batches):
-        words = np.frombuffer(bitmap.value, np.int64)
         for batch in batches:
             h = batch.column("_h").to_numpy()
-            yield batch.filter(pa.array((words[h >> 6] >> (h & 63)) & 1, pa.int8()).cast(pa.bool_()))
+            on = np.ones(len(h), bool)
+            for shared, wanted in bitmaps:
+                on &= ((np.frombuffer(shared.value, np.int64)[h >> 6] >> (h & 63)) & 1) == wanted
+            yield batch.filter(pa.array(on))
 
     return run
 
 
+def _place(c: str) -> Column:
+    return F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
+
+
+def _bitmap(ids: DataFrame, key: str):
+    """Broadcast bits of the ids' hashes: FILTER_BITS / 8 bytes, whatever their number."""
+    bits = ids.select(_place(key).alias("_h")).groupBy(F.shiftright("_h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(_h & 63))")).alias("b")).toArrow()
+    words = np.zeros(FILTER_BITS // 64, np.int64)
+    words[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
+    return ids.sparkSession.sparkContext.broadcast(words.tobytes())
+
+
+def _passed(rows: DataFrame, key: str, bitmaps: list) -> DataFrame:
+    marked = rows.withColumn("_h", _place(key))
+    return marked.mapInArrow(_members(bitmaps), marked.schema).drop("_h")
+
+
 def likely(rows: DataFrame, ids: DataFrame, key: str, other: str) -> DataFrame:
     """rows whose key may be among ids: a bitmap of FILTER_BITS hashes drops most others before a join deals long rows out.
 
-    None that belongs is dropped; the exact join is the caller's.
+    None that belongs is dropped; the exact join is the caller's. Rows are those of a name of this subpackage.
     """
-    place = lambda c: F.pmod(F.xxhash64(F.col(c)), F.lit(FILTER_BITS))
-    bits = ids.select(place(other).alias("_h")).groupBy(F.shiftright("_h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, int(_h & 63))")).alias("b")).toArrow()
-    words = np.zeros(FILTER_BITS // 64, np.int64)
-    words[bits.column("w").to_numpy()] = bits.column("b").to_numpy()
-    shared = rows.sparkSession.sparkContext.broadcast(words.tobytes())  # FILTER_BITS / 8 bytes: a fixed size
-    marked = rows.withColumn("_h", place(key))
-    return marked.mapInArrow(_members(shared), marked.schema).drop("_h")
+    return _passed(rows, key, [(_bitmap(ids, other), 1)])
+
+
+def among(rows: DataFrame, ids: DataFrame, key: str, other: str) -> DataFrame:
+    """rows whose key is among the distinct ids, where only doubtful rows are dealt out for a join.
+
+    One bitmap holds the ids, a second the keys of rows that pass it wrongly: a row that the
+    first passes and the second does not belongs for sure. At any number of ids the result is
+    exact; the fuller the bitmaps, the more rows go through the join.
+    """
+    first = _bitmap(ids, other)
+    wrong = _passed(rows.select(key), key, [(first, 1)]).join(ids, F.col(key) == F.col(other), "left_anti")
+    second = _bitmap(wrong, key)
+    doubtful = _passed(rows, key, [(first, 1), (second, 1)]).join(ids, F.col(key) == F.col(other), "left_semi")
+    return _passed(rows, key, [(first, 1), (second, 0)]).filter(F.col(key).isNotNull()).unionByName(doubtful)
 
 
 def parts(spark: SparkSession) -> int:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cairn.llm import common, decontam, hyperplanes, minhash, mixing, pages, quality, secrets, sharding, tokens, toxicity
-from cairn.llm.sql import OP1, OP2, OP6
+from cairn.llm.sql import OP1, OP2, OP6, OP7
 
 SHARDS, TOKEN_LIMIT = 16, 512
 
@@ -60,4 +60,4 @@ def op10_secret_scan(spark, sf_dir):
 
 _ALL = (op1_mixing, op2_minhash, op3_toxicity, op4_sharding, op5_decontamination, op6_embedding_dedup, op7_quality, op8_token_counts, op9_html_extraction, op10_secret_scan)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op1_mixing": OP1, "op2_minhash": OP2, "op6_embedding_dedup": OP6}
+ORACLES = {"op1_mixing": OP1, "op2_minhash": OP2, "op6_embedding_dedup": OP6, "op7_quality": OP7}

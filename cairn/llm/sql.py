@@ -41,3 +41,40 @@ c AS (SELECT x, count(*) AS n FROM l GROUP BY 1)
 SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, m.m AS component_id, v.vec_id = m.m AS kept
 FROM v LEFT JOIN c ON c.x = v.vec_id LEFT JOIN m ON m.x = v.vec_id
 """
+
+
+def _kneser_ney() -> str:
+    """The definition, order by order: counts, discounts, context masses, and each probe n-gram's interpolated probability."""
+    pad = " || ".join(["chr(2)"] * 4)
+    at = f"substr({pad} || t, i, 5)"
+    clean = "replace(text, chr(0), chr(65533))"
+    out = [
+        "good AS (SELECT DISTINCT doc_id FROM labels WHERE quality = 1)",
+        "fold AS (SELECT doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT % 5 = 0 AS told FROM good)",
+        f"d AS (SELECT doc_id, lang, coalesce({clean}, '') AS t FROM documents)",
+        f"c5 AS (SELECT {at} AS g, count(*) AS n FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM d JOIN fold USING (doc_id) WHERE NOT told) GROUP BY 1)",
+        *(f"c{k} AS (SELECT substr(g, 2) AS g, count(*) AS n FROM c{k + 1} GROUP BY 1)" for k in (4, 3, 2, 1)),
+        f"u5 AS (SELECT DISTINCT {at} AS g FROM (SELECT t, unnest(range(1, length(t) + 1)) AS i FROM d))",
+        *(f"u{k} AS (SELECT DISTINCT substr(g, 2) AS g FROM u{k + 1})" for k in (4, 3, 2, 1)),
+    ]
+    for k in range(1, 6):
+        low = "(SELECT 1.0::DOUBLE / (count(*) + 1) FROM c1)" if k == 1 else "l.p"
+        out += [
+            f"s{k} AS (SELECT count(*) FILTER (n = 1)::DOUBLE AS a, count(*) FILTER (n = 2)::DOUBLE AS b, count(*) FILTER (n = 3)::DOUBLE AS c, count(*) FILTER (n = 4)::DOUBLE AS e FROM c{k})",
+            f"y{k} AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN a / (a + 2 * b) ELSE 0.5 END AS y FROM s{k})",
+            f"f{k} AS (SELECT least(greatest(CASE WHEN a > 0 THEN 1 - 2 * y * b / a ELSE 0.5 END, 1e-3), 1 - 1e-3) AS d1, least(greatest(CASE WHEN b > 0 THEN 2 - 3 * y * c / b ELSE 1.0 END, 1e-3), 2 - 1e-3) AS d2, least(greatest(CASE WHEN c > 0 THEN 3 - 4 * y * e / c ELSE 1.5 END, 1e-3), 3 - 1e-3) AS d3 FROM y{k})",
+            f"o{k} AS (SELECT g, n, substr(g, 1, {k - 1}) AS x, CASE n WHEN 1 THEN d1 WHEN 2 THEN d2 ELSE d3 END AS off FROM c{k}, f{k})",
+            f"x{k} AS (SELECT x, sum(n)::DOUBLE AS total, sum(off) AS lost FROM o{k} GROUP BY 1)",
+            f"q{k} AS (SELECT u.g, coalesce((o.n - o.off) / x.total, 0) + coalesce(x.lost / x.total, 1) * {low} AS p FROM u{k} u LEFT JOIN o{k} o ON o.g = u.g LEFT JOIN x{k} x ON x.x = substr(u.g, 1, {k - 1})" + (f" JOIN q{k - 1} l ON l.g = substr(u.g, 2))" if k > 1 else ")"),
+        ]
+    out += [
+        f"e AS (SELECT doc_id, {at} AS g FROM (SELECT doc_id, t, unnest(range(1, length(t) + 1)) AS i FROM d))",
+        "z AS (SELECT doc_id, count(*) AS n, round(exp(-avg(ln(p))), 6) AS perplexity FROM e JOIN q5 USING (g) GROUP BY 1)",
+        "h AS (SELECT d.lang, z.perplexity FROM z JOIN d USING (doc_id) JOIN fold USING (doc_id) WHERE told)",
+        "w AS (SELECT lang, quantile_disc(perplexity, 0.99) AS own FROM h GROUP BY 1)",
+        "v AS (SELECT d.doc_id, d.lang, coalesce(z.n, 0)::BIGINT AS n_scored, z.perplexity, coalesce(w.own, (SELECT quantile_disc(perplexity, 0.99) FROM h), 'inf'::DOUBLE) AS threshold FROM d LEFT JOIN z USING (doc_id) LEFT JOIN w ON w.lang IS NOT DISTINCT FROM d.lang)",
+    ]
+    return "WITH " + ",\n".join(out) + "\nSELECT *, coalesce(perplexity <= threshold, false) AS kept FROM v"
+
+
+OP7 = _kneser_ney()

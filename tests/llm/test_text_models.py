@@ -240,8 +240,7 @@ def test_basis_holds_every_item():
 
 def plain_kneser_ney(texts, probe):
     """Log-probabilities by the recursive definition, over tuples of symbols."""
-    table = quality._symbol_table()
-    sym = lambda t: [0] * (quality.ORDER - 1) + [int(table[ord(c) & 0xFFFF]) for c in t]
+    sym = lambda t: [quality.PAD] * (quality.ORDER - 1) + list(t)
     from collections import Counter, defaultdict
 
     counts = {quality.ORDER: Counter()}
@@ -269,9 +268,9 @@ def plain_kneser_ney(texts, probe):
     def p(g):
         n = len(g)
         if not n:
-            return 1 / quality.SYMBOLS
+            return 1 / (len(counts[1]) + 1)
         row = rows[n].get(g[:-1])
-        low = p(g[1:]) if n > 1 else 1 / quality.SYMBOLS
+        low = p(g[1:])
         if not row:
             return low
         total = sum(row.values())
@@ -285,14 +284,45 @@ def plain_kneser_ney(texts, probe):
     return math.exp(-sum(math.log(p(tuple(s[i : i + quality.ORDER]))) for i in range(len(probe))) / len(probe))
 
 
-def test_quality_against_the_definition(spark):
+def training(spark, ids):
+    rows = spark.createDataFrame([(i,) for i in ids], "i long").select("i", quality._fold_of(F.col("i")).alias("f")).collect()
+    return [r["i"] for r in rows if r["f"]]
+
+
+@pytest.mark.parametrize("most", [0, 40, quality.HEAD])
+def test_quality_against_the_definition(spark, monkeypatch, most):
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 700)
+    monkeypatch.setattr(quality, "PIECE", 90)  # longer texts come in pieces
+    monkeypatch.setattr(quality.head, "__defaults__", (most,))
     rng = random.Random(1)
-    texts = ["".join(rng.choice("abc de\n,.É1") for _ in range(200)) for _ in range(12)]
-    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string")
-    labels = spark.createDataFrame([(i, 1) for i in range(8)] + [(9, 0)], "doc_id long, quality int")
+    texts = ["".join(rng.choice(letters) for _ in range(rng.choice((1, 3, 50, 200)))) for letters in ("abc de\n,.É1", "жизнь ёлка", "日本語漢字かな", "\U0001f600\U0001f601 x") for _ in range(6)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, 1) for i in range(20)] + [(21, 0)], "doc_id long, quality int")
     got = {r["doc_id"]: r["perplexity"] for r in quality.score(docs, labels).collect()}
-    for i in (0, 7, 9, 11):
-        assert got[i] == pytest.approx(plain_kneser_ney(texts[:8], texts[i]), rel=1e-4)
+    known = [texts[i] for i in training(spark, range(20))]
+    for i in range(24):
+        assert got[i] == pytest.approx(plain_kneser_ney(known, texts[i]), rel=1e-5)
+
+
+def test_quality_tells_scripts_apart(spark):
+    rng = random.Random(3)
+    words = {"ru": "жизнь долгая дорога ведёт через поля где ветер поёт".split(), "ja": "日本語 漢字 仮名 文章 言葉 世界 時間".split()}
+    rows = [(i, " ".join(rng.choice(words[("ru", "ja")[i % 2]]) for _ in range(60)), ("ru", "ja")[i % 2]) for i in range(60)]
+    junk = [(100 + i, "".join(rng.choice("".join(w)) for _ in range(300)), k) for i, (k, w) in enumerate(words.items())]
+    docs = spark.createDataFrame(rows + junk, "doc_id long, text string, lang string")
+    got = {r["doc_id"]: r for r in quality.score(docs, spark.createDataFrame([(i, 1) for i in range(60)], "doc_id long, quality int")).collect()}
+    assert sum(got[i]["kept"] for i in range(60)) >= 57 and not got[100]["kept"] and not got[101]["kept"]
+
+
+def test_exact_filter_without_dealing_rows(spark, monkeypatch):
+    from cairn.llm import common
+
+    rows = spark.range(500).selectExpr("id AS k", "CAST(id AS string) AS t").union(spark.createDataFrame([(None, "x"), (3, "again")], "k long, t string"))
+    ids = spark.range(0, 500, 7).selectExpr("id AS i")
+    for bits in (64, 1 << 26):  # a full bitmap sends all rows through the join
+        monkeypatch.setattr(common, "FILTER_BITS", bits)
+        got = common.among(rows, ids, "k", "i").collect()
+        assert sorted((r["k"], r["t"]) for r in got) == sorted([(i, str(i)) for i in range(0, 500, 7)])
 
 
 def test_quality_on_labels(spark, larger):
