@@ -9,6 +9,15 @@ def words(text):
     return (text or "").encode().lower().split()
 
 
+def plain_words(text):
+    """Lower-cased words of letters, digits and whatever is not ASCII."""
+    return "".join(c if ord(c) >= 128 or c.isalnum() else " " for c in (text or "").lower()).encode("utf-8", "surrogatepass").split(b" ")
+
+
+def held_words(text):
+    return [w for w in plain_words(text) if w]
+
+
 def awkward(spark, texts=None):
     """Nulls in every column, empty and very long texts, repeated rows, extra columns with clashing names."""
     long_ = " ".join(f"w{i % 977}x{i % 13}" for i in range(30_000))

@@ -1,6 +1,6 @@
 import corpus_pipeline
-from cairn.llm import decontam, minhash, toxicity
-from tests.llm.helpers import awkward, near_duplicates
+from cairn.llm import minhash, toxicity
+from tests.llm.helpers import awkward, held_words, near_duplicates
 
 
 def test_stages_take_effect_one_after_another(spark, data):
@@ -21,8 +21,8 @@ def test_stages_take_effect_one_after_another(spark, data):
     text = {r["doc_id"]: r["text"] for r in docs.collect()}
     groups = near_duplicates([(k, text[k]) for k in kept[0]])
     assert set(kept[1]) == {k for k, (_, low) in groups.items() if k == low}
-    items = [decontam.words(r["text"]) for r in bench.collect()]
-    held = {k for k in kept[1] if any(b" " + b" ".join(w) + b" " in b" " + b" ".join(decontam.words(text[k])) + b" " for w in items)}
+    items = [held_words(r["text"]) for r in bench.collect()]
+    held = {k for k in kept[1] if any(b" " + b" ".join(w) + b" " in b" " + b" ".join(held_words(text[k])) + b" " for w in items)}
     assert not held & set(kept[2]) and len(kept[2]) >= len(kept[1]) - len(held) - 2
     assert set(kept[3]) <= set(kept[2])
     run = corpus_pipeline.run(spark, data).collect()

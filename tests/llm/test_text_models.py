@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import decontam, quality, queries, secrets, toxicity
-from tests.llm.helpers import awkward, empty
+from tests.llm.helpers import awkward, empty, held_words
 
 ASSIGN = re.compile(r"(?i:(password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
 
@@ -140,15 +140,15 @@ def test_common_words_against_the_table(spark):
 
 def test_leaks_against_brute_force(spark, larger):
     docs, bench = (spark.read.parquet(f"{larger}/{n}.parquet") for n in ("documents", "benchmark"))
-    items = {r["item_id"]: decontam.words(r["text"]) for r in bench.collect()}
+    items = {r["item_id"]: held_words(r["text"]) for r in bench.collect()}
     got = {r["doc_id"]: r for r in decontam.find_leaks(docs, bench).collect()}
     assert len(got) == docs.count()
     for r in docs.collect():
-        body = b" " + b" ".join(decontam.words(r["text"])) + b" "
+        body = b" " + b" ".join(held_words(r["text"])) + b" "
         held = {i for i, w in items.items() if b" " + b" ".join(w) + b" " in body}
         assert held <= set(got[r["doc_id"]]["items"])
         if not held and got[r["doc_id"]]["contaminated"]:  # part of an item: most of it in order
-            w = decontam.words(r["text"])
+            w = held_words(r["text"])
             assert any(lcs(items[i], w) >= 0.5 * len(items[i]) for i in got[r["doc_id"]]["items"])
     assert sum(r["contaminated"] for r in got.values()) <= 0.1 * len(got)
 
@@ -233,9 +233,94 @@ def test_basis_holds_every_item():
     rng = np.random.default_rng(3)
     rows = [(np.arange(4), np.full(4, 0.5))] * 100 + [(np.arange(4 * i, 4 * i + 4), np.full(4, 0.5)) for i in range(1, 60)]
     rows += [(np.sort(rng.choice(np.arange(300, 900), 20, replace=False)), np.full(20, 20**-0.5)) for _ in range(97)]
-    used, basis = decontam.latent_basis(rows, rank=8)
+    used, basis = decontam.latent_basis(rows)
     assert all(np.linalg.norm(x @ basis[np.searchsorted(used, s)]) >= decontam.HELD - 1e-3 for s, x in rows)
     assert np.allclose(basis.T @ basis, np.eye(basis.shape[1]), atol=1e-4) and basis.shape[1] < len(rows)
+    shared = np.linalg.qr(rng.standard_normal((900, 12)))[0].astype(np.float32)
+    used, both = decontam.latent_basis(rows, shared)
+    assert np.allclose(both.T @ both, np.eye(both.shape[1]), atol=1e-4)
+    assert all(np.linalg.norm(x @ both[np.searchsorted(used, s)]) >= decontam.HELD - 1e-3 for s, x in rows)
+    inside = shared[used] - both @ (both.T @ shared[used])
+    assert np.abs(inside).max() < 1e-3  # the shared dimensions are all there
+
+
+def test_words_by_prefix_sums(data, monkeypatch):
+    import numpy as np
+    import pyarrow.parquet as pq
+
+    texts = [t or "" for t in pq.read_table(f"{data}/documents.parquet").column("text").to_pylist()]
+    texts += ["", " ", "A-b_c ÉÈ\0ΣΑΣ ΣΑΣ", "x" * 5000, "日本語 a1b2", "İstanbul ſ K", "\x85a\xa0b"]
+    for together in (1 << 20, 50):
+        monkeypatch.setattr(decontam, "TOGETHER", together)
+        got = decontam.words_of(texts)
+        want = [held_words(t.replace("\0", " ")) for t in texts]
+        assert [len(h) for h in got] == [len(w) for w in want]
+        name = {}
+        for h, w in zip(got, want, strict=True):
+            assert all(name.setdefault(int(x), y) == y for x, y in zip(h, w, strict=True))
+        assert len(set(name.values())) == len(name)
+
+
+def test_randomised_svd_finds_the_leading_dimensions(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    topics = [[f"t{k}w{i}" for i in range(8)] for k in range(6)]
+    rows = [(i, " ".join(rng.choice(topics[i % 6]) for _ in range(64))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    each = [decontam.words(t) for _, t in rows[:6]]
+    known, total = decontam.weigh(docs, np.unique(np.concatenate(each)))
+    assert total == 600
+    v = decontam.latent_words(docs, known, [known.find(w)[0] for w in each], total, rank=6)
+    a = []
+    for t in [t for _, t in rows] + [t for _, t in rows[:6]]:
+        at, weight = known.find(decontam.words(t))
+        for k in range(0, len(at), 16):
+            x = np.zeros(len(known.known))
+            np.add.at(x, at[k : k + 32], weight[k : k + 32])
+            a.append(x / np.sqrt((weight[k : k + 32] ** 2).sum()))
+    a = np.array(a)
+    _, size, right = np.linalg.svd(a, full_matrices=False)
+    assert np.allclose(v.T @ v, np.eye(6), atol=1e-4)
+    assert np.linalg.norm(a @ v) ** 2 >= 0.98 * (size[:6] ** 2).sum()
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_paraphrases_with_answers_of_any_length(spark, n):
+    rng = random.Random(16)
+    items = [(i, " ".join(f"q{rng.randrange(2000)}" for _ in range(24)) + "? " + " ".join(f"Ans{rng.randrange(500)}" for _ in range(n)) + ".") for i in range(30)]
+    docs = []
+    for i, t in items:
+        w = t.split()
+        w = [x if k >= 24 or k % 5 < 3 else f"z{rng.randrange(500)}" for k, x in enumerate(w)]  # two words in five are others
+        docs.append((i, " ".join([*filler(rng, 60), *w, *filler(rng, 60)])))
+        docs.append((100 + i, " ".join([*filler(rng, 60), *w[:24], *filler(rng, 60)])))  # the question alone
+    got = decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {r["doc_id"] for r in got if r["contaminated"]}
+    assert len([i for i in found if i < 100]) >= 29 and not [i for i in found if i >= 100]
+
+
+def test_leaks_against_all_pairs(spark):
+    rng = random.Random(21)
+    items = [(i, " ".join(f"v{int(300 * rng.random() ** 2)}" for _ in range(rng.randrange(6, 40)))) for i in range(25)]
+    docs = []
+    for i in range(250):
+        w = filler(rng, rng.randrange(0, 120)) + [f"v{int(300 * rng.random() ** 2)}" for _ in range(20)]
+        own = [x for x in items[i % 25][1].split() if rng.random() < rng.choice((1, 0.9, 0.75, 0.5, 0.2))]
+        at = rng.randrange(len(w))
+        w[at:at] = own
+        docs.append((i, " ".join(w)))
+    got = {r["doc_id"]: set(r["items"]) for r in decontam.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    asked = missed = 0
+    for i, t in docs:
+        w = held_words(t)
+        for j, x in items:
+            x = held_words(x)
+            stretches = [w[k : k + 5 * len(x) // 4] for k in range(0, max(1, len(w) - len(x) + 1))]
+            if max(lcs(x, y) for y in stretches) >= decontam.COVERED * len(x):
+                asked += 1
+                missed += j not in got[i]
+    assert asked >= 60 and missed <= 0.02 * asked
 
 
 def plain_kneser_ney(texts, probe):
