@@ -26,15 +26,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def scratch(spark: SparkSession) -> str:
     """The shared folder for written intermediate tables.
 
-    It is what ``spark.checkpoint.dir`` names. Where that is unset, a local master gets a
-    temporary folder, which is set as the checkpoint folder, and a cluster gets a folder in
-    the warehouse, which all its executors share.
+    It is what ``spark.checkpoint.dir`` names, or the folder set by setCheckpointDir(). Where both
+    are unset, a local master gets a temporary folder, which is set as the checkpoint folder, and
+    a cluster a folder in its warehouse if that is in a store that all machines see.
     """
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found.rstrip("/")
     sc = spark.sparkContext
     if not sc.master.startswith("local[") and sc.master != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_scratch"
+        if found := sc.getCheckpointDir():
+            return found.rstrip("/")
+        found = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        if "://" not in found or found.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        return found + "/_scratch"
     if sc.applicationId not in _LOCAL:
         made = _LOCAL[sc.applicationId] = tempfile.mkdtemp(prefix="cairn-")
         sc.setCheckpointDir(made)
@@ -115,15 +120,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Texts are long: fewer rows to an Arrow batch bound the memory of Python workers."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def packed(df: DataFrame) -> Column:
+    """All columns of df in one struct, so that none clashes with an operator's own."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
 def _ordered(df: DataFrame, keys: list) -> DataFrame:
     """Range-partitioned by keys and written, with _m: rises with the order; _p: its partition."""
     out = df.repartitionByRange(parts(df.sparkSession), *keys).sortWithinPartitions(*keys)

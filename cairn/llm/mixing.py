@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import n_words, number_rows, prefix_sums, save
+from cairn.llm.common import drop, n_words, number_rows, packed, prefix_sums, save
 
 SEED = 20_240_611
 
@@ -47,25 +47,35 @@ def plan_mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float
 
     Null and empty texts have size 0 and are copied like others, at 0 words; a null source is a
     source of its own, after the others; ties in size go by doc_id, then by the text's hash;
-    repeated rows are separate documents; no rows give no rows; a source of size 0 is not taken.
+    repeated rows are separate documents; no rows give no rows; a source of size 0 is not taken;
+    columns of docs that are named like those added are replaced.
     """
-    keyed = docs.withColumns({"_null": F.col(source).isNull(), "_src": F.coalesce(F.col(source), F.lit("")), "__size": n_words(F.col(text)), "_hash": F.md5(F.coalesce(F.col(text), F.lit("")))})
+    planned = _planned(docs, weights, share, cap, seed, text, source, doc_id, carry)
+    own = ["__size", "__source_size", "__target", "__copies", "__taken"]
+    kept = [c for c in (docs.columns if carry is None else carry) if c not in own]
+    return planned.select(*(F.col(f"_doc.`{c}`") for c in kept), *own)
+
+
+def _planned(docs: DataFrame, weights, share, cap, seed, text, source, doc_id, carry) -> DataFrame:
+    """plan_mix() with the carried columns in one struct, _doc."""
+    some = docs if carry is None else docs.select(*(f"`{c}`" for c in carry))
+    c = lambda name: F.col(f"`{name}`")
+    body = c(text).cast("string")
+    keyed = docs.select(packed(some).alias("_doc"), c(doc_id).alias("_id"), c(source).isNull().alias("_null"), F.coalesce(c(source).cast("string"), F.lit("")).alias("_src"), n_words(body).alias("__size"), F.md5(F.coalesce(body, F.lit(""))).alias("_hash"))
+    if carry is not None:
+        keyed = save(keyed)  # texts are read once
     sizes = save(keyed.groupBy("_null", "_src").agg(F.sum("__size").alias("source_size")))
     targets = source_targets(sizes, weights, share, cap)
-    order = [F.col("__size").desc(), F.col(doc_id).asc_nulls_last(), F.col("_hash")]
-    carried = list(docs.columns if carry is None else carry)
-    keyed = keyed.select(*(F.col(f"`{c}`") for c in dict.fromkeys([*carried, doc_id])), "_null", "_src", "__size", "_hash")
-    ranked = number_rows(keyed, ["_null", "_src"], order, "_rank").join(targets.withColumnsRenamed({"source_size": "__source_size", "target": "__target"}), ["_null", "_src"])
+    ranked = number_rows(keyed, ["_null", "_src"], [F.col("__size").desc(), F.col("_id").asc_nulls_last(), F.col("_hash")], "_rank")
+    placed = ranked.join(targets.withColumnsRenamed({"source_size": "__source_size", "target": "__target"}), ["_null", "_src"])
     rate = F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0)
     offset = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.when(F.col("_null"), "n").otherwise("s"), F.col("_src"))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     copies = F.floor(F.col("_rank") * rate + offset) - F.floor((F.col("_rank") - 1) * rate + offset)
-    out = ranked.withColumn("__copies", copies.cast("long")).withColumn("__taken", F.col("__copies") * F.col("__size"))
-    return out.select(*(f"`{c}`" for c in carried), "__size", "__source_size", "__target", "__copies", "__taken")
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mixed corpus: docs' own columns, each row as often as plan_mix takes it."""
-    planned = plan_mix(docs, **options)
-    return planned.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*(f"`{c}`" for c in docs.columns))
+    drop(sizes, keyed)
+    return placed.withColumn("__copies", copies.cast("long")).withColumn("__taken", F.col("__copies") * F.col("__size"))
 
 
+def mix(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: int = SEED, text: str = "text", source: str = "source", doc_id: str = "doc_id") -> DataFrame:
+    """The mixed corpus: docs' own columns, whatever their names, each row as often as plan_mix() takes it."""
+    planned = _planned(docs, weights, share, cap, seed, text, source, doc_id, None)
+    return planned.filter("__copies > 0").withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select("_doc.*")
