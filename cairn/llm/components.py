@@ -8,17 +8,28 @@ from pyspark.sql import functions as F
 from cairn.llm.common import drop, save
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: A node with over one in HUBS of the links meets them by a broadcast of such nodes: at most twice HUBS.
+HUBS = 1_000
+
+
+def _led(edges: DataFrame, least: DataFrame, total: int) -> DataFrame:
+    """edges with _m of their u; the links of a hub stay where they are instead of meeting in one task."""
+    hubs = least.filter(F.col("_n") > max(1, total // HUBS))
+    rest = edges.join(F.broadcast(hubs.select("u")), "u", "left_anti").join(least, "u")
+    return edges.join(F.broadcast(hubs), "u").unionByName(rest)
+
+
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every neighbour above a node is linked to the least of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("u", "_m").alias("_m"))
-    return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+    least = both.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n")).select("u", F.least("u", "_m").alias("_m"), "_n")
+    return _led(both.filter("v > u"), least, total).select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node and its neighbours below it are linked to the least of those."""
-    least = edges.groupBy("u").agg(F.min("v").alias("_m"))
-    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u <> v")
+    least = edges.groupBy("u").agg(F.min("v").alias("_m"), F.count(F.lit(1)).alias("_n"))
+    moved = _led(edges, least, total).select(F.col("v").alias("u"), F.col("_m").alias("v")).filter("u <> v")
     return moved.unionByName(least.select("u", F.col("_m").alias("v"))).distinct()
 
 
@@ -36,6 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
         if seen == mark or not seen[0]:
             break
         mark, old = seen, now
-        now = save(_small_star(_large_star(old)))
-        drop(old)
+        far = save(_large_star(old, seen[0]))
+        now = save(_small_star(far, seen[0]))
+        drop(old, far)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

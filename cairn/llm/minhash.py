@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import blocks
-from cairn.llm.common import drop, likely, save, small_batches
+from cairn.llm.common import drop, likely, packed, save
 from cairn.llm.components import components
 
 #: Words to a shingle, least similarity in percent.
@@ -21,6 +21,8 @@ STAR_BANDS = 16
 #: sets unless the estimate lies this many standard deviations below the threshold.
 SIGMAS = 5.5
 SEED = 7
+#: Tasks that share the rows of a bucket.
+SALTS = 16
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -193,7 +195,6 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     kept; repeated rows have one component; no rows give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     fields = rows * bands
     slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("doc_id"), F.md5(text).alias("_key"), F.col(text).cast("string").alias("_text"))
     signed = save(slim.mapInArrow(_signer(width, rows, bands), "_row long, doc_id long, _key string, n long, c1 long, c2 long, bands array<long>, sketch binary"))
@@ -219,29 +220,34 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     found = save(components(links))
     # buckets of two have had their pair tried
     apart = members.join(found, "node", "left").select("k", "c", "node", F.coalesce("component", "node").alias("comp"))
-    mixed = apart.groupBy("k").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x < _y").select("k")
+    mixed = apart.groupBy("k").agg(F.min("comp").alias("_x"), F.max("comp").alias("_y")).filter("_x < _y").select("k", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     held = nodes.select("node", "n", "sketch").join(texts, "node")
-    open_rows = apart.join(mixed, "k", "left_semi").join(held, "node")
+    # a bucket may hold very many nodes: its rows go to SALTS tasks
+    open_rows = apart.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(mixed, ["k", "_salt"]).drop("_salt").join(held, "node")
     dealt = blocks.deal(open_rows, "k", "c", "node").select("k", "_i", "_j", "_b", "node", "comp", "n", "sketch", "_text")
     late = save(dealt.mapInArrow(_across(width, percent, fields), "u long, v long").distinct())
     if not late.isEmpty():
         stars_now = found.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v"))
-        found = save(components(stars_now.unionByName(late)))
+        old, found = found, save(components(stars_now.unionByName(late)))
+        drop(old)
     classes = nodes.select("n", "c1", "c2", "node", "low").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     lows = classes.groupBy("component").agg(F.min("low").alias("_low"))
     classes = classes.join(lows, "component").select("n", "c1", "c2", "_low")
     out = signed.select("doc_id", "_key", "n", "c1", "c2").join(classes, ["n", "c1", "c2"], "left")
     least = F.when(F.col("n") > 0, F.col("_low")).otherwise(F.col("doc_id"))
-    drop(buckets, members, texts, wanted)
-    return out.select("doc_id", "_key", F.col("n").alias("n_shingles"), least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept"))
+    out = save(out.select("doc_id", "_key", F.col("n").alias("n_shingles"), least.alias("component_id"), F.col("doc_id").eqNullSafe(least).alias("kept")))
+    drop(buckets, members, texts, wanted, stars, links, late, found, nodes, signed)
+    return out
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """docs without near-duplicates: of every component the document that it is named after, once."""
     text, doc_id = options.get("text", "text"), options.get("doc_id", "doc_id")
     found = near_duplicates(docs, **options)
-    kept = save(found.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("_key").alias("_kept_key")).agg(F.count(F.lit(1)).alias("_n")))
-    out = docs.withColumn("_kept_key_", F.md5(text)).join(kept, F.col(doc_id).eqNullSafe(F.col("_id")) & F.col("_kept_key_").eqNullSafe(F.col("_kept_key")), "left_semi")
+    kept = save(found.filter("kept").groupBy(F.col("doc_id").alias("_k"), F.col("_key").alias("_kk")).agg(F.count(F.lit(1)).alias("_n")))
+    drop(found)
+    rows = docs.select(packed(docs).alias("_doc"), F.col(f"`{doc_id}`").cast("long").alias("_id"), F.md5(F.col(f"`{text}`").cast("string")).alias("_key"))
+    out = rows.join(kept, F.col("_id").eqNullSafe(F.col("_k")) & F.col("_key").eqNullSafe(F.col("_kk")), "left_semi")
     if not kept.filter("_n > 1").isEmpty():
-        out = out.dropDuplicates([doc_id, "_kept_key_"])
-    return out.drop("_kept_key_")
+        out = out.dropDuplicates(["_id", "_key"])
+    return out.select("_doc.*")
