@@ -36,6 +36,8 @@ NOT_UNIFORM, NOT_SERIAL, NOT_RUNS = 1e-4, 1e-4, 1e-4
 #: Lengths from which a new stratum of the false-discovery control begins.
 STRATA = (20, 28, 40, 64)
 BINS = 300
+#: Matches of a text that are placed together.
+STEPS = 64
 
 
 def _tail(z: Column) -> Column:
@@ -46,19 +48,31 @@ def _tail(z: Column) -> Column:
 
 
 def _spans(text: str, matches: str, pattern: str) -> Column:
-    """(start, end, s) of all matches in code points, from the matches and what split() leaves between them."""
+    """(start, end, s) of all matches in code points, from the matches and what split() leaves between them.
+
+    Matches are worked off by STEPS, each beginning where the lengths of those before add up to,
+    so that the array that grows match by match is never long.
+    """
     between = F.split(F.col(text), pattern, -1)
-    kind = "struct<pos:int,out:array<struct<start:int,end:int,s:string>>>"
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<start:int,end:int,s:string>>").alias("out")).cast(kind)
+    item = "struct<start:int,end:int,s:string>"
+    kind = f"struct<pos:int,out:array<{item}>>"
+    empty = F.array().cast(f"array<{item}>")
 
     def step(acc, x):
-        at = acc["pos"] + F.length(x["b"])
+        at = acc["pos"] + x["b"]
         end = at + F.length(x["m"])
         return F.struct(end.alias("pos"), F.concat(acc["out"], F.array(F.struct(at.alias("start"), end.alias("end"), x["m"].alias("s")))).alias("out")).cast(kind)
 
-    zipped = F.arrays_zip(F.slice(between, F.lit(1), F.size(matches)).alias("b"), F.col(matches).alias("m"))
-    empty = F.array().cast("array<struct<start:int,end:int,s:string>>")
-    return F.when(F.size(matches) > 0, F.aggregate(zipped, start, step, lambda acc: acc["out"])).otherwise(empty)
+    zipped = F.arrays_zip(F.transform(F.slice(between, F.lit(1), F.size(matches)), F.length).alias("b"), F.col(matches).alias("m"))
+    steps = F.transform(F.sequence(F.lit(0), F.floor((F.size(matches) - 1) / STEPS).cast("int")), lambda k: F.slice(zipped, k * STEPS + 1, F.lit(STEPS)))
+    sized = F.transform(steps, lambda s: F.struct(s.alias("s"), F.aggregate(s, F.lit(0), lambda acc, x: acc + x["b"] + F.length(x["m"])).alias("n")))
+
+    def of(all_):
+        before = lambda k: F.aggregate(F.slice(all_, F.lit(1), k), F.lit(0), lambda acc, x: acc + x["n"])
+        return F.flatten(F.transform(all_, lambda x, k: F.aggregate(x["s"], F.struct(before(k).alias("pos"), empty.alias("out")).cast(kind), step, lambda acc: acc["out"])))
+
+    # the steps are bound once by a transform over a list of one
+    return F.when(F.size(matches) > 0, F.flatten(F.transform(F.array(sized), of))).otherwise(empty)
 
 
 def _encoded(t: Column) -> Column:
