@@ -9,7 +9,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import small_batches
 
 #: Fixed values of byte-level pre-tokenisation: the pattern, with Unicode white space spelled out.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -135,16 +134,21 @@ class PrefixCounter:
     def _segment(self, text: str) -> list[int]:
         out, space = [0], frozenset(" \t\n\r\x0b\x0c\x85\xa0     　") | {chr(c) for c in range(0x2000, 0x200B)}
         n = 0
+        run = (0, 0, [], [])  # the run of white space at hand: its bounds, tokens by bytes, bytes by code points
         for m in self.pieces.finditer(text):
             s, e = m.span()
             steps = [0, *accumulate(len(c.encode("utf-8", "surrogatepass")) for c in m[0])]
             counts = self.piece(m[0].encode("utf-8", "surrogatepass"))
             for p in range(s + 1, e + 1):
                 if text[p - 1] in space:  # the run of white space before the cut is one piece
-                    w = p
-                    while w and text[w - 1] in space:
-                        w -= 1
-                    out.append(out[w] + self.piece(text[w:p].encode())[-1])
+                    if not run[0] < p <= run[1]:
+                        w = end = p - 1
+                        while w and text[w - 1] in space:
+                            w -= 1
+                        while end < len(text) and text[end] in space:
+                            end += 1
+                        run = (w, end, self.piece(text[w:end].encode()), [0, *accumulate(len(c.encode()) for c in text[w:end])])
+                    out.append(out[run[0]] + run[2][run[3][p - run[0]]])
                 elif m[0][0] == "'" and p < e:  # a contraction cut short is no contraction
                     out.append(n + sum(self.piece(x.encode())[-1] for x in self.pieces.findall(text[s:p])))
                 else:
@@ -166,7 +170,6 @@ def _counter(path: str):
 
 
 def _slim(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, str]:
-    small_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     return slim, slim.schema["doc_id"].dataType.simpleString()
 
