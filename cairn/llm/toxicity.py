@@ -9,13 +9,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import save
+from cairn.llm.common import drop, save
 
 GRAMS = (3, 4, 5, 6)
 BITS = 20
-#: Bounds of training: labelled rows, by hash of their doc_id, and features, by how well they tell.
-MAX_ROWS, MAX_FEATURES = 12_000, 8_192
-SMOOTH, RIDGE = 1.0, 3e-4
+#: Bound of training: labelled rows, by hash of their doc_id. Every n-gram of theirs is a feature.
+MAX_ROWS = 12_000
+SMOOTH, RIDGE, ROUNDS = 1.0, 3e-3, 24
+#: One in so many training rows, by hash, is left for calibration; the pull of its slope to 1.
+CALIBRATE, PULL = 5, 1e-3
+#: Tasks that sum gradients.
+FIT_TASKS = 8
 
 
 @dataclass
@@ -51,42 +55,58 @@ def _count(batches):
     """For every bucket, the documents of each label that hold it, summed over the task."""
     n = np.zeros((2, 1 << BITS), np.int32)
     for batch in batches:
-        for text, y in zip(batch.column("text"), batch.column("y").to_pylist(), strict=True):
-            n[y][np.unique(grams(text.as_py()))] += 1
+        for f, y in zip(_buckets(batch), batch.column("y").to_pylist(), strict=True):
+            n[y][f] += 1
     at = np.flatnonzero(n.any(axis=0))
     yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0][at].astype(np.int64)), pa.array(n[1][at].astype(np.int64))], ["b", "n0", "n1"])
 
 
-def _select(buckets: np.ndarray):
+def _featured(batches):
+    for batch in batches:
+        f = [np.unique(grams(t.as_py())).astype(np.int32).tobytes() for t in batch.column("text")]
+        yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("c"), pa.array(f, pa.binary())], ["y", "c", "f"])
+
+
+def _buckets(batch) -> list[np.ndarray]:
+    return [np.frombuffer(f.as_py(), np.int32) for f in batch.column("f")]
+
+
+def _margins(rows: list[np.ndarray], v: np.ndarray) -> np.ndarray:
+    idx = np.concatenate([*rows, np.empty(0, np.int32)])
+    return np.bincount(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), weights=v[idx], minlength=len(rows)) + v[-1]
+
+
+def _slope(shared):
+    """Loss and gradient over a task's rows: margins are sums of the weights of a row's buckets."""
+
     def run(batches):
-        where = np.full(1 << BITS, -1, np.int32)
-        where[buckets] = np.arange(len(buckets), dtype=np.int32)
+        v = np.frombuffer(shared.value, np.float64)
+        grad, value = np.zeros(len(v)), 0.0
         for batch in batches:
-            rows = []
-            for text in batch.column("text"):
-                f = where[grams(text.as_py())]
-                rows.append(np.unique(f[f >= 0]))
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(rows, pa.list_(pa.int32()))], ["y", "f"])
+            rows, y = _buckets(batch), batch.column("y").to_numpy().astype(float)
+            z = _margins(rows, v)
+            g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
+            value += float((np.logaddexp(0, z) - y * z).sum())
+            for r, x in zip(rows, g, strict=True):
+                grad[r] += x  # a row's buckets differ
+            grad[-1] += g.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([grad.tobytes()], pa.binary())], ["value", "grad"])
 
     return run
 
 
-def fit_linear(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge: float, rounds: int = 60) -> tuple[np.ndarray, float]:
-    """Ridge logistic regression on binary features times scale, by L-BFGS: weights of the plain features, and bias."""
-    lens = np.array([len(r) for r in rows])
-    idx = np.concatenate(rows) if len(rows) else np.empty(0, np.int32)
-    row = np.repeat(np.arange(len(rows)), lens)
-    p = len(scale)
+def _marker(shared):
+    def run(batches):
+        v = np.frombuffer(shared.value, np.float64)
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(_margins(_buckets(batch), v))], ["y", "z"])
 
-    def loss(w):
-        v = w[:p] * scale
-        z = np.bincount(row, weights=v[idx], minlength=len(rows)) + w[p]
-        g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-        value = np.mean(np.logaddexp(0, z) - y * z) + ridge / 2 * (w[:p] @ w[:p])
-        grad = np.bincount(idx, weights=g[row], minlength=p) * scale / len(rows) + ridge * w[:p]
-        return value, np.append(grad, g.mean())
-
-    w = np.zeros(p + 1)
+    return run
+
+
+def minimise(loss, n: int, rounds: int = ROUNDS) -> np.ndarray:
+    """The least point of a smooth convex function, given with its gradient, from 0 by L-BFGS."""
+    w = np.zeros(n)
     value, grad = loss(w)
     pairs: list[tuple[np.ndarray, np.ndarray]] = []
     for _ in range(rounds):
@@ -111,22 +131,25 @@ def fit_linear(rows: list[np.ndarray], y: np.ndarray, scale: np.ndarray, ridge:
         else:
             break
         s, d = new - w, g2 - grad
-        done = value - v2 < 1e-9
+        done = value - v2 < 1e-6 * abs(value)
         w, value, grad = new, v2, g2
         if s @ d > 1e-12:
-            pairs = [*pairs[-9:], (s, d)]
+            pairs = [*pairs[-5:], (s, d)]
         if done:
             break
-    return w[:p] * scale, float(w[p])
+    return w
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", max_rows: int = MAX_ROWS, max_features: int = MAX_FEATURES) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", doc_id: str = "doc_id", max_rows: int = MAX_ROWS) -> Model:
     """Fit on labelled rows of docs; labels are learnt only where crc32(doc_id as text) mod 5 is not 0.
 
     At most ``max_rows`` labelled documents take part, chosen by hash of doc_id, with their
     whole texts. Documents of each label that hold an n-gram are counted over the cluster; the
-    ``max_features`` buckets whose shares differ most for their spread are kept; each is scaled
-    by its log-count ratio, and a ridge logistic regression weighs the scaled features. Rows
+    n-grams, hashed to 2**BITS buckets, are all features, scaled by their log-count ratios. A
+    ridge logistic regression weighs the scaled features: tasks sum losses and gradients over
+    written rows of buckets, and the driver holds a few vectors of 2**BITS numbers. One training
+    row in CALIBRATE is kept from this; on these a line through the margins makes the score a
+    share, as margins of rows learnt from are too sure of themselves. Rows
     without an id, a text or a label of 0 or 1 are not learnt from; of several labels of one id
     the largest holds. Without both labels the score is the share of the one there is, or 0.
     """
@@ -134,21 +157,53 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col(doc_id).cast("string")) % 5 != 0)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter("text IS NOT NULL").join(known, "_id")
-    rows = save(rows.select("text", "y"))
-    size = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = rows.select("text", "y", (F.crc32(F.concat(F.lit("c"), F.col("_id").cast("string"))) % CALIBRATE == 0).alias("c"))
+    featured = save(rows.repartition(FIT_TASKS).mapInArrow(_featured, "y int, c boolean, f binary"))
+    fit = featured.filter(~F.col("c"))
+    size = {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = size.get(0, 0), size.get(1, 0)
     if not n0 or not n1:
-        return Model(np.empty(0, np.int64), np.empty(0), 20.0 if n1 else -20.0)
-    counts = rows.mapInArrow(_count, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    p, q = F.col("n1") / n1, F.col("n0") / n0
-    mean = (F.col("n1") + F.col("n0")) / (n0 + n1)
-    told = F.abs(p - q) / F.sqrt(F.greatest(mean * (1 - mean), F.lit(1e-9)) * (1 / n0 + 1 / n1))
-    top = counts.filter(F.col("n0") + F.col("n1") > 1).orderBy(told.desc(), "b").limit(max_features).toPandas().sort_values("b")
-    buckets = top["b"].to_numpy()
-    ratio = np.log((top["n1"].to_numpy() + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((top["n0"].to_numpy() + SMOOTH) / (n0 + 2 * SMOOTH))
-    got = rows.mapInArrow(_select(buckets), "y int, f array<int>").toArrow()
-    weights, bias = fit_linear([np.asarray(x.values.to_numpy() if x.values is not None else [], np.int32) for x in got.column("f")], got.column("y").to_numpy().astype(float), ratio, RIDGE)
-    return Model(buckets, weights, bias)
+        ones = featured.agg(F.avg("y")).first()[0] or 0
+        return Model(np.empty(0, np.int64), np.empty(0), 20.0 if ones == 1 else -20.0)
+    counts = fit.mapInArrow(_count, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # 2**BITS rows at most
+    buckets = counts.column("b").to_numpy()
+    ratio = np.zeros(1 << BITS)
+    ratio[buckets] = np.log((counts.column("n1").to_numpy() + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((counts.column("n0").to_numpy() + SMOOTH) / (n0 + 2 * SMOOTH))
+
+    def loss(w):
+        v = w.copy()
+        v[:-1] *= ratio
+        shared = spark.sparkContext.broadcast(v.tobytes())
+        value, grad = 0.0, np.zeros(len(w))
+        for r in fit.mapInArrow(_slope(shared), "value double, grad binary").collect():  # a row for each of FIT_TASKS
+            value += r["value"]
+            grad += np.frombuffer(r["grad"], np.float64)
+        shared.destroy()
+        grad[:-1] *= ratio
+        grad /= n0 + n1
+        grad[:-1] += RIDGE * w[:-1]
+        return value / (n0 + n1) + RIDGE / 2 * (w[:-1] @ w[:-1]), grad
+
+    w = minimise(loss, (1 << BITS) + 1)
+    v = np.append(w[:-1] * ratio, w[-1])
+    left = featured.filter("c").mapInArrow(_marker(spark.sparkContext.broadcast(v.tobytes())), "y int, z double").toArrow()  # a share of max_rows
+    drop(featured)
+    slope, shift = calibrate(left.column("z").to_numpy(), left.column("y").to_numpy().astype(float))
+    return Model(buckets, slope * v[buckets], float(slope * v[-1] + shift))
+
+
+def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """The line a * z + b whose logistic is nearest to y; no line without both labels."""
+    if not len(y) or y.min() == y.max():
+        return 1.0, 0.0
+
+    def loss(u):
+        x = np.clip((u[0] + 1) * z + u[1], -500, 500)
+        g = (1 / (1 + np.exp(-x)) - y) / len(y)
+        return (np.logaddexp(0, x) - y * x).mean() + PULL / 2 * u[0] ** 2, np.array([(g * z).sum() + PULL * u[0], g.sum()])
+
+    a, b = minimise(loss, 2, 200)
+    return max(1e-3, float(a) + 1), float(b)
 
 
 def _scorer(model: Model):

@@ -88,12 +88,56 @@ def test_toxicity_on_held_out_rows(spark, larger):
     held = [r for r in rows if r["held_out"]]
     right = sum(r["predicted"] == r["toxic"] for r in held) / len(held)
     assert right >= 0.9
+    toxic = [r["predicted"] for r in held if r["toxic"]]
+    assert sum(toxic) >= 0.6 * len(toxic)
     false = sum(r["predicted"] == 1 and r["toxic"] == 0 for r in held)
     assert false <= 0.03 * len(held)
     pairs = [(a["score"] > b["score"]) + 0.5 * (a["score"] == b["score"]) for a in held if a["toxic"] for b in held if not b["toxic"]]
     assert sum(pairs) / len(pairs) >= 0.8
 
 
+def test_toxicity_against_a_plain_model(spark, larger):
+    """Naive Bayes log-count ratios and ridge logistic regression over all n-grams, in plain numpy."""
+    import numpy as np
+
+    docs, labels = (spark.read.parquet(f"{larger}/{n}.parquet") for n in ("documents", "labels"))
+    rows = [r for r in docs.join(labels, "doc_id").select("doc_id", "text", "toxic").collect() if r["text"] is not None]
+    fit = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 and zlib.crc32(f"c{r['doc_id']}".encode()) % toxicity.CALIBRATE]
+    left = [r for r in rows if zlib.crc32(str(r["doc_id"]).encode()) % 5 and not zlib.crc32(f"c{r['doc_id']}".encode()) % toxicity.CALIBRATE]
+    x = np.zeros((len(fit), 1 << toxicity.BITS), bool)
+    for i, r in enumerate(fit):
+        x[i, toxicity.grams(r["text"])] = True
+    y = np.array([r["toxic"] for r in fit], float)
+    used = np.flatnonzero(x.any(axis=0))
+    x = x[:, used].astype(float)
+    ratio = np.log((x[y == 1].sum(axis=0) + 1) / (y.sum() + 2)) - np.log((x[y == 0].sum(axis=0) + 1) / ((1 - y).sum() + 2))
+
+    def loss(w):
+        z = x @ (w[:-1] * ratio) + w[-1]
+        g = (1 / (1 + np.exp(-z)) - y) / len(y)
+        return (np.logaddexp(0, z) - y * z).mean() + toxicity.RIDGE / 2 * w[:-1] @ w[:-1], np.append(x.T @ g * ratio + toxicity.RIDGE * w[:-1], g.sum())
+
+    w = toxicity.minimise(loss, len(used) + 1)
+    table = np.zeros((1 << toxicity.BITS) + 1)
+    table[used], table[-1] = w[:-1] * ratio, w[-1]
+    margin = lambda r: table[np.unique(toxicity.grams(r["text"]))].sum() + table[-1]
+    a, b = toxicity.calibrate(np.array([margin(r) for r in left]), np.array([r["toxic"] for r in left], float))
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
+    for r in rows:
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + np.exp(-a * margin(r) - b)), abs=1e-3)
+
+
+def test_least_point_of_a_convex_function():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    m = rng.standard_normal((30, 30))
+    m = m @ m.T + np.eye(30)
+    at = rng.standard_normal(30)
+    w = toxicity.minimise(lambda w: ((w - at) @ m @ (w - at) / 2, m @ (w - at)), 30, 400)
+    assert np.allclose(w, at, atol=1e-2)
+
+
 def test_toxicity_finds_planted_words_in_long_texts(spark):
     rng = random.Random(2)
     word = lambda: "".join(rng.choice(["na", "to", "ri", "me", "su", "la"]) for _ in range(3))
