@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bits of the filter that goes before joins of texts.
 FILTER_BITS = 1 << 26
+#: Bytes of an Arrow batch, where the session has only Spark's default.
+BATCH = "4m"
 _LOCAL: dict[str, str] = {}
 
 
@@ -90,6 +92,7 @@ def _bitmap(ids: DataFrame, key: str):
 
 
 def _passed(rows: DataFrame, key: str, bitmaps: list) -> DataFrame:
+    bound_batches(rows.sparkSession)
     marked = rows.withColumn("_h", _place(key))
     return marked.mapInArrow(_members(bitmaps), marked.schema).drop("_h")
 
@@ -120,6 +123,15 @@ def parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long: Arrow batches of at most BATCH bytes bound the memory of Python workers.
+
+    Spark's own default, and nothing else, is lowered; a bound that the session's owner set stays.
+    """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == "67108864b":
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

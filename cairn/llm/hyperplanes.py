@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import blocks
-from cairn.llm.common import drop, save
+from cairn.llm.common import bound_batches, drop, save
 from cairn.llm.components import components
 
 COSINE, RECALL, SEED = 0.9, 0.995, 11
@@ -107,6 +107,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, recall: float = REC
     null component and are kept; repeated rows count each; no rows give no rows.
     """
     spark = vectors.sparkSession
+    bound_batches(spark)
     v = F.transform(F.col(vec), lambda x: x.cast("double"))
     fine = F.col("_v").isNotNull() & (F.size("_v") > 0) & F.coalesce(F.forall("_v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False)) & F.coalesce(F.exists("_v", lambda x: x != 0), F.lit(False))
     rows = save(vectors.select(F.monotonically_increasing_id().alias("_row"), F.col(vec_id).cast("long").alias("vec_id"), v.alias("_v")).withColumn("_ok", fine))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cairn.llm import blocks
-from cairn.llm.common import drop, likely, packed, save
+from cairn.llm.common import bound_batches, drop, likely, packed, save
 from cairn.llm.components import components
 
 #: Words to a shingle, least similarity in percent.
@@ -194,7 +194,7 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
     is equal; null doc_ids take part in links, and alone they have a null component and are
     kept; repeated rows have one component; no rows give no rows; other columns are ignored.
     """
-    spark = docs.sparkSession
+    bound_batches(docs.sparkSession)
     fields = rows * bands
     slim = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(doc_id).cast("long").alias("doc_id"), F.md5(text).alias("_key"), F.col(text).cast("string").alias("_text"))
     signed = save(slim.mapInArrow(_signer(width, rows, bands), "_row long, doc_id long, _key string, n long, c1 long, c2 long, bands array<long>, sketch binary"))

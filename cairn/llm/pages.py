@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import drop, save
+from cairn.llm.common import bound_batches, drop, save
 
 #: Elements whose content is never text of the page.
 NEVER = frozenset("head title script style noscript template iframe object embed svg math canvas audio video map select option textarea button input datalist dialog".split())
@@ -326,6 +326,7 @@ def _keyed(pages: DataFrame, html: str, url: str) -> list:
 
 def page_trees(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
     """Every page's part of its host's style tree, written: tree_rows(), the page's key and its copy signature."""
+    bound_batches(pages.sparkSession)
     return save(pages.select(*_keyed(pages, html, url), F.col(html).alias("_html")).mapInArrow(_trees, _TREE))
 
 

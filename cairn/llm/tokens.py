@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cairn.llm.common import bound_batches
+
 
 #: Fixed values of byte-level pre-tokenisation: the pattern, with Unicode white space spelled out.
 SPACE = "\t-\r \x85\xa0  -     　"
@@ -170,6 +172,7 @@ def _counter(path: str):
 
 
 def _slim(docs: DataFrame, text: str, doc_id: str) -> tuple[DataFrame, str]:
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     return slim, slim.schema["doc_id"].dataType.simpleString()
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import drop, save
+from cairn.llm.common import bound_batches, drop, save
 
 GRAMS = (3, 4, 5, 6)
 BITS = 20
@@ -154,6 +154,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     the largest holds. Without both labels the score is the share of the one there is, or 0.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col(doc_id).cast("string")) % 5 != 0)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
     rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter("text IS NOT NULL").join(known, "_id")
@@ -226,6 +227,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
     Null and empty texts hold no n-gram but the padding's and get the intercept's score; a null
     doc_id is not held out; repeated rows score alike; no rows give no rows.
     """
+    bound_batches(docs.sparkSession)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text"))
     kind = slim.schema["doc_id"].dataType.simpleString()
     out = slim.mapInArrow(_scorer(model), f"doc_id {kind}, score double")
@@ -248,4 +250,5 @@ def _keeper(model: Model, text: str):
 
 def drop_toxic(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """docs without the rows that score() predicts as toxic."""
+    bound_batches(docs.sparkSession)
     return docs.mapInArrow(_keeper(model, text), docs.schema)
