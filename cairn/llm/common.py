@@ -105,22 +105,20 @@ def likely(rows: DataFrame, ids: DataFrame, key: str, other: str) -> DataFrame:
     return _passed(rows, key, [(_bitmap(ids, other), 1)])
 
 
-def among(rows: DataFrame, ids: DataFrame, key: str, other: str) -> DataFrame:
-    """rows whose key is among the distinct ids, where only doubtful rows are dealt out for a join.
+def among(rows: DataFrame, ids: DataFrame, key: str, other: str, run, schema: str) -> DataFrame:
+    """mapInArrow(run, schema) of the rows whose key is among the distinct ids; only doubtful rows are dealt out for a join.
 
     One bitmap holds the ids, a second the keys of rows that pass it wrongly: a row that the
     first passes and the second does not belongs for sure. At any number of ids the result is
-    exact; the fuller the bitmaps, the more rows go through the join.
+    exact; the fuller the bitmaps, the more rows go through the join. Batches are filtered in
+    the worker that runs ``run``.
     """
     first = _bitmap(ids, other)
     wrong = _passed(rows.select(key), key, [(first, 1)]).join(ids, F.col(key) == F.col(other), "left_anti")
     second = _bitmap(wrong, key)
-    doubtful = _passed(rows, key, [(first, 1), (second, 1)]).join(ids, F.col(key) == F.col(other), "left_semi")
-    return _passed(rows, key, [(first, 1), (second, 0)]).filter(F.col(key).isNotNull()).unionByName(doubtful)
-
-
-def parts(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+    doubtful = _passed(rows, key, [(first, 1), (second, 1)]).join(ids, F.col(key) == F.col(other), "left_semi").mapInArrow(run, schema)
+    members = _members([(first, 1), (second, 0)])
+    return rows.filter(F.col(key).isNotNull()).withColumn("_h", _place(key)).mapInArrow(lambda batches: run(members(batches)), schema).unionByName(doubtful)
 
 
 def bound_batches(spark: SparkSession) -> None:

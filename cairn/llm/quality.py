@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import among, drop, save
+from cairn.llm.common import among, bound_batches, drop, save
 
 #: Symbols to an n-gram: code points as they are, every one of Unicode's a symbol of its own.
 ORDER = 5
@@ -15,9 +15,9 @@ ORDER = 5
 PAD, NUL = "\x02", "�"
 #: The commonest n-grams of each order, at most so many, go to every task; the others meet the requests of
 #: blocks of text of about so many bytes in a join.
-HEAD, BLOCK_BYTES = 1 << 17, 16 << 20
-#: Symbols that are worked on at once.
-PIECE = 1 << 20
+HEAD, BLOCK_BYTES = 1 << 18, 8 << 20
+#: Symbols, and different n-grams, that are worked on at once.
+PIECE, SLICE, GROUP = 1 << 18, 1 << 16, 1 << 21
 #: Documents are kept up to this quantile of the perplexity of trusted documents in their
 #: language; the trusted documents of one fold in FOLDS are left out of training and tell it.
 QUANTILE, FOLDS = 0.99, 5
@@ -69,6 +69,28 @@ def distinct(codes: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.lib.stride_tricks.sliding_window_view(codes, ORDER)[np.flatnonzero(own)[first]], at
 
 
+def together(texts):
+    """Runs of chunks() of about GROUP symbols: their different n-grams, and for each chunk the documents, symbols of each, and rows of the n-grams."""
+    hashes, grams, runs, n = [], [], [], 0
+    for who, sizes, codes, own in chunks(texts):
+        g, at = distinct(codes, own)
+        hashes.append(_fold(g.T))
+        grams.append(g)
+        runs.append((who, sizes, at.astype(np.int32)))
+        n += len(at)
+        if n >= GROUP:
+            yield _together(hashes, grams, runs)
+            hashes, grams, runs, n = [], [], [], 0
+    if runs:
+        yield _together(hashes, grams, runs)
+
+
+def _together(hashes, grams, runs):
+    _, first, back = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+    back = np.split(back.astype(np.int32), np.cumsum([len(h) for h in hashes])[:-1])
+    return np.concatenate(grams)[first], [(who, sizes, b[at]) for (who, sizes, at), b in zip(runs, back, strict=True)]
+
+
 def strings(grams: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(grams, "<u4").view(f"<U{ORDER}").ravel()
 
@@ -97,8 +119,8 @@ def _level(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     return own, totals.select("ctx", (F.col("lost") / F.col("total")).alias("gamma"))
 
 
-def train(texts: DataFrame, text: str = "text") -> tuple[DataFrame, float]:
-    """The model's written table (g, n, lp, bow), and the log-probability of a symbol never seen.
+def train(docs: DataFrame, good: DataFrame, doc_id: str = "doc_id", text: str = "_text", good_id: str = "_id") -> tuple[DataFrame, float]:
+    """The model's written table (g, n, lp, bow) of the docs among good, and the log-probability of a symbol never seen.
 
     Each row is an n-gram of 1 to ORDER symbols with its count or number of different symbols
     before it, the log of its interpolated probability, and the log of the mass that it, as a
@@ -106,8 +128,8 @@ def train(texts: DataFrame, text: str = "text") -> tuple[DataFrame, float]:
     before they are dealt out by n-gram; continuation counts, context totals and lower orders
     meet by sharded joins, so the table may grow with the corpus without bound.
     """
-    rows = texts.select(F.col(text).alias("_text")).filter("_text IS NOT NULL")
-    counts = [save(rows.mapInArrow(_counter, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")))]
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_text")).filter("_text IS NOT NULL")
+    counts = [save(among(rows, good, "doc_id", good_id, _counter, "g string, n long").groupBy("g").agg(F.sum("n").alias("n")))]
     for _ in range(ORDER - 1):  # how many different symbols precede the shorter n-gram
         counts.append(save(counts[-1].groupBy(F.expr("substring(g, 2)").alias("g")).agg(F.count(F.lit(1)).alias("n"))))
     counts.reverse()
@@ -158,11 +180,14 @@ def head(model: DataFrame, most: int = HEAD) -> tuple[DataFrame, pa.Table]:
 class Table:
     """N-grams by hash, with log-probability (NaN for contexts that are none) and back-off."""
 
-    def __init__(self, parts: list):
+    def __init__(self, parts: list, columns: tuple | None = None):
+        if columns is not None:
+            self.h, self.lp, self.bow = columns
+            return
         columns = [[], [], []]
         for g, lp, bow in parts:
             if len(g):
-                columns[0].append(_fold(np.asarray(g, f"<U{ORDER}").view("<u4").reshape(-1, ORDER).T))
+                columns[0].append(_fold(np.asarray(g.to_pylist(), f"<U{ORDER}").view("<u4").reshape(-1, ORDER).T))
                 columns[1].append(lp.to_numpy(zero_copy_only=False).astype(np.float64))
                 columns[2].append(bow.to_numpy(zero_copy_only=False).astype(np.float64))
         h, lp, bow = (np.concatenate(c) if c else np.zeros(0, t) for c, t in zip(columns, (np.uint64, float, float), strict=True))
@@ -184,7 +209,11 @@ def _part(grams: np.ndarray, start: int, stop: int) -> np.ndarray:
     return out
 
 
-def logs(grams: np.ndarray, tables: list[Table], unseen: float, wanted: list | None = None) -> np.ndarray:
+def logs(grams: np.ndarray, tables: list[Table], unseen: float) -> np.ndarray:
+    return np.concatenate([np.zeros(0), *(_logs(grams[i : i + SLICE], tables, unseen) for i in range(0, len(grams), SLICE))])
+
+
+def _logs(grams: np.ndarray, tables: list[Table], unseen: float, wanted: list | None = None) -> np.ndarray:
     """Log-probability of the last symbol of each n-gram: that of the longest suffix that was seen, and the back-offs of the longer contexts.
 
     ``wanted`` takes the n-grams that no table holds and that might decide.
@@ -258,14 +287,15 @@ def _unpack(body: bytes) -> pa.Table:
 
 def _asker(shared):
     def run(batches):
-        tables = [Table([shared.value])]
+        tables = [Table([], shared.value)]
         for batch in batches:
             for block, body in zip(batch.column("block").to_pylist(), batch.column("body"), strict=True):
                 found = [np.zeros(0, f"<U{ORDER}")]
-                for _, _, codes, own in chunks(t.as_py() or "" for t in _unpack(body.as_py()).column("_text")):
-                    wanted = []
-                    logs(distinct(codes, own)[0], tables, 0.0, wanted)
-                    found.append(np.unique(np.concatenate([strings(w) for w in wanted])))
+                for grams, _ in together(t.as_py() or "" for t in _unpack(body.as_py()).column("_text")):
+                    for i in range(0, len(grams), SLICE):
+                        wanted = []
+                        _logs(grams[i : i + SLICE], tables, 0.0, wanted)
+                        found.append(np.unique(strings(np.concatenate(wanted))))
                 g = np.unique(np.concatenate(found))
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(g), block)), pa.array(g)], ["block", "g"])
 
@@ -274,7 +304,7 @@ def _asker(shared):
 
 def _scorer(shared, unseen: float):
     def run(batches):
-        common = Table([shared.value])
+        common = Table([], shared.value)
         at, held = None, []
         for batch in batches:
             # answers of a block, and then the block
@@ -295,11 +325,11 @@ def _scorer(shared, unseen: float):
 
 def _score(rows: pa.Table, tables: list[Table], unseen: float) -> pa.RecordBatch:
     total, n = np.zeros(rows.num_rows), np.zeros(rows.num_rows, np.int64)
-    for who, sizes, codes, own in chunks(t.as_py() or "" for t in rows.column("_text")):
-        grams, at = distinct(codes, own)
-        each = logs(grams, tables, unseen)[at]
-        np.add.at(total, who, np.add.reduceat(each, np.concatenate([[0], np.cumsum(sizes)[:-1]])))
-        np.add.at(n, who, sizes)
+    for grams, runs in together(t.as_py() or "" for t in rows.column("_text")):
+        all_ = logs(grams, tables, unseen)
+        for who, sizes, at in runs:
+            np.add.at(total, who, np.add.reduceat(all_[at], np.concatenate([[0], np.cumsum(sizes)[:-1]])))
+            np.add.at(n, who, sizes)
     value = pa.array(np.exp(-total / np.maximum(n, 1)), mask=n == 0)
     return pa.RecordBatch.from_arrays([*(rows.column(c).combine_chunks() for c in ("doc_id", "lang")), pa.array(n), value], ["doc_id", "lang", "n_scored", "perplexity"])
 
@@ -314,7 +344,8 @@ def perplexities(slim: DataFrame, model: DataFrame, unseen: float) -> DataFrame:
     """
     spark = slim.sparkSession
     rare, most = head(model)
-    shared = spark.sparkContext.broadcast(tuple(most.column(c).combine_chunks() if c != "g" else most.column(c).to_numpy() for c in ("g", "lp", "bow")))  # at most ORDER * HEAD rows
+    table = Table([tuple(most.column(c).combine_chunks() for c in ("g", "lp", "bow"))])
+    shared = spark.sparkContext.broadcast((table.h, table.lp, table.bow))  # at most ORDER * HEAD rows
     blocks = save(slim.mapInArrow(_packer(BLOCK_BYTES), "block long, body binary"))
     answers = blocks.mapInArrow(_asker(shared), "block long, g string").join(rare.select("g", "lp", "bow"), "g")
     rows = answers.select("block", F.lit(False).alias("last"), "g", "lp", "bow", F.lit(None).cast("binary").alias("body"))
@@ -341,9 +372,10 @@ def score(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, text:
     own; repeated rows score alike; without trusted documents everything that has text is kept;
     no rows give no rows; NUL counts as U+FFFD, and a text's own U+0002 looks like its beginning.
     """
+    bound_batches(docs.sparkSession)
     good = labels.filter("quality = 1").select(F.col(doc_id).cast("long").alias("_id")).filter("_id IS NOT NULL").distinct()
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("_text"))
-    model, unseen = train(among(slim.select("doc_id", "_text"), good.filter(_fold_of(F.col("_id")) != 0), "doc_id", "_id"), "_text")
+    model, unseen = train(slim, good.filter(_fold_of(F.col("_id")) != 0))
     scored = perplexities(slim, model, unseen).withColumn("perplexity", F.round("perplexity", 6))
     drop(model)
     told = scored.join(good.filter(_fold_of(F.col("_id")) == 0), F.col("doc_id") == F.col("_id"), "left_semi").filter("perplexity IS NOT NULL")

@@ -450,7 +450,8 @@ def test_exact_filter_without_dealing_rows(spark, monkeypatch):
     ids = spark.range(0, 500, 7).selectExpr("id AS i")
     for bits in (64, 1 << 26):  # a full bitmap sends all rows through the join
         monkeypatch.setattr(common, "FILTER_BITS", bits)
-        got = common.among(rows, ids, "k", "i").collect()
+        same = lambda batches: (b.select(["k", "t"]) for b in batches)
+        got = common.among(rows, ids, "k", "i", same, "k long, t string").collect()
         assert sorted((r["k"], r["t"]) for r in got) == sorted([(i, str(i)) for i in range(0, 500, 7)])
 
 
