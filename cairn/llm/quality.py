@@ -15,7 +15,7 @@ ORDER = 5
 PAD, NUL = "\x02", "�"
 #: The commonest n-grams of each order, at most so many, go to every task; the others meet the requests of
 #: blocks of text of about so many bytes in a join.
-HEAD, BLOCK_BYTES = 1 << 18, 8 << 20
+HEAD, BLOCK_BYTES = 1 << 19, 16 << 20
 #: Symbols, and different n-grams, that are worked on at once.
 PIECE, SLICE, GROUP = 1 << 18, 1 << 16, 1 << 21
 #: Documents are kept up to this quantile of the perplexity of trusted documents in their
@@ -250,7 +250,7 @@ def _packer(limit: int):
         import zstandard
         from pyspark import TaskContext
 
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=12)
         number, held, size = TaskContext.get().partitionId() << 33, [], 0
 
         def packed():
