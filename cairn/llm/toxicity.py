@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 from cairn.llm.common import bound_batches, drop, save
 
 GRAMS = (3, 4, 5, 6)
-BITS = 20
+BITS = 18
 #: Bound of training: labelled rows, by hash of their doc_id. Every n-gram of theirs is a feature.
 MAX_ROWS = 12_000
 SMOOTH, RIDGE, ROUNDS = 1.0, 3e-3, 24
 #: One in so many training rows, by hash, is left for calibration; the pull of its slope to 1.
 CALIBRATE, PULL = 5, 1e-3
-#: Tasks that sum gradients.
-FIT_TASKS = 8
+#: Tasks that sum gradients, and steps that L-BFGS remembers: with 2**BITS they bound the driver's memory.
+FIT_TASKS, REMEMBERED = 3, 4
 
 
 @dataclass
@@ -62,17 +62,24 @@ def _count(batches):
 
 
 def _featured(batches):
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=1)
     for batch in batches:
-        f = [np.unique(grams(t.as_py())).astype(np.int32).tobytes() for t in batch.column("text")]
+        # sorted buckets as compressed differences: they are read once for every step of the fit
+        f = [press.compress(np.diff(np.unique(grams(t.as_py())), prepend=0).astype(np.int32).tobytes()) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("c"), pa.array(f, pa.binary())], ["y", "c", "f"])
 
 
 def _buckets(batch) -> list[np.ndarray]:
-    return [np.frombuffer(f.as_py(), np.int32) for f in batch.column("f")]
+    import zstandard
+
+    plain = zstandard.ZstdDecompressor()
+    return [np.cumsum(np.frombuffer(plain.decompress(f.as_py()), np.int32)) for f in batch.column("f")]
 
 
 def _margins(rows: list[np.ndarray], v: np.ndarray) -> np.ndarray:
-    idx = np.concatenate([*rows, np.empty(0, np.int32)])
+    idx = np.concatenate([*rows, np.empty(0, np.int64)])
     return np.bincount(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), weights=v[idx], minlength=len(rows)) + v[-1]
 
 
@@ -134,7 +141,7 @@ def minimise(loss, n: int, rounds: int = ROUNDS) -> np.ndarray:
         done = value - v2 < 1e-6 * abs(value)
         w, value, grad = new, v2, g2
         if s @ d > 1e-12:
-            pairs = [*pairs[-5:], (s, d)]
+            pairs = [*pairs[1 - REMEMBERED :], (s, d)]
         if done:
             break
     return w
@@ -167,7 +174,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         ones = featured.agg(F.avg("y")).first()[0] or 0
         return Model(np.empty(0, np.int64), np.empty(0), 20.0 if ones == 1 else -20.0)
     counts = fit.mapInArrow(_count, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # 2**BITS rows at most
-    buckets = counts.column("b").to_numpy()
+    buckets = counts.column("b").to_numpy().copy()
     ratio = np.zeros(1 << BITS)
     ratio[buckets] = np.log((counts.column("n1").to_numpy() + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((counts.column("n0").to_numpy() + SMOOTH) / (n0 + 2 * SMOOTH))
 
@@ -176,7 +183,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
         v[:-1] *= ratio
         shared = spark.sparkContext.broadcast(v.tobytes())
         value, grad = 0.0, np.zeros(len(w))
-        for r in fit.mapInArrow(_slope(shared), "value double, grad binary").collect():  # a row for each of FIT_TASKS
+        for r in fit.coalesce(FIT_TASKS).mapInArrow(_slope(shared), "value double, grad binary").collect():  # FIT_TASKS rows
             value += r["value"]
             grad += np.frombuffer(r["grad"], np.float64)
         shared.destroy()
@@ -207,15 +214,24 @@ def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(1e-3, float(a) + 1), float(b)
 
 
+def _margin(model: Model):
+    """text -> sum of the weights of its different buckets."""
+    table, seen = model.table(), np.zeros(1 << BITS, bool)
+
+    def of(text):
+        seen[grams(text)] = True
+        b = np.flatnonzero(seen)
+        seen[b] = False
+        return table[b].sum() + model.bias
+
+    return of
+
+
 def _scorer(model: Model):
     def run(batches):
-        table = model.table()
+        of = _margin(model)
         for batch in batches:
-            out = []
-            for text in batch.column("_text"):
-                b = grams(text.as_py())
-                b = np.unique(b[table[b] != 0])
-                out.append(1 / (1 + np.exp(-np.clip(table[b].sum() + model.bias, -500, 500))))
+            out = [1 / (1 + np.exp(-np.clip(of(text.as_py()), -500, 500))) for text in batch.column("_text")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in batch.schema.names if c != "_text"), pa.array(out, pa.float64())], [*(c for c in batch.schema.names if c != "_text"), "score"])
 
     return run
@@ -237,13 +253,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", doc_id: str = "doc_
 
 def _keeper(model: Model, text: str):
     def run(batches):
-        table = model.table()
+        of = _margin(model)
         for batch in batches:
-            on = []
-            for t in batch.column(text):
-                b = grams(t.as_py())
-                on.append(table[np.unique(b[table[b] != 0])].sum() + model.bias < 0)
-            yield batch.filter(pa.array(on, pa.bool_()))
+            yield batch.filter(pa.array([bool(of(t.as_py()) < 0) for t in batch.column(text)], pa.bool_()))
 
     return run
 
