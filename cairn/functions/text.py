@@ -128,3 +128,64 @@ def identity_codes(text: Column) -> Column:
 def claim_text(claim: Column) -> Column:
     """A claim as it is scored: trimmed, runs of white space as one."""
     return F.trim(F.regexp_replace(claim, r"\s+", " "))
+
+
+#: Wording of a question that asks for a time or for a report.
+INTENTS = {
+    "current": r"(?i)\b(current|currently|active|now|today)\b|сейчас|сегодня|текущ|действующ",
+    "future": r"(?i)\b(next|upcoming|future|due|overdue|schedule|scheduled|scheduling|deadline|plan|plans|planned|planning)\b|следующ|предстоящ|будущ|крайний срок|срок\p{L}* (?:оплаты|подачи|выполнения|осмотра)|просроч|расписани|план",
+    "history": r"(?i)\b(past|history|historical|happened|occurred|previously|when did|cancelled|completed|superseded|rejected|resolved|former)\b|прошл|истори|произош|ранее|отмен|заверш|отклон|прежн",
+    "source_report": r"(?i)\b(report|reported|said|according to)\b|сообщ|сказал|по словам",
+}
+#: A time that only the moment of writing explains.
+DEICTIC = r"(?i)\b(?:today|tomorrow|yesterday|tonight|(?:next|last|this)\s+(?:day|week|month|year|morning|afternoon|evening|night|monday|tuesday|wednesday|thursday|friday|saturday|sunday))\b|сегодня|завтра|вчера|(?:следующ|прошл|эт[аоу]|нынешн)\p{L}*\s+(?:день|дня|дн[её]м|недел|месяц|год|году|утр|вечер)"
+#: Words that a rewrite may add or drop.
+GLUE_WORDS = ("and", "are", "been", "for", "from", "has", "have", "into", "is", "its", "of", "on", "the", "to", "was", "were", "with")
+
+
+def query_intent(text: Column) -> Column:
+    """current, future, history and source_report of a question, as a struct of booleans; matched in lower case."""
+    return F.struct(*(F.lower(text).rlike(p).alias(n) for n, p in INTENTS.items()))
+
+
+def deictic_time(text: Column) -> Column:
+    """Whether a text names a time by today, next week and the like."""
+    return F.lower(text).rlike(DEICTIC)
+
+
+def quote_window(text: Column, offset: Column, lines: int) -> Column:
+    """Up to ``lines`` lines around the one that holds an offset, without blank ones."""
+    every, n = F.split(text, "\n"), max(1, lines)
+    at = F.size(F.split(F.left(text, offset), "\n")) - 1
+    return F.array_join(F.filter(F.slice(every, F.greatest(at - (n - 1) // 2, F.lit(0)) + 1, F.lit(n)), lambda x: x.rlike(r"\S")), "\n")
+
+
+def lost_tokens(before: Column, after: Column) -> Column:
+    """Words of three or more characters that a rewrite lost; GLUE_WORDS may go."""
+    words = lambda c: tokens(c, 3)
+    return F.array_except(words(before), F.concat(words(after), F.array(*(F.lit(w) for w in GLUE_WORDS))))
+
+
+def root(word: Column) -> Column:
+    """A word without its plural ending, as automatic recall compares words."""
+    n = F.length(word)
+    ends = F.when((n > 5) & word.endswith("ies"), 3).when((n > 4) & word.endswith("es"), 2).when((n > 3) & word.endswith("s") & ~word.endswith("ss"), 1).otherwise(0)
+    return F.left(word, n - ends)
+
+
+def overlap_ratio(roots: Column, evidence: Column) -> Column:
+    """The share of a prompt's roots, repeats counted, that a text has; 0 without roots."""
+    held = F.transform(tokens(evidence, 1), root)
+    return F.when(F.size(roots) > 0, F.size(F.filter(roots, lambda r: F.array_contains(held, r))) / F.size(roots)).otherwise(0.0)
+
+
+def stop_words(words: list[str]) -> str | None:
+    """A pattern that finds any of the phrases as whole words, in any case, with blanks, _ or - between their words."""
+    import re
+    import unicodedata
+
+    plain = dict.fromkeys(filter(None, (unicodedata.normalize("NFKC", w).strip() for w in words)))
+    if not plain:
+        return None
+    each = "|".join(r"[\s_-]+".join(map(re.escape, p.split())) for p in plain)
+    return rf"(?i)(^|[^\p{{L}}\p{{N}}])({each})($|[^\p{{L}}\p{{N}}])"

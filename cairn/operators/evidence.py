@@ -164,6 +164,12 @@ def journal_page(journal: DataFrame, cursor: int, limit: int = 500) -> DataFrame
     return journal.filter(F.col("seq") > cursor).orderBy("seq", "ord").limit(limit)
 
 
+def journal_events(journal: DataFrame, cursor: int, limit: int = 500) -> DataFrame:
+    """All rows of the next ``limit`` events after a cursor; an event is never cut."""
+    after = journal.filter(F.col("seq") > cursor)
+    return after.join(after.select("seq").distinct().orderBy("seq").limit(limit), "seq", "left_semi")
+
+
 def undoable(changes: DataFrame, files: DataFrame) -> DataFrame:
     """(change, valid): every file still has the bytes the change left."""
     now = files.select("path", F.col("hash").alias("_now"))
@@ -200,3 +206,48 @@ def availability(rows: DataFrame, group: str) -> DataFrame:
     by = rows.groupBy(group).agg(F.count_if(F.col("present")).alias("here"), F.count(F.lit(1)).alias("parts"), F.sum("pages").alias("pages"), F.bool_or(F.coalesce(F.col("rendition"), F.lit(False))).alias("text"))
     status = F.when(F.col("here") == F.col("parts"), "available").when((F.col("here") > 0) | F.col("text"), "partial").otherwise("missing")
     return by.select(group, status.alias("status"), "pages")
+
+
+def unindexed(files: DataFrame, pages: DataFrame, key: str, kind: str = "page") -> DataFrame:
+    """Files of a kind that have no row among the pages."""
+    return files.filter(F.col("kind") == kind).join(pages.select(key), key, "left_anti").select(key)
+
+
+def relation_targets(relations: DataFrame, memories: DataFrame, key: str = "memory_id") -> DataFrame:
+    """(memory, relation, targets): the ids in order that a memory relates to (memory, relation, target), of those that exist."""
+    there = memories.select(F.col(key).alias("target")).distinct()
+    return relations.join(there, "target", "left_semi").groupBy(key, "relation").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+
+
+def same_envelope(x: str, y: str, fields: Sequence[str], subject: str = "subject") -> Column:
+    """Whether two structs describe one event: every field equal, nulls too, and one subject, where unresolved fits any."""
+    a, b = F.col(f"{x}.{subject}"), F.col(f"{y}.{subject}")
+    on = a.eqNullSafe(b) | F.coalesce((a == "unresolved") | (b == "unresolved"), F.lit(False))
+    for f in fields:
+        on = on & F.col(f"{x}.{f}").eqNullSafe(F.col(f"{y}.{f}"))
+    return on
+
+
+#: An attachment that its name gives to a page: the page's name, eight hex digits and an ending.
+OWNED_NAME = r"^(.+)-[0-9a-f]{8}\.[^.]+$"
+
+
+def owners(files: DataFrame, pages: DataFrame, embeds: DataFrame) -> DataFrame:
+    """(path, page) of attachments: by the hex form of their name, by their stem, or by an embed on a page of their folder; else null.
+
+    files has path; pages page and slug; embeds (page, folder, target) where target is a file's
+    name. Of several pages that embed it the least.
+    """
+    folder = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    base = F.regexp_replace("path", "^.*/", "")
+    at = lambda name: F.when(name != "", F.concat(F.when(folder != "", F.concat(folder, F.lit("/"))).otherwise(""), name))
+    named = files.select("path", at(F.regexp_extract(base, OWNED_NAME, 1)).alias("_a"), at(F.regexp_replace(base, r"\.[^.]+$", "")).alias("_b"), folder.alias("_f"), base.alias("_n"))
+    slugs = lambda c, p: pages.groupBy(F.col("slug").alias(c)).agg(F.min("page").alias(p))
+    seen = embeds.groupBy(F.col("folder").alias("_f"), F.col("target").alias("_n")).agg(F.min("page").alias("_z"))
+    return named.join(slugs("_a", "_x"), "_a", "left").join(slugs("_b", "_y"), "_b", "left").join(seen, ["_f", "_n"], "left").select("path", F.coalesce("_x", "_y", "_z").alias("page"))
+
+
+def expired(plans: DataFrame, today: str, at: str = "created_at", payload: int = 30, receipt: int = 180) -> DataFrame:
+    """plans with what is left of them by age in days: payload, receipt or nothing."""
+    age = F.date_diff(F.lit(today).cast("date"), F.col(at).cast("date"))
+    return plans.withColumn("left", F.when(age <= payload, "payload").when(age <= receipt, "receipt").otherwise("nothing"))

@@ -123,3 +123,24 @@ def apply_rules(pages: DataFrame, rules: Sequence[dict], path: str, fields: Sequ
         told = [F.when(F.col(path).rlike(glob_pattern(r["glob"])), F.lit(r[f])) for r in ordered if r.get(f) is not None]
         out = out.withColumn(f, F.coalesce(*told) if told else F.lit(None).cast("string"))
     return out
+
+
+def edge_eligible(view: str, history: bool = False) -> Column:
+    """Whether a graph edge may be walked in a view: an edge without a memory always, others by the memory's fields.
+
+    Reads source_memory, kind, basis, commitment, disposition, temporal_status and
+    answer_eligible. With ``history`` what answers factually is let through as well.
+    """
+    if view == "all":
+        return F.lit(True)
+    kind, disposition = F.col("kind"), F.col("disposition")
+    factual = F.col("answer_eligible")
+    selected = {
+        "factual": factual,
+        "reports": F.col("basis") == "source_report",
+        "questions": kind == "question",
+        "planning": ((kind == "plan") | F.col("temporal_status").isin("planned", "scheduled")) & disposition.isin("active", "proposed", "accepted"),
+        "history": disposition.isin("rejected", "cancelled", "completed", "superseded", "resolved") | ((kind == "decision") & (disposition == "accepted")),
+        "discussion": F.col("commitment").isin("tentative", "hypothetical", "counterfactual") | disposition.isin("proposed", "rejected"),
+    }[view]
+    return F.col("source_memory").isNull() | F.coalesce(selected | factual if history else selected, F.lit(False))

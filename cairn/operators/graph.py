@@ -148,3 +148,54 @@ def completeness(nodes: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
     have = nodes.groupBy("kind").agg(F.count(F.lit(1)).alias("nodes"))
     out = base.join(have, "kind", "left").select("kind", "rows", F.coalesce("nodes", F.lit(0)).cast("long").alias("nodes"))
     return out.withColumn("complete", F.col("rows") == F.col("nodes"))
+
+
+#: What an authored type means for an entity; all else is other.
+ENTITY_TYPES = {"person": ("person",), "organization": ("organization", "organisation", "company", "business"), "place": ("place", "location", "city", "country"), "product": ("product", "device"), "event": ("event",), "concept": ("concept", "topic")}
+
+
+def entity_type(value: Column) -> Column:
+    """The entity type that an authored type stands for."""
+    name, out = entity_name(F.coalesce(value, F.lit(""))), F.lit("other")
+    for kind, words in ENTITY_TYPES.items():
+        out = F.when(name.isin(*words), kind).otherwise(out)
+    return out
+
+
+def hydrate(nodes: DataFrame, sources: dict[str, DataFrame]) -> DataFrame:
+    """nodes (id, kind, source_id) with what they stand for: one left join for each kind's table, keyed by ``source_id``.
+
+    The tables' other columns become one struct named by the kind, null on nodes of other kinds
+    and where the row is gone. Each join carries the kind in its key, so that it meets only its own nodes.
+    """
+    out = nodes
+    for kind, table in sources.items():
+        rest = F.struct(*(c for c in table.columns if c != "source_id")).alias(kind)
+        own = table.select(F.col("source_id").alias("_id"), rest)
+        out = out.join(own, (F.col("kind") == kind) & (F.col("source_id") == F.col("_id")), "left").drop("_id")
+    return out
+
+
+def names_in(query: str, names: DataFrame, least: int = 3) -> list[tuple[str, int, int]]:
+    """(name, start, end) of entity names inside a query: whole words, longest first, none over another.
+
+    names has name and normalized. The cluster keeps only names that are runs of the query's own
+    words, so the driver gets at most as many as the query has such runs.
+    """
+    text = " ".join("".join(c if c.isalnum() else " " for c in query.lower()).split())
+    words = text.split()
+    runs = sorted({" ".join(words[i:j]) for i in range(len(words)) for j in range(i + 1, len(words) + 1)})
+    if not runs:
+        return []
+    found = names.filter(F.col("normalized").isin(*runs) & (F.length("normalized") >= least)).groupBy("normalized").agg(F.min("name").alias("name")).collect()
+    taken: set[int] = set()
+    out = []
+    for r in sorted(found, key=lambda r: (-len(r["normalized"]), r["normalized"])):
+        n = len(r["normalized"].split())
+        # places in words: a run of words cannot begin or end inside one
+        at = next((i for i in range(len(words) - n + 1) if words[i : i + n] == r["normalized"].split() and taken.isdisjoint(range(i, i + n))), None)
+        if at is not None:
+            taken.update(range(at, at + n))
+            start = len(" ".join(words[:at])) + (at > 0)
+            out.append((r["name"], start, start + len(r["normalized"])))
+    return sorted(out, key=lambda x: x[1:])

@@ -130,3 +130,17 @@ def verify_run(before: DataFrame, after: DataFrame, attributed: DataFrame) -> Da
     d = diff_snapshot(before, after, "path", [], "hash").filter("change <> 'same'")
     own = attributed.select("path").distinct().withColumn("_own", F.lit(True))
     return d.join(own, "path", "left").select("path", "change", F.coalesce("_own", F.lit(False)).alias("attributed"))
+
+
+def neighbourhood(page: str | int, pages: DataFrame, links: DataFrame, slug: str, limit: int = 31) -> DataFrame:
+    """(id, slug, outbound, backlink) of pages that a page links to, that link to it or are about its slug; by slug, at most ``limit``.
+
+    pages has id, slug, role and about; links from_page and to_page. Ignored pages and the page itself are left out.
+    """
+    out = links.filter(F.col("from_page") == F.lit(page)).select(F.col("to_page").alias("id"), F.lit(True).alias("_out"), F.lit(False).alias("_back"))
+    back = links.filter(F.col("to_page") == F.lit(page)).select(F.col("from_page").alias("id"), F.lit(False).alias("_out"), F.lit(True).alias("_back"))
+    near = out.unionByName(back).groupBy("id").agg(F.bool_or("_out").alias("_out"), F.bool_or("_back").alias("_back"))
+    kept = pages.filter((F.col("id") != F.lit(page)) & (F.col("role") != "ignored")).join(near, "id", "left")
+    kept = kept.filter(F.col("_out").isNotNull() | F.contains("about", F.lit(slug)))
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    return kept.select("id", "slug", flag("_out").alias("outbound"), flag("_back").alias("backlink")).orderBy(F.lower("slug"), "id").limit(limit)

@@ -87,3 +87,44 @@ def recall_at(found: DataFrame, expected: DataFrame, k: int) -> DataFrame:
     """(case, recall): the share of a case's expected items among its first k."""
     top = found.filter(F.col("rank") <= k).select("case", "item").distinct().withColumn("_hit", F.lit(1))
     return expected.join(top, ["case", "item"], "left").groupBy("case").agg(F.round(F.count("_hit") / F.count(F.lit(1)), 6).alias("recall"))
+
+
+#: The keys of a memory marker in their order, and those that none may lack.
+MARKER_KEYS = ("v", "supports", "level", "kind", "subject", "source-role", "speaker", "reports", "reporters", "commitment", "disposition", "polarity", "basis", "evidence", "links", "relation", "temporal", "precision", "start", "until", "timezone", "mentioned", "recurrence")
+MARKER_NEEDS = ("v", "supports", "level", "kind", "subject", "source-role", "reports", "commitment", "disposition", "polarity", "basis")
+#: Keys that tell a time, and those that a time needs.
+MARKER_TIME, MARKER_TIME_NEEDS = MARKER_KEYS[15:], MARKER_KEYS[15:18]
+
+
+def marker(line: Column, tag: str) -> Column:
+    """(id, fields) of a marker line ``<!-- tag id key=value ... -->``, or null where a rule is broken.
+
+    Keys are known, stand in their order and once each, and none that is needed lacks; the
+    version is 2 and the level 1; a time has relation, temporal and precision; reports, 0 to 3, is
+    the number of reporters. Values that are text (subject, speaker, bounds, zone) are
+    percent-decoded in ``fields``.
+    """
+    head = rf"(?i)^\s*<!--\s*{tag}\s+([A-Za-z0-9_-]{{4,80}})\s+(.+?)\s*-->\s*$"
+    every = F.split(F.regexp_extract(line, head, 2), r"\s+")
+    keys = F.transform(every, lambda t: F.substring_index(t, "=", 1))
+    order = F.array(*(F.lit(k) for k in MARKER_KEYS))
+    places = F.transform(keys, lambda k: F.array_position(order, k))
+    of = lambda names: F.array(*(F.lit(n) for n in names))
+    plain = F.map_from_arrays(F.array_distinct(keys), F.transform(F.array_distinct(keys), lambda k: F.substring_index(F.element_at(every, F.array_position(keys, k).cast("int")), "=", -1)))
+    timed = F.arrays_overlap(keys, of(MARKER_TIME))
+    listed = F.when(F.coalesce(plain["reporters"], F.lit("")) == "", 0).otherwise(F.size(F.split(plain["reporters"], ",")))
+    fit = (
+        line.rlike(head)
+        & F.forall(every, lambda t: t.contains("="))
+        & (places == F.array_sort(F.array_distinct(places)))
+        & ~F.array_contains(places, 0)
+        & (F.size(F.array_except(of(MARKER_NEEDS), keys)) == 0)
+        & (~timed | (F.size(F.array_except(of(MARKER_TIME_NEEDS), keys)) == 0))
+        & (plain["v"] == "2")
+        & (plain["level"] == "1")
+        & plain["reports"].rlike("^[0-3]$")
+        & (listed.cast("string") == plain["reports"])
+    )
+    words = of(("subject", "speaker", "start", "until", "timezone", "mentioned"))
+    fields = F.transform_values(plain, lambda k, v: F.when(F.array_contains(words, k), F.try_url_decode(F.replace(v, F.lit("+"), F.lit("%2B")))).otherwise(v))
+    return F.when(F.coalesce(fit, F.lit(False)), F.struct(F.regexp_extract(line, head, 1).alias("id"), fields.alias("fields")))

@@ -74,3 +74,37 @@ def scoped_lines(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
             yield pd.DataFrame(out, columns=[key, "line", "view"])
 
     return pages.select(key, text).mapInPandas(run, f"{key} {kind}, line int, view string")
+
+
+#: Lines that a card leaves out: headings and comments, and embeds that stand alone.
+BARE_LINE = r"^\s*(#{1,6}\s+\S|<!--)"
+EMBED_LINE = r"^\s*(!\[\[[^\]]+\]\]|!\[[^\]]*\]\([^)]+\))\s*$"
+
+
+def card_line(line: Column) -> Column:
+    """Whether a line may stand on a card: not blank, no heading, comment or lone embed."""
+    return line.rlike(r"\S") & ~line.rlike(BARE_LINE) & ~line.rlike(EMBED_LINE)
+
+
+def line_selected(selection: str, view: str) -> Column:
+    """Whether a line belongs to the eligible or the contextual selection of a view.
+
+    Reads has_memory, hold, status and memory_eligible of the line's memory, and prose_reason
+    (null: no prose) and prose_eligible of its prose. A pending correction is always shown;
+    headings and comments only in the view all; a plain line is eligible.
+    """
+    wanted = lambda on: on if selection == "eligible" else ~on
+    prose = F.when(F.col("prose_reason").isin("heading", "comment"), F.lit(view == "all")).otherwise(wanted(F.coalesce("prose_eligible", F.lit(False))))
+    memory = F.when(F.col("status") != "qualified", F.lit(selection == "contextual")).otherwise(wanted(F.coalesce("memory_eligible", F.lit(False))))
+    by_memory = F.when(F.coalesce(F.col("hold") == "pending_correction", F.lit(False)), F.lit(True)).otherwise(memory)
+    return F.when(F.col("has_memory"), by_memory).when(F.col("prose_reason").isNotNull(), prose).otherwise(F.lit(selection == "eligible"))
+
+
+def prose_chunks(chunks: DataFrame, entries: DataFrame, view: str) -> DataFrame:
+    """(id, eligible) of chunks (id, page, start, end) that hold prose entries (page, line, view, eligible).
+
+    A chunk is eligible if one of its entries is, and is factual or of the wanted view; the view
+    all takes any. Joined on the page, where the lines then decide.
+    """
+    e = entries.select("page", "line", F.coalesce(F.col("eligible") & (F.lit(view == "all") | F.col("view").isin("factual", view)), F.lit(False)).alias("_on"))
+    return chunks.join(e, "page").filter(F.col("line").between(F.col("start"), F.col("end"))).groupBy("id").agg(F.bool_or("_on").alias("eligible"))

@@ -229,3 +229,53 @@ def clip_lines(text: Column, budget: Column) -> Column:
         return F.struct(used.alias("used"), (acc["n"] + F.when(used <= budget, 1).otherwise(0)).alias("n")).cast(kind)
 
     return F.array_join(F.slice(lines, F.lit(1), F.aggregate(lines, zero, step, lambda a: a["n"])), "\n")
+
+
+def mixed_order(hits: DataFrame, kind: str, limit: int = CARDS, least: float = 0.5) -> DataFrame:
+    """The first ``limit`` ranked hits; where all are of one kind, the best fit hit of the other takes the last place.
+
+    A hit is fit whose relevance reaches ``least`` or is unknown; both kinds need one, and the
+    limit must be two or more. One scan gives a row for each kind, which decides.
+    """
+    if limit < 2:
+        return hits.filter(F.col("rank") <= limit)
+    fit = F.col("relevance").isNull() | (F.col("relevance") >= least)
+    kinds = hits.groupBy(kind).agg(F.min(F.when(fit, F.col("rank"))).alias("_first"), F.count_if(F.col("rank") <= limit).alias("_in"))
+    swap = kinds.agg((F.count_if(F.col("_in") > 0) == 1).alias("_one"), F.count("_first").alias("_fit"), F.min(F.when(F.col("_in") == 0, F.col("_first"))).alias("_rank"))
+    swap = swap.select(F.when(F.col("_one") & (F.col("_fit") == 2), F.col("_rank")).alias("_alt"))  # one row
+    kept = (F.col("rank") < limit) | ((F.col("rank") == limit) & F.col("_alt").isNull()) | F.coalesce(F.col("rank") == F.col("_alt"), F.lit(False))
+    return hits.crossJoin(F.broadcast(swap)).filter(kept).drop("_alt")
+
+
+def complete_rerank(entries: DataFrame, group: str, count: str) -> DataFrame:
+    """(group, complete): whether a reranker gave every index from 0 to ``count`` - 1 once, with a finite score."""
+    score = F.col("score").cast("double")
+    good = F.coalesce((F.col("index") >= 0) & (F.col("index") < F.col(count)) & ~F.isnan(score) & (F.abs(score) != F.lit(float("inf"))), F.lit(False))
+    by = entries.groupBy(group).agg(F.max(count).alias("_n"), F.count(F.lit(1)).alias("_rows"), F.count_if(good).alias("_good"), F.count_distinct("index").alias("_ids"))
+    return by.select(group, ((F.col("_rows") == F.col("_n")) & (F.col("_good") == F.col("_n")) & (F.col("_ids") == F.col("_n"))).alias("complete"))
+
+
+def distinct_queries(queries: Sequence[str]) -> list[str]:
+    """Queries in order, without blank ones and those that differ from an earlier one only by case or outer blanks."""
+    first: dict[str, str] = {}
+    for q in queries:
+        if key := q.lower().strip():
+            first.setdefault(key, q)
+    return list(first.values())
+
+
+def first_evidence(passes: Sequence, exact: str = "exact") -> tuple[int, DataFrame]:
+    """The number and the hits of the first of several searches (functions without arguments) that finds exact evidence, else the last with hits.
+
+    Meant for a view: eligible rows, the same rows as context, then the contextual rows. A
+    later search is run only if it is needed.
+    """
+    best = None
+    for i, search in enumerate(passes):
+        hits = search()
+        seen = hits.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(exact)).alias("k")).first()
+        if seen["k"]:
+            return i, hits
+        if seen["n"] or best is None:
+            best = (i, hits)
+    return best

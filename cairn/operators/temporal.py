@@ -12,7 +12,8 @@ from cairn.operators.filters import period_end, period_start
 
 #: Occurrences that one query may expand over all its series; an anchor is free.
 MAX_OCCURRENCES = 50_000
-#: Calendar dates in prose.
+#: Weekdays of a series, and months of dates in prose.
+WEEKDAYS = ("mo", "tu", "we", "th", "fr", "sa", "su")
 MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
 
 
@@ -71,6 +72,19 @@ def actionable() -> Column:
     return F.coalesce(dated & (F.col("temporal_status") != "tentative") & F.col("disposition").isin("active", "accepted") & F.col("relation").isin("scheduled", "due"), F.lit(False))
 
 
+def current_eligible(as_of: Column, zone: str = "UTC") -> Column:
+    """Whether a row holds at the clock: a state that is active or accepted and valid now, or what occurred today or goes on.
+
+    Only actual rows do; of those with a disposition (null: none) only active, accepted,
+    completed and resolved ones.
+    """
+    now, disposition = classify(as_of, zone), F.col("disposition")
+    live = disposition.isNull() | disposition.isin("active", "accepted")
+    fit = (F.col("temporal_status") == "actual") & (live | disposition.isin("completed", "resolved"))
+    holds = F.when(F.col("relation") == "valid", live & now.isin("today", "current_period", "ongoing")).otherwise((F.col("relation") == "occurred") & now.isin("today", "ongoing"))
+    return F.coalesce(fit & holds, F.lit(False))
+
+
 def day_bounds() -> tuple[Column, Column]:
     """First and last day of the row's time; null where open."""
     start, until = point()
@@ -111,19 +125,25 @@ def expand(series: DataFrame, since: str, until: str, limit: int = MAX_OCCURRENC
     first = F.to_date("start")
     end = F.least(F.lit(until).cast("date"), F.coalesce(F.to_date("series_until"), F.lit(until).cast("date")))
     every = F.coalesce(F.col("interval"), F.lit(1))
-    days = F.sequence(F.lit(0), F.greatest(F.date_diff(end, first), F.lit(-1)))
+    gap = F.greatest(F.date_diff(F.lit(since).cast("date"), first), F.lit(0))
     months = F.sequence(F.lit(0), F.greatest(F.ceil(F.months_between(end, first)).cast("int") + 1, F.lit(-1)))
     byday = (F.col("frequency") == "weekly") & F.col("weekdays").isNotNull() & (F.size("weekdays") > 0)
-    name = lambda d: F.lower(F.left(F.date_format(d, "E"), F.lit(2)))
-    in_days = F.transform(
-        F.filter(days, lambda n: F.when(byday, F.floor(n / 7) % every == 0).when(F.col("frequency") == "daily", n % every == 0).otherwise(n % (every * 7) == 0)),
-        lambda n: F.date_add(first, n.cast("int")),
-    )
-    in_days = F.filter(in_days, lambda d: ~byday | F.array_contains(F.col("weekdays"), name(d)))
+    week = F.array(*(F.lit(d) for d in WEEKDAYS))
+    # days go on from the last step before the range; the steps passed over are counted, not made
+    stride = F.when(F.col("frequency") == "daily", every).otherwise(every * 7).cast("int")
+    passed = F.floor(gap / stride).cast("int")
+    last = F.date_diff(end, first)
+    plain = F.when(last >= passed * stride, F.sequence(passed * stride, last, stride))
+    blocks = F.filter(F.when(last >= passed * stride, F.sequence(passed * stride, last)), lambda n: (F.floor(n / 7) % every == 0) & F.array_contains("weekdays", F.element_at(week, F.weekday(F.date_add(first, n)) + 1)))
+    in_days = F.transform(F.when(byday, blocks).otherwise(plain), lambda n: F.date_add(first, n))
+    # a block of seven days has every weekday once
+    before = passed * F.when(byday, F.size(F.array_intersect("weekdays", week))).otherwise(1)
     step = F.when(F.col("frequency") == "yearly", every * 12).otherwise(every)
     in_months = F.filter(F.transform(F.filter(months, lambda n: n % step == 0), lambda n: F.add_months(first, n.cast("int"))), lambda d: F.day(d) == F.day(first))
     every_day = F.filter(F.when(F.col("frequency").isin("daily", "weekly"), in_days).otherwise(in_months), lambda d: d <= end)
-    found = series.filter(F.date_diff(end, first) >= 0).select("*", F.posexplode(every_day).alias("index", "occurrence"))
+    skipped = F.when(F.col("frequency").isin("daily", "weekly"), before).otherwise(0)
+    found = series.filter(F.date_diff(end, first) >= 0).select("*", skipped.cast("int").alias("_skipped"), F.posexplode(every_day).alias("index", "occurrence"))
+    found = found.withColumn("index", F.col("index") + F.col("_skipped")).drop("_skipped")
     found = found.filter(F.col("occurrence") >= F.lit(since).cast("date"))
     return found.orderBy("occurrence", "id").limit(limit)
 

@@ -21,6 +21,22 @@ def table(spark: SparkSession, target: str, version: int, name: str) -> DataFram
     return spark.read.parquet(f"{target}/v{version}/{name}")
 
 
+def latest(spark: SparkSession, target: str) -> int | None:
+    """The newest version of which every table is complete."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(target)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+    done = [int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit() and _exists(spark, f"{target}/{n}/{TABLES[-1]}/_SUCCESS")]
+    return max(done, default=None)
+
+
+def stale(spark: SparkSession, root: str, target: str, version: int) -> bool:
+    """Whether the folder differs from a version: a file was added, changed, moved or removed."""
+    now = markdown.scan(spark, root).select("rel_path", "size", "modified", "sha256")
+    change = diff_snapshot(table(spark, target, version, "files"), now, "rel_path", ["size", "modified"], "sha256")
+    return not change.filter(~F.col("change").isin("same", "touched")).isEmpty()
+
+
 def _links(pages: DataFrame) -> DataFrame:
     lines = pages.select("slug", F.regexp_extract("slug", "^(.*)/", 1).alias("folder"), F.posexplode(F.split("text", "\n")).alias("n", "text")).withColumn("line", F.col("n") + 1)
     return markdown_links(lines, "slug", "folder")

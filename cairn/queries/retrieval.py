@@ -222,11 +222,7 @@ SELECT doc_id, rank FROM k, one WHERE NOT sw OR rank < 8 UNION ALL SELECT doc_id
 def mixed_order(spark, sf_dir):
     """The best of the other type takes the last slot where all slots hold one type."""
     hits = hybrid(spark, sf_dir).withColumn("page", F.col("doc_id") % 2 == 0)
-    top = hits.filter("rank <= 8")
-    kinds = top.agg(F.count_distinct("page").alias("kinds"), F.first("page").alias("only"))
-    alt = hits.filter("rank > 8").crossJoin(F.broadcast(kinds)).filter("kinds = 1 AND page <> only AND coalesce(relevance, 1) >= 0.1").orderBy("rank").limit(1).select("doc_id", "rank")
-    swapped = alt.agg((F.count(F.lit(1)) > 0).alias("sw"))
-    return top.crossJoin(F.broadcast(swapped)).filter("NOT sw OR rank < 8").select("doc_id", "rank").unionByName(alt)
+    return R.mixed_order(hits, "page", least=0.1).select("doc_id", "rank")
 
 
 @query("line_overlap", f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t FROM documents), w AS (SELECT doc_id, list_distinct(list_transform({_TOK.format('t')}, lambda w: CASE WHEN length(w) > 4 AND w LIKE '%ies' THEN w[:-4] WHEN length(w) > 3 AND w LIKE '%es' THEN w[:-3] WHEN length(w) > 3 AND w LIKE '%s' AND w NOT LIKE '%ss' THEN w[:-2] ELSE w END)) AS s FROM l)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cairn.functions import markdown as M
@@ -16,12 +16,16 @@ CHUNK = "slug string, ord int, kind string, heading_path string, text string, li
 EVENT = "slug string, date string, summary string, target_slug string, line int"
 
 
+def below(root: str) -> Column:
+    """The part of a file's path below root."""
+    base = re.sub(r"^[a-z]+:/+", "/", root).rstrip("/") + "/"
+    return F.substring("path", F.locate(base, F.col("path")) + len(base), F.length("path"))
+
+
 def scan(spark: SparkSession, root: str, largest: int = 16_000_000) -> DataFrame:
     """Files below root: pages (.md) and attachments, without dot files and pages over a size, with content hash."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = re.sub(r"^[a-z]+:/+", "/", root).rstrip("/") + "/"
-    rel = F.substring("path", F.locate(base, F.col("path")) + len(base), F.length("path"))
-    out = files.select("path", rel.alias("rel_path"), F.when(F.lower("path").endswith(".md"), "page").otherwise("attachment").alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), "content")
+    out = files.select("path", below(root).alias("rel_path"), F.when(F.lower("path").endswith(".md"), "page").otherwise("attachment").alias("kind"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), F.sha2("content", 256).alias("sha256"), "content")
     return out.filter(~F.col("rel_path").rlike(r"(^|/)\.") & ((F.col("kind") != "page") | (F.col("size") <= largest)))
 
 

@@ -358,3 +358,75 @@ def test_similar_pairs_of_a_whole_label(spark, data):
     got = {(r["a"], r["b"]) for r in QUERIES["similar_pairs_label"](spark, data).collect()}
     part = {(r["a"], r["b"]) for r in QUERIES["similar_pairs_cosine"](spark, data).collect()}
     assert part < got and any((a - b) % 7 for a, b in got)
+
+
+def test_follow_sees_changed_moved_and_removed_files(spark, tmp_path):
+    from cairn.plans import index as I
+    from cairn.streaming.watch import follow
+
+    root, out = tmp_path / "in", str(tmp_path / "out")
+    (root / "a").mkdir(parents=True)
+    (root / "b").mkdir()
+    (root / "a" / "x.md").write_text("# One")
+    (root / "b" / "x.md").write_text("# Two")
+
+    def tick():
+        follow(spark, str(root), out, str(tmp_path / "cp"), once=True).awaitTermination(90)
+        version = I.latest(spark, out)
+        return version, {r["slug"]: r["title"] for r in I.table(spark, out, version, "pages").collect()}
+
+    assert tick() == (1, {"a/x": "One", "b/x": "Two"})
+    assert tick()[0] == 1  # nothing changed
+    (root / "a" / "x.md").write_text("# Three, longer")
+    (root / "b" / "x.md").rename(root / "b" / "y.md")
+    assert tick() == (2, {"a/x": "Three, longer", "b/y": "Two"})
+    assert [tuple(r) for r in I.moved(spark, out, 1, 2).collect()] == [("b/x.md", "b/y.md")]
+    (root / "b" / "y.md").unlink()
+    assert tick() == (3, {"a/x": "Three, longer"})
+
+
+def test_replay_takes_requests_by_number(spark, tmp_path):
+    from cairn.streaming.watch import replay_stream
+
+    kind = "actor string, op string, key string, request long, digest string"
+    spark.createDataFrame([("a", "w", "k", 9, "z"), ("a", "w", "k", 3, "d"), ("a", "w", "k", 5, "d")], kind).coalesce(1).write.parquet(str(tmp_path / "req"))
+    q = replay_stream(spark.readStream.schema(kind).parquet(str(tmp_path / "req"))).writeStream.format("memory").queryName("by_number").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(90)
+    assert {r["request"]: r["outcome"] for r in spark.table("by_number").collect()} == {3: "accepted", 5: "replay", 9: "conflict"}
+
+
+def test_recurrence_far_from_its_start(spark):
+    """The index counts from the start of the series, wherever the range begins."""
+    kind = "id long, start string, frequency string, interval int, weekdays array<string>, series_until string"
+    rows = [(1, "1990-01-03", "daily", 3, None, None), (2, "1990-01-03", "weekly", 2, None, None), (3, "1990-01-03", "weekly", 2, ["mo", "we", "we"], None), (4, "1990-01-31", "monthly", 1, None, None), (5, "2030-01-01", "daily", 1, None, None), (6, "1990-01-01", "daily", 1, None, "1999-01-01")]
+    df = spark.createDataFrame(rows, kind)
+    every = {(r["id"], str(r["occurrence"])): r["index"] for r in T.expand(df, "1980-01-01", "2024-04-30").collect()}
+    late = {(r["id"], str(r["occurrence"])): r["index"] for r in T.expand(df, "2024-03-01", "2024-04-30").collect()}
+    assert late == {k: v for k, v in every.items() if k[1] >= "2024-03-01"} and {k[0] for k in late} == {1, 2, 3, 4}
+
+
+def test_names_in_a_query_and_first_evidence(spark):
+    names = spark.createDataFrame([("Red Fox", "red fox"), ("Fox", "fox"), ("Fox Hill", "fox hill"), ("red FOX", "red fox"), ("ox", "ox")], "name string, normalized string")
+    assert G.names_in("Does the red fox, hill or a fox know?", names) == [("Fox Hill", 13, 21), ("Fox", 27, 30)]
+    assert G.names_in("", names) == []
+    assert R.distinct_queries(["Ann", " ann ", "", "Bob", "BOB"]) == ["Ann", "Bob"]
+    hits = lambda *on: lambda: spark.createDataFrame([(i, x) for i, x in enumerate(on)], "id long, exact boolean")
+    assert R.first_evidence([hits(False), hits(True), hits(True)])[0] == 1
+    assert R.first_evidence([hits(), hits(False), hits()])[0] == 1
+
+
+def test_rerank_marker_and_stop_words(spark):
+    from cairn.functions.text import stop_words
+    from cairn.operators.memory import marker
+
+    rows = [(1, 0, 0.5, 2), (1, 1, 0.1, 2), (2, 0, 0.5, 2), (2, 0, 0.5, 2), (3, 0, float("nan"), 1), (4, 2, 1.0, 1), (5, 0, 1.0, 2)]
+    got = R.complete_rerank(spark.createDataFrame(rows, "g long, index long, score double, n long"), "g", "n").collect()
+    assert {r["g"]: r["complete"] for r in got} == {1: True, 2: False, 3: False, 4: False, 5: False}
+    ok = "<!-- t:item ab-12 v=2 supports=s level=1 kind=plan subject=A%20b source-role=user reports=0 commitment=asserted disposition=active polarity=positive basis=direct -->"
+    bad = [ok.replace("v=2", "v=1"), ok.replace("reports=0", "reports=1"), ok.replace("kind=plan ", ""), ok.replace("basis=direct", "basis=direct start=2024"), ok.replace("kind=plan", "kind=plan kind=plan"), ok.replace("kind=plan", "colour=red"), "plain", None]
+    lines = spark.createDataFrame([(i, x) for i, x in enumerate([ok, *bad])], "i int, x string")
+    found = {r["i"]: r["m"] for r in lines.select("i", marker(F.col("x"), "t:item").alias("m")).collect()}
+    assert found[0]["id"] == "ab-12" and found[0]["fields"]["subject"] == "A b" and [i for i, m in found.items() if m] == [0]
+    p = stop_words(["Vulpine Mutual", " ", "c++"])
+    texts = spark.createDataFrame([("x/vulpine-mutual",), ("Vulpine_ mutuals",), ("uses C++.",), (None,)], "t string")
+    assert [r[0] for r in texts.select(F.col("t").rlike(p)).collect()] == [True, False, True, None] and stop_words([" "]) is None
