@@ -73,11 +73,15 @@ def term_stats(docs: DataFrame, text: str = "text") -> DataFrame:
     return held.select(F.explode(marked).alias("x")).groupBy("x.term").agg(F.sum("x.first").cast("long").alias("df"), F.count(F.lit(1)).alias("cf"))
 
 
-def search_postings(index: DataFrame, stats: DataFrame, query: Sequence[str], key: str, limit: int = ARM_LIMIT) -> DataFrame:
-    """BM25 over a written index: only the postings of the query's terms are read. stats: one row (n, avg)."""
+def search_postings(index: DataFrame, stats: DataFrame, query: Sequence[str], key: str, limit: int = ARM_LIMIT, allowed: DataFrame | None = None) -> DataFrame:
+    """BM25 over a written index: only the postings of the query's terms are read. stats: one row (n, avg).
+
+    ``allowed`` keys restrict what is ranked before the limit, not the statistics.
+    """
     some = index.filter(F.col("term").isin(*query))
     n = some.groupBy("term").agg(F.count(F.lit(1)).alias("df"))  # as many rows as query terms
-    scored = some.join(F.broadcast(n), "term").crossJoin(F.broadcast(stats))
+    held = some if allowed is None else some.join(allowed.select(key), key, "left_semi")
+    scored = held.join(F.broadcast(n), "term").crossJoin(F.broadcast(stats))
     idf = F.greatest(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(LEAST_IDF))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg")))
     return ranked(scored.groupBy(key).agg(F.round(F.sum(part), 6).alias("score")), "score", key, limit)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -68,26 +68,73 @@ def concepts(query: str, most: int = 5) -> list[str]:
     return [" ".join(words[i : i + 2]) for i in range(0, len(words), 2)][:most]
 
 
-def recall(docs: DataFrame, query: str, key: str = "doc_id", text: str = "text", vectors: DataFrame | None = None, query_vector: Sequence[float] | None = None, filters: dict | None = None, limit: int = R.CARDS, budget: int = 4000) -> Envelope:
-    """Ranked evidence cards within a token budget: lexical and vector arms, fusion, budget, coverage."""
+def recall(
+    docs: DataFrame,
+    query: str,
+    key: str = "doc_id",
+    text: str = "text",
+    vectors: DataFrame | None = None,
+    query_vector: Sequence[float] | None = None,
+    filters: dict | None = None,
+    limit: int = R.CARDS,
+    budget: int = 4000,
+    index: tuple[DataFrame, DataFrame] | None = None,
+    arms: Sequence[DataFrame] = (),
+    expand: Callable[[str], Sequence[str]] | None = None,
+    judge: Callable[[str, DataFrame], DataFrame] | None = None,
+    states: DataFrame | None = None,
+    kind: str | None = None,
+) -> Envelope:
+    """Ranked evidence cards within a token budget: arms, view, fusion, rerank, kinds, budget, coverage.
+
+    The lexical arm reads ``index``, a written (postings, statistics) pair, or else the texts.
+    ``arms`` are further rankings (key, rank, relevance if known), such as fact_chunks() and
+    graph_arm(). ``expand`` gives more wordings, ``judge`` new scores (key, new_score) of the
+    rerank window's rows. With ``states`` (key, state) only eligible rows are searched, and the
+    contextual ones where those have nothing. ``kind`` names the column of a row's type, of
+    which the cards then hold both if both are fit.
+    """
     mode = infer_mode(query)
     limit = limit * 2 if mode == "explore" else limit
-    allowed = recall_filter(docs, **filters) if filters else None
-    arms = [R.bm25(docs, part, {text: 1.0}, key, allowed=allowed) for part in split_parts(query)]
-    reasons = []
-    if vectors is not None and query_vector is not None:
-        near = vectors if allowed is None else vectors.join(allowed.select(key), key, "left_semi")
-        arms.append(R.vector_top(near, query_vector, key))
-    elif query_vector is not None:
-        reasons.append("no_vectors")
-    hits = R.fuse(arms, key, scores=True).orderBy("rank").limit(limit)
+    wordings = R.distinct_queries([*split_parts(query), *(expand(query) if expand else ())])
+    some = recall_filter(docs, **filters) if filters else None
+    reasons = ["no_vectors"] if query_vector is not None and vectors is None else []
+
+    def hits_of(allowed: DataFrame | None) -> DataFrame:
+        only = lambda df: df if allowed is None else df.join(allowed.select(key), key, "left_semi")
+        if index is None:
+            every = [R.bm25(docs, w, {text: 1.0}, key, allowed=allowed) for w in wordings]
+        else:
+            every = [R.search_postings(*index, match_terms(w), key, allowed=allowed) for w in wordings]
+        if vectors is not None and query_vector is not None:
+            every.append(R.vector_top(only(vectors), query_vector, key))
+        every += [only(a) for a in arms]
+        return R.fuse(every, key, scores=True)
+
+    selection = None
+    if states is None:
+        hits = hits_of(some)
+    else:
+        base = docs.select(key) if some is None else some.select(key)
+        for selection in ("eligible", "contextual"):
+            hits = hits_of(base.join(states.filter(F.col("state") == selection).select(key), key, "left_semi"))
+            if not hits.isEmpty():
+                break
+    if judge is not None:
+        window = R.rerank_window(hits.withColumn("relevance", F.col("relevance") if "relevance" in hits.columns else F.lit(None).cast("double")), key, limit)
+        judged = judge(query, window.join(docs.select(key, text), key))
+        hits = R.ranked(R.tail_rescale(hits, judged, key), "score", key, R.ARM_LIMIT)
+    if kind is not None:
+        typed = hits.join(docs.select(key, kind), key)
+        hits = R.mixed_order(typed if "relevance" in typed.columns else typed.withColumn("relevance", F.lit(None).cast("double")), kind, limit).drop(kind)
+    hits = hits.orderBy("rank").limit(limit)
     cards = R.normalise(hits).join(docs.select(key, text), key).withColumn("cost", estimated_tokens(F.col(text)))
     kept = cards.join(R.fill_budget(cards, key, "cost", budget), key, "left_semi").orderBy("rank")
     rows = [r.asDict() for r in kept.collect()]  # at most ``limit`` cards
     wanted = concepts(query)
     covered = {c: all(R.light_stem_of(w) in " ".join(r[text].lower() for r in rows) for w in c.split()) for c in wanted}
     status = "degraded" if reasons else "ok" if rows else "empty"
-    return Envelope(status, rows, reasons, {"mode": mode, "view": infer_view(query), "coverage": covered})
+    return Envelope(status, rows, reasons, {"mode": mode, "view": infer_view(query), "coverage": covered} | ({"selection": selection} if selection else {}))
 
 
 def read(pages: DataFrame, key: str, value, links: DataFrame | None = None, from_line: int = 1, to_line: int | None = None) -> Envelope:

@@ -430,3 +430,24 @@ def test_rerank_marker_and_stop_words(spark):
     p = stop_words(["Vulpine Mutual", " ", "c++"])
     texts = spark.createDataFrame([("x/vulpine-mutual",), ("Vulpine_ mutuals",), ("uses C++.",), (None,)], "t string")
     assert [r[0] for r in texts.select(F.col("t").rlike(p)).collect()] == [True, False, True, None] and stop_words([" "]) is None
+
+
+def test_recall_with_all_arms(spark):
+    rows = [(1, "red fox runs", "page"), (2, "blue fox", "page"), (3, "green hill", "document"), (4, "fox den", "page"), (5, "nothing", "document")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kind string")
+    ids = lambda env: [r["doc_id"] for r in env.rows]
+    plain = ops.recall(docs, "fox")
+    assert set(ids(plain)) == {1, 2, 4}
+    index = R.postings(docs, "doc_id"), spark.createDataFrame([(5.0, 2.2)], "n double, avg double")
+    assert set(ids(ops.recall(docs, "fox", index=index))) == {1, 2, 4}
+    arm = spark.createDataFrame([(3, 1, 0.9)], "doc_id long, rank int, relevance double")
+    assert set(ids(ops.recall(docs, "fox", arms=[arm]))) == {1, 2, 3, 4}
+    assert 3 in ids(ops.recall(docs, "fox", arms=[arm.withColumn("rank", F.lit(60))], limit=2, kind="kind"))
+    assert 3 in ids(ops.recall(docs, "fox", expand=lambda q: [q.upper(), "green hill"]))
+    states = spark.createDataFrame([(1, "contextual"), (2, "eligible"), (5, "eligible")], "doc_id long, state string")
+    env = ops.recall(docs, "fox", states=states)
+    assert ids(env) == [2] and env.info["selection"] == "eligible"
+    env = ops.recall(docs, "red", states=states)
+    assert ids(env) == [1] and env.info["selection"] == "contextual"
+    judged = ops.recall(docs, "fox", judge=lambda q, w: w.select("doc_id", F.when(F.col("doc_id") == 4, 0.9).otherwise(0.6).alias("new_score")))
+    assert ids(judged)[0] == 4
