@@ -18,8 +18,12 @@ MAX_ROWS = 12_000
 SMOOTH, RIDGE, ROUNDS = 1.0, 3e-3, 24
 #: One in so many training rows, by hash, is left for calibration; the pull of its slope to 1.
 CALIBRATE, PULL = 5, 1e-3
-#: Tasks that sum gradients, and steps that L-BFGS remembers: with 2**BITS they bound the driver's memory.
-FIT_TASKS, REMEMBERED = 3, 4
+#: Tasks that find the features of training rows, and steps that L-BFGS remembers.
+FEATURE_TASKS, REMEMBERED = 8, 4
+#: Rows of more buckets than this are kept as bitmaps, so that no row takes over 2**BITS / 8 bytes and a little.
+DENSE = 1 << (BITS - 4)
+#: Buckets of training rows that are unpacked at a time.
+TOGETHER = 1 << 20
 
 
 @dataclass
@@ -51,31 +55,46 @@ def grams(text: str | None) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0, np.int64)
 
 
-def _count(batches):
-    """For every bucket, the documents of each label that hold it, summed over the task."""
-    n = np.zeros((2, 1 << BITS), np.int32)
-    for batch in batches:
-        for f, y in zip(_buckets(batch), batch.column("y").to_pylist(), strict=True):
-            n[y][f] += 1
-    at = np.flatnonzero(n.any(axis=0))
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[0][at].astype(np.int64)), pa.array(n[1][at].astype(np.int64))], ["b", "n0", "n1"])
+def _pack(buckets: np.ndarray) -> bytes:
+    """Sorted different buckets as compressed differences, many as a compressed bitmap: they are read once for every step of the fit."""
+    import zstandard
 
+    if len(buckets) > DENSE:
+        bits = np.zeros(1 << BITS, bool)
+        bits[buckets] = True
+        plain = b"b" + np.packbits(bits).tobytes()
+    else:
+        plain = b"d" + np.diff(buckets, prepend=0).astype("<i4").tobytes()
+    return zstandard.ZstdCompressor(level=1).compress(plain)
 
-def _featured(batches):
-    import zstandard
 
-    press = zstandard.ZstdCompressor(level=1)
+def _unpack(packed: bytes, press) -> np.ndarray:
+    plain = press.decompress(packed)
+    if plain[:1] == b"b":
+        return np.flatnonzero(np.unpackbits(np.frombuffer(plain, np.uint8, offset=1)))
+    return np.cumsum(np.frombuffer(plain, "<i4", offset=1), dtype=np.int64)
+
+
+def _featured(batches):
     for batch in batches:
-        # sorted buckets as compressed differences: they are read once for every step of the fit
-        f = [press.compress(np.diff(np.unique(grams(t.as_py())), prepend=0).astype(np.int32).tobytes()) for t in batch.column("text")]
+        f = [_pack(np.unique(grams(t.as_py()))) for t in batch.column("text")]
         yield pa.RecordBatch.from_arrays([batch.column("y"), batch.column("c"), pa.array(f, pa.binary())], ["y", "c", "f"])
 
 
-def _buckets(batch) -> list[np.ndarray]:
+def _runs(rows: list[bytes]):
+    """(place of the first row, buckets of each) of runs of rows that hold about TOGETHER buckets."""
     import zstandard
 
-    plain = zstandard.ZstdDecompressor()
-    return [np.cumsum(np.frombuffer(plain.decompress(f.as_py()), np.int32)) for f in batch.column("f")]
+    press = zstandard.ZstdDecompressor()
+    held, n, at = [], 0, 0
+    for f in rows:
+        held.append(_unpack(f, press))
+        n += len(held[-1])
+        if n >= TOGETHER:
+            yield at, held
+            held, n, at = [], 0, at + len(held)
+    if held:
+        yield at, held
 
 
 def _margins(rows: list[np.ndarray], v: np.ndarray) -> np.ndarray:
@@ -83,32 +102,51 @@ def _margins(rows: list[np.ndarray], v: np.ndarray) -> np.ndarray:
     return np.bincount(np.repeat(np.arange(len(rows)), [len(r) for r in rows]), weights=v[idx], minlength=len(rows)) + v[-1]
 
 
-def _slope(shared):
-    """Loss and gradient over a task's rows: margins are sums of the weights of a row's buckets."""
+def fit(rows: list[bytes], y: np.ndarray, left: list[bytes], left_y: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights of all buckets and the intercept, learnt from packed rows with both labels and calibrated on those left."""
+    n = np.zeros((2, 1 << BITS))
+    for at, held in _runs(rows):
+        for label in (0, 1):
+            of = [r for r, x in zip(held, y[at : at + len(held)], strict=True) if x == label]
+            n[label] += np.bincount(np.concatenate([*of, np.empty(0, np.int64)]), minlength=1 << BITS)
+    total = [int((y == label).sum()) for label in (0, 1)]
+    ratio = np.where(n.any(axis=0), np.log((n[1] + SMOOTH) / (total[1] + 2 * SMOOTH)) - np.log((n[0] + SMOOTH) / (total[0] + 2 * SMOOTH)), 0.0)
 
-    def run(batches):
-        v = np.frombuffer(shared.value, np.float64)
-        grad, value = np.zeros(len(v)), 0.0
-        for batch in batches:
-            rows, y = _buckets(batch), batch.column("y").to_numpy().astype(float)
-            z = _margins(rows, v)
-            g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - y
-            value += float((np.logaddexp(0, z) - y * z).sum())
-            for r, x in zip(rows, g, strict=True):
-                grad[r] += x  # a row's buckets differ
+    def loss(w):
+        v = np.append(w[:-1] * ratio, w[-1])
+        grad, value = np.zeros(len(w)), 0.0
+        for at, held in _runs(rows):
+            z, own = _margins(held, v), y[at : at + len(held)]
+            g = 1 / (1 + np.exp(-np.clip(z, -500, 500))) - own
+            value += float((np.logaddexp(0, z) - own * z).sum())
+            grad[:-1] += np.bincount(np.concatenate(held), weights=np.repeat(g, [len(r) for r in held]), minlength=1 << BITS)
             grad[-1] += g.sum()
-        yield pa.RecordBatch.from_arrays([pa.array([value]), pa.array([grad.tobytes()], pa.binary())], ["value", "grad"])
-
-    return run
+        grad[:-1] *= ratio
+        grad /= len(y)
+        grad[:-1] += RIDGE * w[:-1]
+        return value / len(y) + RIDGE / 2 * (w[:-1] @ w[:-1]), grad
 
+    w = minimise(loss, (1 << BITS) + 1)
+    v = np.append(w[:-1] * ratio, w[-1])
+    slope, shift = calibrate(np.concatenate([*(_margins(held, v) for _, held in _runs(left)), np.empty(0)]), left_y)
+    return slope * v[:-1], float(slope * v[-1] + shift)
 
-def _marker(shared):
-    def run(batches):
-        v = np.frombuffer(shared.value, np.float64)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("y"), pa.array(_margins(_buckets(batch), v))], ["y", "z"])
 
-    return run
+def _fitted(batches):
+    """One row: the weights of all buckets (none without both labels) and the intercept."""
+    y, c, f = [], [], []
+    for batch in batches:
+        y += batch.column("y").to_pylist()
+        c += batch.column("c").to_pylist()
+        f += batch.column("f").to_pylist()
+    y, c = np.array(y, float), np.array(c, bool)
+    if len(set(y[~c])) == 2:
+        part = lambda on: [x for x, k in zip(f, on, strict=True) if k]
+        weights, bias = fit(part(~c), y[~c], part(c), y[c])
+        at = np.flatnonzero(weights)
+    else:
+        weights, bias, at = np.empty(0), 20.0 if len(y) and y.all() else -20.0, np.empty(0, np.int64)
+    yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (at, weights[at])] + [pa.array([bias])], ["buckets", "weights", "bias"])
 
 
 def minimise(loss, n: int, rounds: int = ROUNDS) -> np.ndarray:
@@ -151,53 +189,29 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str =
     """Fit on labelled rows of docs; labels are learnt only where crc32(doc_id as text) mod 5 is not 0.
 
     At most ``max_rows`` labelled documents take part, chosen by hash of doc_id, with their
-    whole texts. Documents of each label that hold an n-gram are counted over the cluster; the
-    n-grams, hashed to 2**BITS buckets, are all features, scaled by their log-count ratios. A
-    ridge logistic regression weighs the scaled features: tasks sum losses and gradients over
-    written rows of buckets, and the driver holds a few vectors of 2**BITS numbers. One training
+    whole texts. Their n-grams, hashed to 2**BITS buckets, are all features and are found in
+    FEATURE_TASKS tasks. One task then counts how many documents of each label hold a bucket,
+    scales it by its log-count ratio and weighs the scaled features by a ridge logistic
+    regression: a packed row takes at most 2**BITS / 8 bytes (32 kB) and a little, so the task
+    holds at most about 400 MB at MAX_ROWS rows, however long the texts, and the driver gets
+    nothing but the model. One training
     row in CALIBRATE is kept from this; on these a line through the margins makes the score a
     share, as margins of rows learnt from are too sure of themselves. Rows
     without an id, a text or a label of 0 or 1 are not learnt from; of several labels of one id
-    the largest holds. Without both labels the score is the share of the one there is, or 0.
+    the largest holds, of several texts the least. Without both labels the score is the share of the one there is, or 0.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     known = labels.filter(F.col(doc_id).isNotNull() & F.col(label).isin(0, 1) & (F.crc32(F.col(doc_id).cast("string")) % 5 != 0)).groupBy(F.col(doc_id).alias("_id")).agg(F.max(label).cast("int").alias("y"))
     known = known.orderBy(F.xxhash64("_id"), "_id").limit(max_rows)
-    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter("text IS NOT NULL").join(known, "_id")
+    rows = docs.select(F.col(doc_id).alias("_id"), F.col(text).alias("text")).filter("text IS NOT NULL").join(known, "_id").groupBy("_id", "y").agg(F.min("text").alias("text"))
     rows = rows.select("text", "y", (F.crc32(F.concat(F.lit("c"), F.col("_id").cast("string"))) % CALIBRATE == 0).alias("c"))
-    featured = save(rows.repartition(FIT_TASKS).mapInArrow(_featured, "y int, c boolean, f binary"))
-    fit = featured.filter(~F.col("c"))
-    size = {r["y"]: r["n"] for r in fit.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n0, n1 = size.get(0, 0), size.get(1, 0)
-    if not n0 or not n1:
-        ones = featured.agg(F.avg("y")).first()[0] or 0
-        return Model(np.empty(0, np.int64), np.empty(0), 20.0 if ones == 1 else -20.0)
-    counts = fit.mapInArrow(_count, "b long, n0 long, n1 long").groupBy("b").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toArrow()  # 2**BITS rows at most
-    buckets = counts.column("b").to_numpy().copy()
-    ratio = np.zeros(1 << BITS)
-    ratio[buckets] = np.log((counts.column("n1").to_numpy() + SMOOTH) / (n1 + 2 * SMOOTH)) - np.log((counts.column("n0").to_numpy() + SMOOTH) / (n0 + 2 * SMOOTH))
-
-    def loss(w):
-        v = w.copy()
-        v[:-1] *= ratio
-        shared = spark.sparkContext.broadcast(v.tobytes())
-        value, grad = 0.0, np.zeros(len(w))
-        for r in fit.coalesce(FIT_TASKS).mapInArrow(_slope(shared), "value double, grad binary").collect():  # FIT_TASKS rows
-            value += r["value"]
-            grad += np.frombuffer(r["grad"], np.float64)
-        shared.destroy()
-        grad[:-1] *= ratio
-        grad /= n0 + n1
-        grad[:-1] += RIDGE * w[:-1]
-        return value / (n0 + n1) + RIDGE / 2 * (w[:-1] @ w[:-1]), grad
-
-    w = minimise(loss, (1 << BITS) + 1)
-    v = np.append(w[:-1] * ratio, w[-1])
-    left = featured.filter("c").mapInArrow(_marker(spark.sparkContext.broadcast(v.tobytes())), "y int, z double").toArrow()  # a share of max_rows
+    featured = save(rows.repartition(FEATURE_TASKS).mapInArrow(_featured, "y int, c boolean, f binary"))
+    got = featured.coalesce(1).mapInArrow(_fitted, "buckets binary, weights binary, bias double").first()  # one row of a bounded size
     drop(featured)
-    slope, shift = calibrate(left.column("z").to_numpy(), left.column("y").to_numpy().astype(float))
-    return Model(buckets, slope * v[buckets], float(slope * v[-1] + shift))
+    if got is None:
+        return Model(np.empty(0, np.int64), np.empty(0), -20.0)
+    return Model(np.frombuffer(got["buckets"], np.int64), np.frombuffer(got["weights"], np.float64), got["bias"])
 
 
 def calibrate(z: np.ndarray, y: np.ndarray) -> tuple[float, float]:
