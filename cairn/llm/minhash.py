@@ -138,12 +138,13 @@ def _verifier(width: int, percent: int):
 
 
 def _across(width: int, percent: int, fields: int):
-    """Links between different components in one block pair: sketches first, then full sets."""
+    """Links that join different components in one block pair, as a spanning forest: sketches first, then full sets."""
 
     def run(batches):
         least = least_agreement(percent, fields)
         for t in blocks.groups(batches, ["k", "_i", "_j"]):
             node, comp, b, n = (t.column(c).to_numpy() for c in ("node", "comp", "_b", "n"))
+            comp = comp.copy()  # of what the block has joined so far
             sk = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(len(node), -1)
             i, j = t.column("_i")[0].as_py(), t.column("_j")[0].as_py()
             rows, cols = np.flatnonzero(b == i), np.flatnonzero(b == j)
@@ -165,8 +166,14 @@ def _across(width: int, percent: int, fields: int):
                 hit = own[np.minimum(at, len(own) - 1)] == flat
                 both = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(n[c])[:-1]]), dtype=np.int64)
                 c = c[100 * both >= percent * (n[c] + n[r] - both)]
+                if not len(c):
+                    continue
+                # one link to each component it meets joins them; any other would say the same again
+                met, first = np.unique(comp[c], return_index=True)
+                c = c[first]
                 us.append(np.maximum(node[c], node[r]))
                 vs.append(np.minimum(node[c], node[r]))
+                comp[np.isin(comp, met)] = comp[r]
             if us:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us), pa.int64()), pa.array(np.concatenate(vs), pa.int64())], ["u", "v"])
 
@@ -186,8 +193,9 @@ def near_duplicates(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT,
        node and the least of its bucket, are tried: by sketch, then on full sets. The links
        found give components.
     3. In buckets of three or more that still hold two components, all pairs of different
-       components are tried the same way inside blocks of bounded size, so that no link is
-       lost; pairs already connected are never made, and only links leave the blocks.
+       components are tried the same way inside blocks of bounded size, so that no connection is
+       lost; pairs already connected are never tried, and of the links found in a block only a
+       spanning forest leaves it, fewer than it has rows.
        Components are then taken over all links.
 
     Null texts and texts without words have no shingles and link with nothing, whatever else
