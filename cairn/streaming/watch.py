@@ -34,7 +34,8 @@ def follow(spark: SparkSession, root: str, target: str, checkpoint: str, every:
         if before is None or I.stale(spark, root, target, before):
             I.index(spark, root, target, (before or 0) + 1, before)
 
-    ticks = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    # one row a trigger; the source rate has none within its first second, and then no batch is run
+    ticks = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", 1).load()
     writer = ticks.writeStream.foreachBatch(tick).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()
 
