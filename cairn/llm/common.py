@@ -63,8 +63,12 @@ def drop(*frames: DataFrame) -> None:
     """Delete tables made by save() that nothing reads any more."""
     for df in frames:
         if path := getattr(df, "_cairn_path", None):
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            remove(df.sparkSession, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def _members(bitmaps):

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import common, decontam, hyperplanes, minhash, mixing, pages, quality, secrets, sharding, tokens, toxicity
-from cairn.llm.sql import OP1, OP2, OP6, OP7
+from cairn.llm import audit, common, decontam, hyperplanes, minhash, mixing, pages, quality, secrets, sharding, tokens, toxicity
+from cairn.llm.sql import OP1, OP2, OP6, OP7, OP11
 
 SHARDS, TOKEN_LIMIT = 16, 512
 
@@ -58,6 +58,10 @@ def op10_secret_scan(spark, sf_dir):
     return secrets.digest(secrets.scan(common.table(spark, sf_dir, "documents")))
 
 
-_ALL = (op1_mixing, op2_minhash, op3_toxicity, op4_sharding, op5_decontamination, op6_embedding_dedup, op7_quality, op8_token_counts, op9_html_extraction, op10_secret_scan)
+def op11_filter_audit(spark, sf_dir):
+    return audit.audit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+_ALL = (op1_mixing, op2_minhash, op3_toxicity, op4_sharding, op5_decontamination, op6_embedding_dedup, op7_quality, op8_token_counts, op9_html_extraction, op10_secret_scan, op11_filter_audit)
 QUERIES = {f.__name__: f for f in _ALL}
-ORACLES = {"op1_mixing": OP1, "op2_minhash": OP2, "op6_embedding_dedup": OP6, "op7_quality": OP7}
+ORACLES = {"op1_mixing": OP1, "op2_minhash": OP2, "op6_embedding_dedup": OP6, "op7_quality": OP7, "op11_filter_audit": OP11}

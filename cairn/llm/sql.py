@@ -42,6 +42,31 @@ SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, m.m AS component_id, v.vec
 FROM v LEFT JOIN c ON c.x = v.vec_id LEFT JOIN m ON m.x = v.vec_id
 """
 
+OP11 = r"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+s AS (SELECT t, min(doc_id) AS least FROM d GROUP BY 1),
+f AS (SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+  (CASE WHEN len(w) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * (length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 2 * length(t) THEN 4 ELSE 0 END)
+  + (CASE WHEN length(translate(t, '#$%&*|', '')) < length(t) THEN 8 ELSE 0 END) + (CASE WHEN d.doc_id > least THEN 16 ELSE 0 END) AS mask
+  FROM d JOIN s USING (t) LEFT JOIN l USING (doc_id)),
+m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY 1, 2),
+i AS (SELECT unnest(range(5)) AS i),
+p AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, e.i AS e FROM i a, i b, i c, i d, i e
+  WHERE (1 << a.i) + (1 << b.i) + (1 << c.i) + (1 << d.i) + (1 << e.i) = 31 AND a.i <> b.i AND a.i <> c.i AND a.i <> d.i AND a.i <> e.i
+  AND b.i <> c.i AND b.i <> d.i AND b.i <> e.i AND c.i <> d.i AND c.i <> e.i AND d.i <> e.i),
+o AS (SELECT substr('ABCDE', a::INT + 1, 1) || substr('ABCDE', b::INT + 1, 1) || substr('ABCDE', c::INT + 1, 1) || substr('ABCDE', d::INT + 1, 1) || substr('ABCDE', e::INT + 1, 1) AS filter_order, [a, b, c, d, e] AS fs FROM p),
+t AS (SELECT filter_order, k AS step, (1 << fs[k])::INT AS bit, CASE WHEN k > 1 THEN list_sum(list_transform(fs[1:k - 1], lambda x: 1 << x))::INT ELSE 0 END AS before
+  FROM (SELECT filter_order, fs, unnest(range(1, 6))::INT AS k FROM o)),
+r AS (SELECT part, filter_order, step, bit,
+  coalesce(sum(n) FILTER ((mask & (before | bit)) = 0), 0)::BIGINT AS kept, coalesce(sum(n) FILTER ((mask & before) = 0 AND (mask & bit) <> 0), 0)::BIGINT AS removed,
+  coalesce(sum(n) FILTER ((mask & before) <> 0 AND (mask & bit) <> 0), 0)::BIGINT AS redundant, coalesce(sum(n) FILTER (mask = bit), 0)::BIGINT AS unique_fails,
+  coalesce(sum(good) FILTER ((mask & before) = 0 AND (mask & bit) <> 0), 0)::BIGINT AS good_lost, coalesce(sum(toxic) FILTER ((mask & before) = 0 AND (mask & bit) <> 0), 0)::BIGINT AS toxic_lost
+  FROM m, t GROUP BY 1, 2, 3, 4)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley FROM r
+"""
+
 
 def _kneser_ney() -> str:
     """The definition, order by order: counts, discounts, context masses, and each probe n-gram's interpolated probability."""
