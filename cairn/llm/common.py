@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import atexit
 import shutil
+import sys
 import tempfile
+import types
 import uuid
 
 import numpy as np
@@ -138,6 +140,14 @@ def bound_batches(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
 
 
+def kept(key, make):
+    """What make() gives for the key, once in the life of a Python worker (functions sent to it are new for each task)."""
+    held = sys.modules.setdefault("_cairn_kept", types.ModuleType("_cairn_kept")).__dict__.setdefault("held", {})
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

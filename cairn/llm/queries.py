@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import audit, common, decontam, hyperplanes, minhash, mixing, pages, quality, secrets, sharding, tokens, toxicity
+from cairn.llm import audit, common, decontam, hyperplanes, minhash, mixing, packing, pages, quality, secrets, sharding, tokens, toxicity
 from cairn.llm.sql import OP1, OP2, OP6, OP7, OP11
 
-SHARDS, TOKEN_LIMIT = 16, 512
+SHARDS, TOKEN_LIMIT, SEQUENCE = 16, 512, 2048
 
 
 def op1_mixing(spark, sf_dir):
@@ -62,6 +62,14 @@ def op11_filter_audit(spark, sf_dir):
     return audit.audit(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
-_ALL = (op1_mixing, op2_minhash, op3_toxicity, op4_sharding, op5_decontamination, op6_embedding_dedup, op7_quality, op8_token_counts, op9_html_extraction, op10_secret_scan, op11_filter_audit)
+def op12_best_fit_packing(spark, sf_dir, path: str | None = None, most: int = SEQUENCE):
+    if path is None:
+        import public_tokenizers
+
+        path = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack(common.table(spark, sf_dir, "documents"), path, most).drop("ids")
+
+
+_ALL = (op1_mixing, op2_minhash, op3_toxicity, op4_sharding, op5_decontamination, op6_embedding_dedup, op7_quality, op8_token_counts, op9_html_extraction, op10_secret_scan, op11_filter_audit, op12_best_fit_packing)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op1_mixing": OP1, "op2_minhash": OP2, "op6_embedding_dedup": OP6, "op7_quality": OP7, "op11_filter_audit": OP11}
