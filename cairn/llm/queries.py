@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cairn.llm import audit, common, decontam, hyperplanes, minhash, mixing, packing, pages, quality, secrets, sharding, tokens, toxicity
+from cairn.llm import alignment, audit, common, decontam, hyperplanes, minhash, mixing, packing, pages, quality, secrets, sharding, tokens, toxicity
 from cairn.llm.sql import OP1, OP2, OP6, OP7, OP11
 
 SHARDS, TOKEN_LIMIT, SEQUENCE = 16, 512, 2048
@@ -70,6 +70,14 @@ def op12_best_fit_packing(spark, sf_dir, path: str | None = None, most: int = SE
     return packing.pack(common.table(spark, sf_dir, "documents"), path, most).drop("ids")
 
 
-_ALL = (op1_mixing, op2_minhash, op3_toxicity, op4_sharding, op5_decontamination, op6_embedding_dedup, op7_quality, op8_token_counts, op9_html_extraction, op10_secret_scan, op11_filter_audit, op12_best_fit_packing)
+def op13_tokenizer_alignment(spark, sf_dir, a_path: str | None = None, b_path: str | None = None):
+    if a_path is None or b_path is None:
+        import public_tokenizers
+
+        a_path, b_path = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
+    return alignment.align(common.table(spark, sf_dir, "documents"), a_path, b_path).drop("groups")
+
+
+_ALL = (op1_mixing, op2_minhash, op3_toxicity, op4_sharding, op5_decontamination, op6_embedding_dedup, op7_quality, op8_token_counts, op9_html_extraction, op10_secret_scan, op11_filter_audit, op12_best_fit_packing, op13_tokenizer_alignment)
 QUERIES = {f.__name__: f for f in _ALL}
 ORACLES = {"op1_mixing": OP1, "op2_minhash": OP2, "op6_embedding_dedup": OP6, "op7_quality": OP7, "op11_filter_audit": OP11}
