@@ -33,47 +33,44 @@ def prose_eligible(view: Column, wanted: str) -> Column:
     return F.lit(True) if wanted == "all" else view == wanted
 
 
-#: Headings that put what is below them in a view.
-HEADING_SCOPES = (
-    ("discussion", r"(?i)\b(?:scenario|alternatives?|discussion|hypothes[ei]s|assumptions?)\b"),
-    ("reports", r"(?i)\b(?:examples?|samples?|transcript|conversation|dialogue)\b"),
-    ("planning", r"(?i)\b(?:plans?|proposals?|intentions?)\b"),
-    ("questions", r"(?i)\bquestions?\b"),
-)
-
-
-def scoped_lines(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """(key, line, view): each line of a page, its own view or else that of the nearest heading above it.
+def discourse(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, line, status, view, reason, frame, source_hash) of each line that says something, by functions.discourse.scopes().
 
-    A heading's scope ends at the next heading of its level or a higher one; one page at a time,
-    in Arrow batches. Blank lines and headings themselves have no row.
+    A header between --- lines is skipped. ``frame`` has the lines whose words decide the view,
+    none for a factual one; where they are too many the status is unresolved. Null texts have no
+    rows. Pages are read whole, one after another, in Arrow batches of bounded size; no page
+    meets another, so nothing is shuffled.
     """
     kind = pages.schema[key].dataType.simpleString()
 
     def run(batches):
-        import pandas as pd
-        import regex
-
-        families = [(v, regex.compile(p)) for v, p in FAMILIES]
-        scopes = [(v, regex.compile(p)) for v, p in (*FAMILIES[:3], *HEADING_SCOPES)]
-        heading = regex.compile(r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*$")
-        for b in batches:
-            out = []
-            for k, t in zip(b[key], b[text], strict=True):
-                stack: list[tuple[int, str]] = []
-                for i, s in enumerate((t or "").split("\n"), 1):
-                    if m := heading.match(s):
-                        level = len(m[1])
-                        while stack and stack[-1][0] >= level:
-                            stack.pop()
-                        own = next((v for v, p in scopes if p.search(m[2])), "")
-                        stack.append((level, own or (stack[-1][1] if stack else "")))
-                    elif s.strip():
-                        view = next((v for v, p in families if p.search(s)), "")
-                        out.append((k, i, view or (stack[-1][1] if stack and stack[-1][1] else "factual")))
-            yield pd.DataFrame(out, columns=[key, "line", "view"])
-
-    return pages.select(key, text).mapInPandas(run, f"{key} {kind}, line int, view string")
+        import hashlib
+
+        import pyarrow as pa
+
+        from cairn.functions.discourse import scopes
+        from cairn.functions.markdown import front_matter
+
+        names = [key, "line", "status", "view", "reason", "frame", "source_hash"]
+        types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+        for batch in batches:
+            for at, page in enumerate(batch.column(1)):
+                if (body := page.as_py()) is None:
+                    continue
+                rows = scopes(body, front_matter(body)[1])
+                sha = hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()
+                columns = [*map(list, zip(*rows, strict=True))] if rows else [[]] * 5
+                own = batch.column(0).take(pa.array([at] * len(rows), pa.int64()))
+                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip([*columns, [sha] * len(rows)], types, strict=True))], names)
+
+    return pages.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, line int, status string, view string, reason string, frame array<int>, source_hash string")
+
+
+def answers(status: Column, view: Column, wanted: str) -> Column:
+    """Whether a line of discourse() answers a view: what is qualified and factual any, what is qualified its own, and all takes everything."""
+    if wanted == "all":
+        return F.lit(True)
+    return (status == "qualified") & view.isin("factual", wanted)
 
 
 #: Lines that a card leaves out: headings and comments, and embeds that stand alone.

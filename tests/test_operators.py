@@ -322,12 +322,12 @@ def test_index_again_equals_rebuild(spark, tmp_path):
 
 
 def test_scopes_orders_and_automatic_recall(spark):
-    from cairn.operators.prose import scoped_lines
+    from cairn.operators.prose import discourse
     from cairn.plans.schedule import schedule
 
-    text = "Plain.\n# Plans\nBuy milk\n## Open questions\nWhen\n# Notes\nMaybe so\nDone"
-    got = {r["line"]: r["view"] for r in scoped_lines(spark.createDataFrame([(1, text), (2, None)], "id int, text string"), "id").collect()}
-    assert got == {1: "factual", 3: "planning", 5: "questions", 7: "discussion", 8: "factual"}
+    text = "Plain.\n# Plans\nBuy milk\n## Open questions\nWhen\n# Notes\nMaybe so\n\nDone"
+    got = {r["line"]: r["view"] for r in discourse(spark.createDataFrame([(1, text), (2, None)], "id int, text string"), "id").filter("reason <> 'heading'").collect()}
+    assert got == {1: "factual", 3: "planning", 5: "questions", 7: "discussion", 9: "factual"}
     assert schedule("abcd", {"a": "c", "c": "d"}) == ["b", "d", "c", "a"]
     with pytest.raises(ValueError, match="circle"):
         schedule("ab", {"a": "b", "b": "a"})
