@@ -61,3 +61,67 @@ def adopt(documents: DataFrame, pages: DataFrame, slug: str = "slug") -> DataFra
     """New pages for documents that no page owns: (slug, document), unless the slug is taken, and one document to a slug."""
     free = documents.filter("page_id IS NULL").join(pages.select(slug), slug, "left_anti")
     return free.groupBy(slug).agg(F.min("document").alias("document"))
+
+
+def _per_page(pages: DataFrame, more: DataFrame, key: str, text: str, run, out: str) -> DataFrame:
+    """mapInArrow(run) of (key, text, rows): each page with the rows of ``more`` that are for it, by ``nth``; pages without are left out."""
+    rows = more.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("nth", *(c for c in more.columns if c not in (key, "nth"))))).alias("_rows"))
+    return rows.join(pages.select(F.col(key), F.col(text).alias("_text")), key, "left").select(key, "_text", "_rows").mapInArrow(run, out)
+
+
+def edit(pages: DataFrame, edits: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(key, text, first_line, refused) of pages with edits (key, nth, mode, a, b), applied in the order of nth.
+
+    Modes: patch (a: a unified diff), append (a below the section b, or at the end), swap (the
+    one place that reads a becomes b), content (a is the whole body). The header of a page is
+    never touched. If one edit of a page is refused, none of its edits is made: ``refused`` then
+    says which and why, and first_line is null, as where nothing changed. A page that is not
+    there refuses all edits. The edits of one page meet in one row.
+    """
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        from cairn.functions.edits import edited, first_change
+
+        for batch in batches:
+            texts, first, refused = [], [], []
+            for before, rows in zip(batch.column("_text").to_pylist(), batch.column("_rows").to_pylist(), strict=True):
+                now, why = before, None if before is not None else "no such page"
+                for r in rows if why is None else ():
+                    now, why = edited(now, r["mode"], r["a"], r["b"])
+                    if why:
+                        why = f"{r['nth']}: {why}"
+                        break
+                texts.append(before if why else now)
+                first.append(None if why else first_change(before, now))
+                refused.append(why)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(first, pa.int32()), pa.array(refused, pa.string())], [key, "text", "first_line", "refused"])
+
+    return _per_page(pages, edits, key, text, run, f"`{key}` {kind}, text string, first_line int, refused string")
+
+
+def add_events(pages: DataFrame, events: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
+    """(key, text, lines) of ledgers with events (key, nth, date, summary, slug) added in the order of nth, by functions.ledger.inserted().
+
+    ``lines`` has (nth, line) of each event, added or already there. A ledger that does not
+    exist is made. All ledgers are merged in one job, each once; doing it again changes nothing.
+    """
+    kind = pages.schema[key].dataType.simpleString()
+
+    def run(batches):
+        import pyarrow as pa
+
+        from cairn.functions.ledger import inserted
+
+        for batch in batches:
+            texts, lines = [], []
+            for before, rows in zip(batch.column("_text").to_pylist(), batch.column("_rows").to_pylist(), strict=True):
+                after, at = inserted(before, [(r["date"], r["summary"] or "", r["slug"]) for r in rows])
+                texts.append(after)
+                lines.append([{"nth": r["nth"], "line": n} for r, n in zip(rows, at, strict=True)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lines, pa.list_(pa.struct([("nth", pa.int64()), ("line", pa.int32())])))], [key, "text", "lines"])
+
+    rows = events.select(key, F.col("nth").cast("long").alias("nth"), F.col("date").cast("string").alias("date"), "summary", "slug")
+    return _per_page(pages, rows, key, text, run, f"`{key}` {kind}, text string, lines array<struct<nth: bigint, line: int>>")
