@@ -44,8 +44,9 @@ def backlinks(links: DataFrame, to: str, origin: str) -> DataFrame:
 
 
 def contained_names(subjects: DataFrame, key: str, subject: str, names: DataFrame) -> DataFrame:
-    """(key, entity): subjects that hold one name only, whole words. Joined on the name's first word, never all against all."""
-    words = subjects.select(key, subject, F.explode(F.array_distinct(F.split(subject, " "))).alias("_w"))
-    held = words.join(names.withColumn("_w", F.split_part("name", F.lit(" "), F.lit(1))), "_w")
-    inside = held.filter(F.concat(F.lit(" "), subject, F.lit(" ")).contains(F.concat(F.lit(" "), "name", F.lit(" "))))
-    return inside.groupBy(key).agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
+    """(key, entity): subjects that hold one of the names (entity, name) only, in whole words, by an automaton of the names."""
+    from cairn.operators.names import mentions
+
+    known = names.select(F.col("name").alias("normalized"), "name").distinct()
+    held = mentions(subjects, key, subject, known, every=True, least=1).select(key, "name").distinct().join(names, "name")
+    return held.groupBy(key).agg(F.min("entity").alias("entity"), F.count(F.lit(1)).alias("_n")).filter("_n = 1").drop("_n")
