@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +12,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cairn.llm.common import bound_batches, kept, save
+from cairn.llm.common import bound_batches, kept, parts, save
 from cairn.llm.tokens import SPACE, _byte_symbols
 
 #: Bytes of text in a block; every block asks once for each of its different segments.
 BLOCK_BYTES = 8 << 20
 #: Requests that are answered at once; segments encoded at once; segments of documents whose pairs are counted at once.
-ANSWERED, ENCODED, COUNTED = 1 << 18, 1 << 14, 1 << 19
+ANSWERED, ENCODED, COUNTED = 1 << 17, 1 << 14, 1 << 19
+#: The most shards of segments, and alignments that a task remembers of one; past that many it forgets them and goes on.
+MOST_SHARDS, REMEMBERED = 1024, 1 << 20
 #: Characters before which texts may be split, where the vocabularies allow it.
 STARTS = " \n\t"
 #: What sentencepiece writes for a space.
@@ -138,16 +141,34 @@ def _packed(batch: pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unpacked(body: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(body.as_buffer()).read_all()
+def _unpacked(body: bytes) -> pa.Table:
+    return pa.ipc.open_stream(body).read_all()
 
 
 def _lists(values: np.ndarray, sizes) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)), pa.array(values))
 
 
-def _packer(paths, limit: int):
-    """Blocks of documents: each different segment with its code in the block, and then the block itself, texts as codes."""
+def _press(arrays: list[np.ndarray], text: bytes = b"") -> bytes:
+    """Unsigned 32-bit numbers, byte by byte so that high ones go together, and a text, compressed."""
+    import zstandard
+
+    planes = [np.ascontiguousarray(np.asarray(a).astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
+    return zstandard.ZstdCompressor(level=3).compress(b"".join(planes) + text)
+
+
+def _released(body: bytes, sizes: list[int]) -> tuple[list[np.ndarray], bytes]:
+    import zstandard
+
+    raw, at, out = zstandard.ZstdDecompressor().decompress(body), 0, []
+    for n in sizes:
+        out.append(np.ascontiguousarray(np.frombuffer(raw, np.uint8, 4 * n, at).reshape(4, n).T).view("<u4").ravel())
+        at += 4 * n
+    return out, raw[at:]
+
+
+def _packer(paths, limit: int, shards: int):
+    """Blocks of documents: the different segments of each, by shard with their codes in the block, and the block itself, texts as codes."""
 
     def run(batches):
         from pyspark import TaskContext
@@ -156,13 +177,21 @@ def _packer(paths, limit: int):
         number, codes, ids, texts, size = TaskContext.get().partitionId() << 33, Codes(), [], [], 0
 
         def flush():
-            segments = list(codes)
-            for at in range(0, len(segments), ANSWERED):
-                part = pa.array(segments[at : at + ANSWERED])
-                n = len(part)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, number)), pa.array(np.arange(at, at + n, dtype=np.int32)), part, pa.nulls(n, pa.binary())], ["block", "code", "seg", "body"])
-            own = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(np.concatenate([np.zeros(0, np.int32), *texts]), [len(t) for t in texts])], ["doc_id", "codes"])
-            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int32()), pa.nulls(1, pa.string()), pa.array([_packed(own)])], ["block", "code", "seg", "body"])
+            segments = pa.array(list(codes), pa.string())
+            shard = np.fromiter((zlib.crc32(s.encode()) % shards for s in codes), np.int64, len(codes))
+            order = pc.sort_indices(segments).to_numpy()
+            order = order[np.argsort(shard[order], kind="stable")]
+            edges = np.searchsorted(shard[order], np.arange(shards + 1))
+            for k in np.flatnonzero(np.diff(edges)).tolist():
+                own = order[edges[k] : edges[k + 1]]
+                part = segments.take(pa.array(own))
+                offsets = np.frombuffer(part.buffers()[1], np.int32, len(own) + 1)
+                body = _press([np.diff(offsets), own], part.buffers()[2].to_pybytes()[: offsets[-1]])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([k], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([body]), pa.nulls(1, pa.binary())], ["block", "shard", "n", "body", "docs"])
+            sizes = np.array([len(t) for t in texts], np.int32)
+            docs = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes)], ["doc_id", "size"])
+            body = _press([np.concatenate([np.zeros(0, np.int32), *texts])])
+            yield pa.RecordBatch.from_arrays([pa.array([number]), pa.nulls(1, pa.int32()), pa.array([int(sizes.sum())], pa.int32()), pa.array([body]), pa.array([_packed(docs)])], ["block", "shard", "n", "body", "docs"])
 
         for batch in batches:
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("_text"), strict=True):
@@ -180,43 +209,62 @@ def _packer(paths, limit: int):
     return run
 
 
+class _Known:
+    """Alignments of the segments of a shard."""
+
+    def __init__(self):
+        self.at = Codes()
+        self.counts, self.links, self.groups = [np.zeros((0, 4), np.int32)], [np.zeros(0, np.int64)], []
+
+    def add(self, segments: list[str], made: Aligner):
+        """Place of each segment; new ones are tokenised and aligned."""
+        n = len(self.groups)
+        place = np.fromiter(map(self.at.__getitem__, segments), np.int64, len(segments))
+        fresh = [segments[i] for i in np.flatnonzero(place >= n)]
+        for i in range(0, len(fresh), ENCODED):
+            counts, links, groups = made.align(fresh[i : i + ENCODED])
+            self.counts.append(counts)
+            self.links.append(links)
+            self.groups += groups
+        return place
+
+    def tables(self):
+        if len(self.counts) > 64:
+            self.counts, self.links = [np.concatenate(self.counts)], [np.concatenate(self.links)]
+        return np.concatenate(self.counts), np.concatenate(self.links)
+
+
 def _answerer(paths):
-    """Requests (seg, block, code), in the order of segments: each different segment is tokenised and aligned once, and each block told."""
-
-    def told(rows: pa.Table):
-        made = _made(paths)
-        runs = pc.run_end_encode(rows.column("seg").combine_chunks())
-        ends = runs.run_ends.to_numpy()
-        which = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
-        segments = runs.values.to_pylist()
-        parts = [made.align(segments[i : i + ENCODED]) for i in range(0, len(segments), ENCODED)]
-        counts, links = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-        groups = [g for p in parts for g in p[2]]
-        after = np.cumsum(counts[:, 3])
-        block, code = rows.column("block").to_numpy(), rows.column("code").to_numpy()
-        order = np.argsort(block, kind="stable")
-        block, code, which = block[order], code[order], which[order]
-        first = np.flatnonzero(np.diff(block, prepend=-1))
-        sizes = np.diff([*first, len(block)])
-        n_links = counts[which, 3]
-        at = np.repeat(after[which] - n_links - (np.cumsum(n_links) - n_links), n_links) + np.arange(n_links.sum())
-        texts = [groups[i] for i in which.tolist()]
-        joined = ["\n".join(texts[i : i + n]) for i, n in zip(first.tolist(), sizes.tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(block[first]), _lists(code, sizes), _lists(counts[which].ravel(), 4 * sizes), _lists(links[at], np.add.reduceat(n_links, first)), pa.array(joined)],
-            ["block", "codes", "counts", "links", "groups"],
-        )
+    """Requests (block, shard, n, body), shard after shard: each different segment is tokenised and aligned once, and each block told."""
 
     def run(batches):
-        held, n = [], 0
+        made, shard, known, waiting = _made(paths), None, _Known(), []
+
+        def told():
+            counts, links = known.tables()
+            after = np.cumsum(counts[:, 3])
+            for block, codes, place in waiting:
+                n = counts[place, 3]
+                own = links[_spread(after[place] - n, n)]
+                text = "\n".join([known.groups[i] for i in place.tolist()]).encode()
+                body = _press([codes, *(counts[place] + 1).T, own >> 32, own & 0xFFFFFFFF], text)
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([len(codes)], pa.int32()), pa.array([len(own)], pa.int32()), pa.array([body])], ["block", "n", "links", "body"])
+            waiting.clear()
+
+        held = 0
         for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= ANSWERED:
-                yield from told(pa.Table.from_batches(held))
-                held, n = [], 0
-        if n:
-            yield from told(pa.Table.from_batches(held))
+            for block, own, n, body in zip(*(batch.column(c).to_pylist() for c in ("block", "shard", "n", "body")), strict=True):
+                if own != shard or held >= ANSWERED:
+                    yield from told()
+                    held = 0
+                if own != shard or len(known.groups) > REMEMBERED:
+                    shard, known = own, _Known()
+                (sizes, codes), text = _released(body, [n, n])
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                segments = pa.StringArray.from_buffers(n, pa.py_buffer(offsets), pa.py_buffer(text)).to_pylist()
+                waiting.append((block, codes, known.add(segments, made)))
+                held += n
+        yield from told()
 
     return run
 
@@ -235,15 +283,15 @@ def _spread(starts_: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def _composer(keep: bool):
     """A block's answers and the block: its documents but for what needs the counts of pairs, and in how many of them each pair is."""
 
-    def composed(block: int, rows: list, body: pa.Scalar):
-        docs = _unpacked(body)
-        codes, sizes = docs.column("codes").combine_chunks().flatten().to_numpy(), pc.list_value_length(docs.column("codes")).to_numpy()
-        code = np.concatenate([np.zeros(0, np.int32), *(r[0] for r in rows)])
-        counts = np.concatenate([np.zeros((0, 4), np.int32), *(r[1].reshape(-1, 4) for r in rows)])
-        links, texts = np.concatenate([np.zeros(0, np.int64), *(r[2] for r in rows)]), [t for r in rows for t in r[3].split("\n")]
+    def composed(block: int, rows: list, docs: pa.Table, codes: np.ndarray):
+        sizes = docs.column("size").to_numpy().astype(np.int64)
+        code = np.concatenate([np.zeros(0, np.int64), *(r[0][0] for r in rows)])
+        counts = np.concatenate([np.zeros((0, 4), np.int64), *(np.array(r[0][1:5]).T.astype(np.int64) - 1 for r in rows)])
+        links = np.concatenate([np.zeros(0, np.int64), *(r[0][5].astype(np.int64) << 32 | r[0][6] for r in rows)])
+        texts = [t for r in rows for t in r[1].decode().split("\n")]
         back = np.argsort(code)  # every code has one answer
         from_ = (np.cumsum(counts[:, 3]) - counts[:, 3])[back]
-        counts, texts = counts[back].astype(np.int64), np.array(texts, object)[back] if len(back) else np.zeros(0, object)
+        counts, texts = counts[back], np.array(texts, object)[back] if len(back) else np.zeros(0, object)
         pairs, pair = np.unique(links, return_inverse=True)
         of_code = pair[_spread(from_, counts[:, 3])].astype(np.int32)
         first = np.cumsum(counts[:, 3]) - counts[:, 3]
@@ -270,14 +318,15 @@ def _composer(keep: bool):
     def run(batches):
         at, rows = None, []
         for batch in batches:
-            for i, block in enumerate(batch.column("block").to_pylist()):
+            columns = (batch.column(c).to_pylist() for c in ("block", "n", "links", "body", "docs"))
+            for block, n, links, body, docs in zip(*columns, strict=True):
                 if at != block:
                     at, rows = block, []
-                if (body := batch.column("body")[i]).is_valid:
-                    yield from composed(block, rows, body)
-                    rows = []
+                if docs is None:
+                    rows.append(_released(body, [n] * 5 + [links] * 2))
                 else:
-                    rows.append((*(batch.column(c)[i].values.to_numpy() for c in ("codes", "counts", "links")), batch.column("groups")[i].as_py()))
+                    yield from composed(block, rows, _unpacked(docs), _released(body, [n])[0][0].astype(np.int64))
+                    rows = []
 
     return run
 
@@ -299,15 +348,15 @@ def _finisher(batches):
             if kinds[start] == 0:
                 told.append(tuple(batch.column(c).slice(start, stop - start).to_numpy(zero_copy_only=False) for c in ("pair", "count", "best")))
             elif kinds[start] == 1:
-                body = tuple(batch.column(c)[start] for c in ("docs", "segments", "pairs"))
+                body = tuple(batch.column(c)[start].as_py() for c in ("docs", "segments", "pairs"))
             else:
-                yield _finished(told, body, batch.column("docs")[start])
+                yield _finished(told, body, *(batch.column(c)[start].as_py() for c in ("docs", "segments", "n")))
 
 
-def _finished(told: list, body: tuple, block: pa.Scalar) -> pa.RecordBatch:
+def _finished(told: list, body: tuple, own: bytes, codes: bytes, n: int) -> pa.RecordBatch:
     docs, per, pairs = map(_unpacked, body)
-    pairs, own = pairs.column("pair").to_numpy(), _unpacked(block)
-    codes, sizes = own.column("codes").combine_chunks().flatten().to_numpy(), pc.list_value_length(own.column("codes")).to_numpy()
+    pairs, sizes = pairs.column("pair").to_numpy(), _unpacked(own).column("size").to_numpy().astype(np.int64)
+    codes = _released(codes, [n])[0][0].astype(np.int64)
     of_code, n = per.column("pairs").combine_chunks().flatten().to_numpy(), pc.list_value_length(per.column("pairs")).to_numpy()
     count, best = np.zeros(len(pairs), np.int64), np.zeros(len(pairs), np.int64)
     for pair, c, b in told:
@@ -331,9 +380,9 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False,
     Texts split before runs of white space where no token of either vocabulary crosses
     (starts()), so segments are encoded as in their text, and no group crosses them. Texts are
     packed into blocks as codes of segments. A block asks for each different segment once; the
-    requests of all blocks meet by segment, so each different one is tokenised and aligned once
-    (or once more where a run of requests is cut), and its alignment goes back to every block
-    that asked. Blocks then compose their documents and ask for the counts of their pairs of ids
+    requests of all blocks meet by shard of segments, so each different one is tokenised and
+    aligned once (or again after REMEMBERED others of its shard), and its alignment goes back to
+    every block that asked. Blocks then compose their documents and ask for the counts of their pairs of ids
     in the same way. No segment and no pair is asked for twice by a block, so none is a hot key.
 
     Null and empty texts, and those whose bytes one of the vocabularies changes, have no tokens:
@@ -343,17 +392,19 @@ def align(docs: DataFrame, a_path: str, b_path: str, keep_groups: bool = False,
     bound_batches(docs.sparkSession)
     paths = (a_path, b_path)
     slim = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("_text"))
-    blocks = save(slim.mapInArrow(_packer(paths, BLOCK_BYTES), "block long, code int, seg string, body binary"))
-    asked = blocks.filter("body IS NULL").select("seg", "block", "code").repartition("seg").sortWithinPartitions("seg")
-    answers = asked.mapInArrow(_answerer(paths), "block long, codes array<int>, counts array<int>, links array<long>, groups string")
-    bodies = blocks.filter("body IS NOT NULL").select("block", "body")
-    parts = answers.withColumns({"body": F.lit(None).cast("binary"), "_last": F.lit(False)}).unionByName(bodies.withColumn("_last", F.lit(True)), allowMissingColumns=True)
-    composed = save(parts.repartition("block").sortWithinPartitions("block", "_last").mapInArrow(_composer(keep_groups), "block long, pair long, n long, docs binary, segments binary, pairs binary"))
+    # a shard of a block has some hundred segments or more, whatever the size of the corpus
+    shards = min(MOST_SHARDS, 4 * parts(docs.sparkSession))
+    blocks = save(slim.mapInArrow(_packer(paths, BLOCK_BYTES, shards), "block long, shard int, n int, body binary, docs binary"))
+    asked = blocks.filter("docs IS NULL").select("shard", "block", "n", "body").repartition("shard").sortWithinPartitions("shard")
+    answers = asked.mapInArrow(_answerer(paths), "block long, n int, links int, body binary")
+    bodies = blocks.filter("docs IS NOT NULL").select("block", "n", "body", "docs")
+    parted = answers.withColumns({"docs": F.lit(None).cast("binary"), "_last": F.lit(False)}).unionByName(bodies.withColumn("_last", F.lit(True)), allowMissingColumns=True)
+    composed = save(parted.repartition("block").sortWithinPartitions("block", "_last").mapInArrow(_composer(keep_groups), "block long, pair long, n long, docs binary, segments binary, pairs binary"))
     pairs = composed.filter("docs IS NULL").select("block", "pair", "n")
     counts = pairs.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("_a", F.shiftright("pair", 32))
     most = counts.groupBy("_a").agg(F.max("count").alias("_most"))  # a row for each id of A at most
     stats = counts.join(F.broadcast(most), "_a").select("pair", "count", (F.col("count") == F.col("_most")).cast("int").alias("best"))
     told = pairs.drop("n").join(stats, "pair").withColumn("kind", F.lit(0))
     told = told.unionByName(composed.filter("docs IS NOT NULL").select("block", "docs", "segments", "pairs", F.lit(1).alias("kind")), allowMissingColumns=True)
-    told = told.unionByName(bodies.select("block", F.col("body").alias("docs"), F.lit(2).alias("kind")), allowMissingColumns=True)
+    told = told.unionByName(bodies.select("block", "n", "docs", F.col("body").alias("segments"), F.lit(2).alias("kind")), allowMissingColumns=True)
     return told.repartition("block").sortWithinPartitions("block", "kind", "pair").mapInArrow(_finisher, _OUT)
