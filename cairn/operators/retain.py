@@ -57,7 +57,7 @@ def retained_closure(rows: DataFrame, save, chain: int = CHAIN) -> DataFrame:
     return out.distinct()
 
 
-def plan(state: Mapping[str, DataFrame], sources: DataFrame, candidates: DataFrame, save=lambda df: df) -> dict[str, DataFrame]:
+def plan(state: Mapping[str, DataFrame], sources: DataFrame, candidates: DataFrame, save) -> dict[str, DataFrame]:
     """What retaining sources and their candidates does to a state: rows to append, supports retracted, and results.
 
     sources: source_id, revision, request (digest of the request), source_group, retracts (an

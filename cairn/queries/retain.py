@@ -7,6 +7,7 @@ from pyspark.sql import Window
 
 from cairn.operators import retain as RT
 from cairn.registry import query
+from cairn.scratch import keep
 from cairn.sources.tables import read
 
 
@@ -36,10 +37,10 @@ def inputs(spark, sf_dir):
 
 def planned(spark, sf_dir):
     state, sources, candidates = inputs(spark, sf_dir)
-    return state, RT.plan(state, sources, candidates, save=lambda df: df.persist())
+    return state, RT.plan(state, sources, candidates, keep)
 
 
-_PLAN = """s AS (SELECT c_custkey AS k, 'c' || c_custkey AS source_id, CASE c_custkey % 5 WHEN 0 THEN 'replay' WHEN 1 THEN 'conflict' ELSE 'accepted' END AS asked, c_custkey % 11 = 0 AS fixes, c_custkey % 22 = 0 AS found FROM customer),
+_PLAN = """s AS (SELECT c_custkey AS k, 'c' || c_custkey AS source_id, CASE c_custkey % 5 WHEN 0 THEN 'replay' WHEN 1 THEN 'conflict' ELSE 'accepted' END AS asked, c_custkey % 11 = 0 AS fixes, (c_custkey % 22 = 0 OR c_custkey % 143 = 0) AS found FROM customer),
 c AS (SELECT s.*, o_orderkey AS n, 'p/' || (o_custkey % 50) AS slug, CASE WHEN o_orderkey % 9 = 0 THEN '' WHEN o_orderkey % 10 = 3 THEN 'Level: ' || (o_orderkey % 3) ELSE 'note ' || (o_orderkey % 4) || ' state ' || o_orderstatus END AS payload,
   o_orderkey % 7 = 0 AND lag(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) IS NOT NULL AS tied FROM orders JOIN s ON k = o_custkey WHERE asked = 'accepted'),
 g AS (SELECT *, sum(CASE WHEN tied THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY n) AS chain FROM c),
@@ -61,24 +62,19 @@ def retain_results(spark, sf_dir):
     return planned(spark, sf_dir)[1]["results"].select("source_id", "candidate", "outcome", "reason")
 
 
-@query("retain_supports", f"""WITH {_PLAN}, m AS (SELECT slug, payload, count(*) AS n FROM j WHERE outcome <> 'held' GROUP BY 1, 2),
-o AS (SELECT 'old/' || s.k AS slug, 'Level: 9' AS payload, CASE WHEN fixes AND NOT failed THEN 0 ELSE 1 END AS n FROM s LEFT JOIN z USING (k) WHERE s.k % 22 = 0 OR s.k % 13 = 0) SELECT slug, payload, n::BIGINT AS active FROM m UNION ALL SELECT slug, payload, n::BIGINT FROM o""")
-def retain_supports(spark, sf_dir):
-    """Each memory with the number of its active supports, after retractions."""
+@query("retain_state", f"""WITH {_PLAN}, m AS (SELECT slug, payload, count(*) AS n FROM j WHERE outcome <> 'held' GROUP BY 1, 2),
+o AS (SELECT 'old/' || s.k AS slug, 'Level: 9' AS payload, CASE WHEN fixes AND NOT failed THEN 0 ELSE 1 END AS n FROM s LEFT JOIN z USING (k) WHERE s.k % 22 = 0 OR s.k % 13 = 0),
+q AS (SELECT k, count(*) FILTER (outcome <> 'held') AS done, count(*) AS n FROM j GROUP BY 1)
+SELECT 'supports' AS kind, slug AS a, payload AS b, n::BIGINT AS n FROM m UNION ALL SELECT 'supports', slug, payload, n::BIGINT FROM o
+UNION ALL SELECT 'pending_correction', s.source_id, 'old' || k, 1 FROM s JOIN z USING (k) WHERE failed AND found
+UNION ALL SELECT DISTINCT 'deciding', s.source_id, 'old' || s.k, 1 FROM s JOIN j ON s.k = j.k JOIN z ON z.k = s.k WHERE (s.k % 13 = 0 OR s.k % 22 = 0) AND j.outcome <> 'held' AND j.lev AND NOT (s.fixes AND NOT z.failed)
+UNION ALL SELECT 'sources', source_id, CASE WHEN asked <> 'accepted' THEN asked WHEN failed THEN 'held' WHEN done > 0 THEN 'ok' WHEN n > 0 THEN 'held' ELSE 'noop' END, CASE WHEN asked = 'accepted' AND NOT coalesce(failed, false) AND (coalesce(done, 0) > 0 OR n IS NULL) THEN 1 ELSE 0 END FROM s LEFT JOIN z USING (k) LEFT JOIN q USING (k)""")
+def retain_state(spark, sf_dir):
+    """Memories with their active supports after retractions, holds, and sources with their outcome and whether they have a receipt."""
     state, new = planned(spark, sf_dir)
     memories = state["memories"].unionByName(new["memories"])
-    return new["supports"].groupBy("memory_id").agg(F.count_if(F.col("retracted_by").isNull()).alias("active")).join(memories, "memory_id").select("slug", "payload", "active")
-
-
-@query("retain_holds", f"""WITH {_PLAN} SELECT 'pending_correction' AS kind, s.source_id, 'old' || k AS earlier FROM s JOIN z USING (k) WHERE failed AND found
-UNION ALL SELECT DISTINCT 'deciding', s.source_id, 'old' || s.k FROM s JOIN j ON s.k = j.k JOIN z ON z.k = s.k WHERE (s.k % 13 = 0 OR s.k % 22 = 0) AND j.outcome <> 'held' AND j.lev AND NOT (s.fixes AND NOT z.failed)""")
-def retain_holds(spark, sf_dir):
-    return planned(spark, sf_dir)[1]["holds"].select("kind", "source_id", "earlier")
-
-
-@query("retain_receipts", f"""WITH {_PLAN}, n AS (SELECT k, count(*) FILTER (outcome <> 'held') AS done, count(*) AS n FROM j GROUP BY 1)
-SELECT source_id, CASE WHEN asked <> 'accepted' THEN asked WHEN failed THEN 'held' WHEN done > 0 THEN 'ok' WHEN n > 0 THEN 'held' ELSE 'noop' END AS outcome, asked = 'accepted' AND NOT coalesce(failed, false) AND (coalesce(done, 0) > 0 OR n IS NULL) AS receipt FROM s LEFT JOIN z USING (k) LEFT JOIN n USING (k)""")
-def retain_receipts(spark, sf_dir):
-    new = planned(spark, sf_dir)[1]
-    made = new["receipts"].select("source_id", F.lit(True).alias("_r"))
-    return new["sources"].join(made, "source_id", "left").select("source_id", "outcome", F.coalesce("_r", F.lit(False)).alias("receipt"))
+    supports = new["supports"].groupBy("memory_id").agg(F.count_if(F.col("retracted_by").isNull()).alias("n")).join(memories, "memory_id").select(F.lit("supports").alias("kind"), F.col("slug").alias("a"), F.col("payload").alias("b"), "n")
+    holds = new["holds"].select("kind", F.col("source_id").alias("a"), F.col("earlier").alias("b"), F.lit(1).cast("long").alias("n"))
+    made = new["receipts"].select("source_id", F.lit(1).cast("long").alias("_r"))
+    asked = new["sources"].join(made, "source_id", "left").select(F.lit("sources").alias("kind"), F.col("source_id").alias("a"), F.col("outcome").alias("b"), F.coalesce("_r", F.lit(0)).cast("long").alias("n"))
+    return supports.unionByName(holds).unionByName(asked)

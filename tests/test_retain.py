@@ -2,6 +2,7 @@ import pytest
 
 from cairn.operators import retain as RT
 from cairn.plans.store import Conflict, Store
+from cairn.scratch import keep
 
 SOURCES = "source_id string, revision string, request string, source_group string, retracts string, at string"
 CANDIDATES = "source_id string, revision string, candidate string, ord int, slug string, text string, semantics string, subject string, relations array<string>"
@@ -97,7 +98,7 @@ def test_corrections_are_whole_or_nothing(spark, tmp_path):
 def test_supports_of_a_hot_memory_are_limited(spark):
     state = {n: spark.createDataFrame([], s) for n, s in RT.SCHEMAS.items()}
     names = [(f"s{i:03d}", "1", "q", None) for i in range(60)]
-    new = RT.plan(state, sources(spark, *names), candidates(spark, *((s, "1", "a", "p", "Same text", None) for s, *_ in names)), save=lambda df: df.persist())
+    new = RT.plan(state, sources(spark, *names), candidates(spark, *((s, "1", "a", "p", "Same text", None) for s, *_ in names)), save=keep)
     got = outcomes(new["results"])
     assert [got[s, "a"] for s, *_ in names] == ["written"] + ["support_added"] * 7 + ["support_limit"] * 52
     assert new["memories"].count() == 1 and new["supports"].count() == 8
