@@ -16,7 +16,7 @@ from cairn.llm.common import bound_batches, kept, parts, save
 from cairn.llm.tokens import SPACE, _byte_symbols
 
 #: Bytes of text in a block; every block asks once for each of its different segments.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 12 << 20
 #: Requests that are answered at once; segments encoded at once; segments of documents whose pairs are counted at once.
 ANSWERED, ENCODED, COUNTED = 1 << 17, 1 << 14, 1 << 19
 #: The most shards of segments, and alignments that a task remembers of one; past that many it forgets them and goes on.
