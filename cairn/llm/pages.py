@@ -31,6 +31,12 @@ STRONG = re.compile(r"(^|[\s_-])(ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*
 WEAK = re.compile(r"(^|[\s_-])(notice\w*|alert|sidebar\w*|side-bar|menu\w*|nav|navbar|navigation|breadcrumb\w*|pager|pagination|footer|share|sharing|social\w*|subscribe|signup|login|search|widget\w*|complementary|contentinfo|toolbar|skip-link)($|[\s_-])", re.I)
 #: Words that mark it outside an article only; within, they hold its own headline.
 OUTSIDE = re.compile(r"(^|[\s_-])(header|masthead|topbar)($|[\s_-])", re.I)
+#: What may follow such a word in the name of a box; other words make another meaning (related-work, copyright-law).
+_BOX = r"(?:[-_](?:slot|box|unit|container|wrapper|wrap|list|section|area|block|inner|banner|form|thread|item|items|content|body|bar|panel|link|links|post|posts|buttons?|icons?|text|\d+))*$"
+#: Inside an article a whole class, id or role has to say what an element is: adverts, notices, menus and reader comments whatever they hold,
+INNER = re.compile(r"(ad|ads|advert\w*|adbox|adslot|banner|sponsor\w*|promo\w*|cookie\w*|consent|gdpr|comments?|commentlist|disqus\w*|replies|newsletter|subscription|popup|modal|overlay|notices?|alerts?|share|sharing|sidebar|side-bar|menu|nav|navbar|navigation|breadcrumbs?|pager|pagination|login|signup|toolbar|skip-link)" + _BOX, re.I)
+#: and these if most of their text is links.
+LINKED = re.compile(r"(related|recommend\w*|respond|discussion|copyright|footer|social\w*|subscribe|search|widget\w*|complementary|contentinfo)" + _BOX, re.I)
 #: Damping of what lies below a presentation node; a leaf below LOW is noise, unless it is plain
 #: prose in a branch of importance KEEP.
 DAMPING, LOW, KEEP = 0.9, 0.3, 0.5
@@ -39,11 +45,11 @@ SALTS = 16
 
 
 class Node:
-    __slots__ = ("depth", "has", "hidden", "label", "mark", "parent", "parts", "path", "size", "spared", "tag", "up")
+    __slots__ = ("depth", "has", "hidden", "label", "links", "mark", "parent", "parts", "path", "size", "spared", "tag", "up")
 
     def __init__(self, tag: str, mark: str, label: str, parent: Node | None):
         self.tag, self.mark, self.label, self.parent, self.parts, self.hidden, self.spared = tag, mark, label, parent, [], False, False
-        self.size, self.has = 0, False
+        self.size, self.links, self.has = 0, 0, False
         # the nearest block around, and the style path of blocks as one hash: inline marks are no nodes of the style tree
         self.up = None if parent is None else parent if parent.parent is None or parent.tag in BLOCK else parent.up
         block = tag in BLOCK or parent is None
@@ -123,6 +129,7 @@ def parse(html: str | None) -> Node:
                 n.size += len(x.strip())
             elif not x.hidden and x.tag not in NEVER:
                 n.size += x.size
+                n.links += x.size if x.tag == "a" else x.links
                 n.has = n.has or x.has or x.tag == "main" or (x.tag == "article" and not _named(x))
     return root
 
@@ -141,6 +148,9 @@ def _furniture(n: Node, inside: bool) -> bool:
         return True
     if not n.mark or n.tag in ("html", "body", "main"):
         return False
+    if inside:  # a section of the article is never judged by part of its name, and a paragraph by none
+        names = [] if n.tag in PROSE else n.mark.split()
+        return any(map(INNER.match, names)) or (2 * n.links > n.size and any(map(LINKED.match, names)))
     if STRONG.search(n.mark):
         return True
     weak = WEAK.search(n.mark) or (not inside and OUTSIDE.search(n.mark))

@@ -218,3 +218,16 @@ def test_pages_awkward_rows(spark):
     got = pages.extract_pages(spark.createDataFrame(rows, kind)).collect()
     assert len(got) == 5 and sum(r["text"] == "" and r["n_chars"] == 0 for r in got) == 2
     assert pages.extract_pages(spark.createDataFrame([], kind)).count() == 0
+
+
+@pytest.mark.parametrize("part", ['<section id="discussion">{}</section>', '<section class="related-work">{}</section>', '<div class="social-history">{}</div>', '<div id="respond">{}</div>', '<div class="search-engines"><h2>{}</h2></div>'])
+def test_sections_of_an_article_stay_whatever_their_names(part):
+    inner = part.format("Long prose of the article that stays here. " * 5)
+    text = " ".join(["Long prose of the article that stays here."] * 5)
+    assert pages.extract(f"<nav>menu</nav><article><h1>Title</h1>{inner}</article>") == f"Title\n{text}"
+    assert pages.extract(f"<article>{inner}<p>End.</p></article><footer>x</footer>") == f"{text}\nEnd."
+
+
+def test_marked_paragraphs_of_an_article_stay_and_its_boxes_go():
+    page = '<article><h2 id="respond">How cells respond</h2><p class="copyright-law">Law.</p><p class="ad">Plain.</p><div class="ad-slot">Buy</div><div id="comments"><p>Me first</p></div><div class="related-posts"><a href="x">More</a></div><div class="share">on <a href="y">that site of ours</a></div><p>End.</p></article>'
+    assert pages.extract(page) == "How cells respond\nLaw.\nPlain.\nEnd."
