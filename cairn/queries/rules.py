@@ -208,7 +208,7 @@ def overlap_ratio(spark, sf_dir):
 _HELD = X.stop_words(["erth", "the thbles", "A+B"])
 
 
-@query("stop_words", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{_HELD}')")
+@query("stop_words", f"SELECT doc_id FROM documents WHERE regexp_matches(text, '(?i)(^|[^\\p{{L}}\\p{{N}}])(erth|the[\\s_-]+thbles|A\\+B)($|[^\\p{{L}}\\p{{N}}])')")
 def stop_word_query(spark, sf_dir):
     return read(spark, sf_dir, "documents", "doc_id", "text").filter(F.col("text").rlike(_HELD)).select("doc_id")
 
