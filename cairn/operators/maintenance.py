@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cairn.scratch import parts
+
 #: Rows of a block in one bucket: a task holds two buckets at a time.
 BUCKET = 1024
 
@@ -112,9 +114,15 @@ def unsearchable(documents: DataFrame, chunks: DataFrame, key: str) -> DataFrame
 
 
 def shared_paths(items: DataFrame, item: str, path: str) -> DataFrame:
-    """(a, b, paths): work items that touch a path in common."""
-    x, y = (items.select(path, F.col(item).alias(n)) for n in ("a", "b"))
-    return x.join(y, path).filter("a < b").groupBy("a", "b").agg(F.count_distinct(path).alias("paths"))
+    """(a, b, paths): work items that touch a path in common.
+
+    An item counts once a path before pairs are made, so these are only counted; tasks are as
+    many as the rows ask for, so that what one holds does not grow with them.
+    """
+    n = parts(items)
+    once = items.select(path, item).repartition(n, path).distinct()
+    x, y = (once.select(path, F.col(item).alias(c)) for c in ("a", "b"))
+    return x.join(y, path).filter("a < b").select("a", "b").repartition(n, "a", "b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("paths"))
 
 
 def reserve(items: DataFrame, cost: str, budget: float, order: list) -> DataFrame:

@@ -32,3 +32,12 @@ def keep(df: DataFrame) -> DataFrame:
     path = f"{folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows to a task, about, where memory must not grow with the input.
+ROWS = 1 << 20
+
+
+def parts(rows: DataFrame, each: int = ROWS) -> int:
+    """Partitions of about ``each`` rows, and no fewer than the session's: given as a number they are not put together by their bytes."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // each))

@@ -21,3 +21,21 @@ def test_conflicts_of_a_hot_subject_by_blocks(spark, block):
     want = sorted((r.s, r.x, r.y) for r in tried.filter(conflicts(F.col("v"), F.col("w"))).collect())
     got = cross_page_conflicts(df, block=block).collect()
     assert want and sorted((r.subject, r.id_a, r.id_b) for r in got) == want
+
+
+def test_shared_paths_in_tasks_by_rows(spark, monkeypatch):
+    from cairn.operators import maintenance
+
+    monkeypatch.setattr(maintenance, "parts", lambda rows: 37)
+    rng = random.Random(4)
+    rows = [(rng.randrange(6), rng.randrange(40)) for _ in range(300)] + [(None, 1), (2, None)] + [(1, 1)] * 5
+    df = maintenance.shared_paths(spark.createDataFrame(rows, "item int, path int"), "item", "path")
+    want = {}
+    for p in range(40):
+        held = sorted({i for i, q in rows if q == p and i is not None})
+        for a in held:
+            for b in held:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert {(r.a, r.b): r.paths for r in df.collect()} == want
+    assert df.rdd.getNumPartitions() == 37  # small partitions are not put together
