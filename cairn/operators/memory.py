@@ -6,17 +6,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cairn.functions.text import numbers
+from cairn.scratch import parts
 
 #: Claims are this long, in characters.
 CLAIM = (3, 500)
 
 
 def clean_facts(candidates: DataFrame, lines: DataFrame, most: int = 40) -> DataFrame:
-    """Candidates (page, line, claim, confidence) whose line may be mined, of a fit length, once for each (line, lower-cased claim), at most ``most`` a page."""
-    fit = candidates.filter(F.length(F.trim("claim")).between(*CLAIM)).join(lines.filter("eligible").select("page", "line"), ["page", "line"], "left_semi")
+    """Candidates (page, line, claim, confidence) whose line may be mined, of a fit length, once for each (line, lower-cased claim), at most ``most`` a page. Tasks are as many as the rows ask for."""
+    n = parts(candidates)
+    on = lines.filter("eligible").select("page", "line").repartition(n, "page", "line")
+    fit = candidates.select("page", "line", "claim", "confidence").filter(F.length(F.trim("claim")).between(*CLAIM)).repartition(n, "page", "line").join(on, ["page", "line"], "left_semi")
     once = fit.groupBy("page", "line", F.lower(F.trim("claim")).alias("_k")).agg(F.max_by(F.struct("claim", "confidence"), F.struct("confidence", "claim")).alias("x")).select("page", "line", "x.*")
     order = Window.partitionBy("page").orderBy(F.col("confidence").desc(), "line", "claim")
-    return once.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
+    return once.repartition(n, "page").withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= most).drop("_n")
 
 
 def protected_values(text: Column) -> Column:

@@ -39,3 +39,14 @@ def test_shared_paths_in_tasks_by_rows(spark, monkeypatch):
                     want[a, b] = want.get((a, b), 0) + 1
     assert {(r.a, r.b): r.paths for r in df.collect()} == want
     assert df.rdd.getNumPartitions() == 37  # small partitions are not put together
+
+
+def test_clean_facts_in_tasks_by_rows(spark, monkeypatch):
+    from cairn.operators import memory
+
+    monkeypatch.setattr(memory, "parts", lambda rows: 37)
+    c = spark.createDataFrame([(p, n, f" Claim {n % 3} ", n / 10) for p in range(20) for n in range(5)] * 2, "page long, line long, claim string, confidence double")
+    lines = c.select("page", "line").withColumn("eligible", F.col("line") != 4)  # repeated lines
+    df = memory.clean_facts(c, lines, 2)
+    assert sorted((r.page, r.line) for r in df.collect()) == sorted((p, n) for p in range(20) for n in (2, 3))
+    assert df.rdd.getNumPartitions() == 37
