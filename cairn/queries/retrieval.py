@@ -8,6 +8,7 @@ from cairn.functions.text import content_words, estimated_tokens, light_stem, te
 from cairn.operators import retrieval as R
 from cairn.operators.filters import recall_filter
 from cairn.registry import query
+from cairn.scratch import keep
 from cairn.sources.tables import read
 
 QUERY = "the ontion erth"
@@ -136,7 +137,7 @@ def score_normalize(spark, sf_dir):
 t AS (SELECT doc_id, row_number() OVER (ORDER BY rank) - 1 AS i, count(*) OVER () AS n FROM bm WHERE rank > 10)
 SELECT doc_id, round(ns, 9) AS score, true AS judged FROM j UNION ALL SELECT doc_id, round(fl * (n - i) / (n + 1), 9), false FROM t, f""")
 def tail_rescale(spark, sf_dir):
-    hits = lexical(spark, sf_dir)
+    hits = keep(lexical(spark, sf_dir))  # few rows that are read several times
     judged = hits.filter("rank <= 10").select("doc_id", (F.lit(1.0) / (1 + F.col("rank"))).alias("new_score"))
     return R.tail_rescale(hits, judged, "doc_id").withColumn("score", F.round("score", 9))
 

@@ -50,3 +50,10 @@ def test_clean_facts_in_tasks_by_rows(spark, monkeypatch):
     df = memory.clean_facts(c, lines, 2)
     assert sorted((r.page, r.line) for r in df.collect()) == sorted((p, n) for p in range(20) for n in (2, 3))
     assert df.rdd.getNumPartitions() == 37
+
+
+def test_tail_rescale_reads_the_documents_once(spark, data):
+    from cairn.queries import QUERIES
+
+    plan = QUERIES["tail_rescale"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "text" not in plan  # scores are read again, not made again
