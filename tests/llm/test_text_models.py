@@ -472,3 +472,29 @@ def test_quality_awkward_rows(spark):
     free = quality.score(docs, labels.limit(0)).collect()
     assert all(r["kept"] == (r["n_scored"] > 0) for r in free)
     assert F is not None
+
+
+def test_latent_words_come_from_all_documents(spark, monkeypatch):
+    import numpy as np
+
+    from cairn.llm import decontam
+
+    monkeypatch.setattr(decontam, "FIT_DOCS", 0)  # none is in the start
+    rng = np.random.default_rng(8)
+    topics = [[f"t{k}w{i}" for i in range(12)] for k in range(6)]
+    rows = [(i, " ".join(rng.choice(topics[i % 6], 70))) for i in range(120)]
+    items = [" ".join(w for t in topics for w in t)]
+    docs = spark.createDataFrame([*rows, (500, None), (501, "")], "doc_id long, text string").repartition(3)
+    each = decontam.words_of(items)
+    known, total = decontam.weigh(docs, np.unique(np.concatenate(each)))
+    v = decontam.latent_words(docs, known, [known.find(w)[0] for w in each], total, rank=6)
+    a = []
+    for t in [*(t for _, t in rows), *items]:
+        at, weight = known.find(decontam.words(t))
+        for k in range(0, len(at), 16):
+            x = np.zeros(len(known.known))
+            np.add.at(x, at[k : k + 32], weight[k : k + 32])
+            a.append(x / np.sqrt((weight[k : k + 32] ** 2).sum()))
+    a = np.array(a)
+    size = np.linalg.svd(a, compute_uv=False)
+    assert np.linalg.norm(a @ v) ** 2 >= 0.95 * (size[:6] ** 2).sum()
