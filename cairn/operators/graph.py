@@ -42,14 +42,17 @@ def build(nodes: Sequence[DataFrame], edges: Sequence[DataFrame]) -> tuple[DataF
     return n, e.select("id", "from_node", "to_node", "relation", "confidence")
 
 
-def degrees(edges: DataFrame) -> DataFrame:
-    """(node, degree): incident edges, each counted once."""
+def degrees(edges: DataFrame, built: bool = False) -> DataFrame:
+    """(node, degree): incident edges, each counted once. Those that build() gives have each id once, and are counted where they are."""
+    if built:
+        both = F.when(F.col("from_node") == F.col("to_node"), F.array("from_node")).otherwise(F.array("from_node", "to_node"))
+        return edges.select(F.explode(both).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
     ends = edges.select(F.col("from_node").alias("node"), "id").unionByName(edges.filter("from_node <> to_node").select(F.col("to_node").alias("node"), "id"))
     return ends.groupBy("node").agg(F.count_distinct("id").alias("degree"))
 
 
-def hubs(edges: DataFrame, more_than: int = FAN_OUT) -> DataFrame:
-    return degrees(edges).filter(F.col("degree") > more_than)
+def hubs(edges: DataFrame, more_than: int = FAN_OUT, built: bool = False) -> DataFrame:
+    return degrees(edges, built).filter(F.col("degree") > more_than)
 
 
 def _adjacent(frontier: DataFrame, edges: DataFrame, direction: str, fan_out: int) -> DataFrame:

@@ -56,7 +56,7 @@ def graph_edges(spark, sf_dir):
 @query("graph_hubs", f"""WITH e AS ({_EDGES}), n AS (SELECT from_node AS node, id FROM e UNION ALL SELECT to_node, id FROM e WHERE from_node <> to_node)
 SELECT node, count(DISTINCT id)::BIGINT AS degree FROM n GROUP BY 1 HAVING count(DISTINCT id) > 50""")
 def graph_hubs(spark, sf_dir):
-    return G.hubs(star(spark, sf_dir)[1])
+    return G.hubs(star(spark, sf_dir)[1], built=True)
 
 
 def _bfs(hops: int, fan: int = 50, limit: int = 30) -> str:

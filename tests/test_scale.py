@@ -57,3 +57,13 @@ def test_tail_rescale_reads_the_documents_once(spark, data):
 
     plan = QUERIES["tail_rescale"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "text" not in plan  # scores are read again, not made again
+
+
+def test_degrees_of_built_edges_need_no_ids(spark):
+    from cairn.operators import graph as G
+
+    rows = spark.createDataFrame([("a", "b"), ("a", "b"), ("a", "a"), ("b", "c"), ("c", "z")], "f string, t string")
+    nodes = spark.createDataFrame([("a",), ("b",), ("c",)], "id string")
+    edges = G.build([nodes], [G.edges_of(rows, F.col("f"), F.col("t"), "about")])[1]
+    got = G.degrees(edges, built=True)
+    assert {r.node: r.degree for r in got.collect()} == {r.node: r.degree for r in G.degrees(edges).collect()} == {"a": 2, "b": 2, "c": 1}
