@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -498,3 +499,33 @@ def test_latent_words_come_from_all_documents(spark, monkeypatch):
     a = np.array(a)
     size = np.linalg.svd(a, compute_uv=False)
     assert np.linalg.norm(a @ v) ** 2 >= 0.95 * (size[:6] ** 2).sum()
+
+
+@pytest.mark.parametrize("together", [1, 700, 1 << 20])
+def test_only_texts_with_a_candidate_are_compared_one_by_one(monkeypatch, together):
+    rng = np.random.default_rng(6)
+    say = lambda n, hi: " ".join(f"w{i}" for i in rng.integers(0, hi, n))
+    items = [{"item_id": i, "text": say(n, 300)} for i, n in enumerate((9, 20, 40, 150))]
+    texts = ["", *(" ".join(f"x{i}" for i in rng.integers(0, 5000, 60)) for _ in range(80)), "", *(say(50, 9) + " " + r["text"] + " " + say(30, 9) for r in items), say(400, 300), ""]
+    each = decontam.words_of([r["text"] for r in items])
+    known = decontam.Words(w := np.unique(np.concatenate(each)), np.full(len(w), 3, np.float32), np.full(decontam.SLOTS, 4, np.float32), decontam._slots_of(w))
+    blocks = decontam.prepare(items, known)
+    want, one, calls = [], decontam._search, []
+    for t in texts:
+        v, weight = known.find(decontam.words(t))
+        energy = weight.astype(np.float64) ** 2
+        want.append({b.ids[j]: (c, s) for b in blocks for j, c, s in (one(v, energy, np.concatenate([[0.0], np.cumsum(energy)]), b, decontam.COSINE) if len(v) else [])})
+    monkeypatch.setattr(decontam, "TOGETHER", together)
+    monkeypatch.setattr(decontam, "_search", lambda *a: calls.append(1) or one(*a))
+    got = [{i: (c, s) for i, c, s in hits} for hits in decontam.search(texts, known, blocks)]
+    assert got == want and [i in got[82 + i] for i in range(4)] == [True] * 4
+    assert len(calls) <= 5 * len(blocks)  # none for the other 83 texts
+
+
+def test_sums_of_runs_of_any_length():
+    rng = np.random.default_rng(7)
+    table = rng.standard_normal((50, 5))
+    sizes = np.array([1, 16, 17, 3, 4000, 256, 257, 1])
+    index = rng.integers(0, 50, sizes.sum())
+    begin = np.cumsum(sizes) - sizes
+    assert np.allclose(decontam._sums(table, index, begin), np.add.reduceat(table[index], begin, axis=0))
