@@ -121,3 +121,25 @@ def test_two_writers(spark, tmp_path):
     assert store.version() == 2
     got = [(r["source_id"], r["outcome"]) for r in store.table("results").collect()]
     assert sorted(got) == [("s", "written"), ("t", "support_added")]
+
+
+def test_only_candidates_with_relations_go_through_the_rounds(spark):
+    state = {n: spark.createDataFrame([], s) for n, s in RT.SCHEMAS.items()}
+    sizes = []
+
+    def save(df):
+        out = keep(df)
+        sizes.append((out.count(), out.columns))
+        return out
+
+    n = 400
+    chain = [("s", "1", f"r{i}", "p", f"Step {i}", [f"r{i - 1}", "plain1"] if i else ["plain0"]) for i in range(4)]
+    circle = [("s", "1", "x", "p", "X", ["y"]), ("s", "1", "y", "p", "Y", ["x"]), ("s", "1", "z", "p", "Z", ["plain0", "x"])]
+    plain = [("s", "1", f"plain{i}", f"p{i}", "Same", None if i % 2 else []) for i in range(n)]
+    new = RT.plan(state, sources(spark, ("s", "1", "q", None)), candidates(spark, *plain, *chain, *circle), save=save)
+    got = outcomes(new["results"])
+    assert [got["s", c] for c in ("r0", "r1", "r2", "r3", "x", "y", "z")] == ["written"] * 4 + ["relation"] * 3
+    assert all(got["s", f"plain{i}"] == "written" for i in range(n))
+    whole = [c for rows, c in sizes if rows >= n]
+    # candidates, first ones of each memory, placed, the least numbers, judged, done: none of the rounds
+    assert len(whole) <= 6 and sum("receipt" in c for c in whole) <= 1
