@@ -33,6 +33,10 @@ def prose_eligible(view: Column, wanted: str) -> Column:
     return F.lit(True) if wanted == "all" else view == wanted
 
 
+#: Lines, about, that the rows of pages are handed on together by.
+TOGETHER = 4096
+
+
 def discourse(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, line, status, view, reason, frame, source_hash) of each line that says something, by functions.discourse.scopes().
 
@@ -54,14 +58,27 @@ def discourse(pages: DataFrame, key: str, text: str = "text") -> DataFrame:
         names = [key, "line", "status", "view", "reason", "frame", "source_hash"]
         types = [pa.int32(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
         for batch in batches:
-            for at, page in enumerate(batch.column(1)):
+            at: list[int] = []
+            held: list[list] = [[] for _ in types]
+
+            def made(batch, at, held):
+                own = batch.column(0).take(pa.array(at, pa.int64()))
+                return pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip(held, types, strict=True))], names)
+
+            for i, page in enumerate(batch.column(1)):
                 if (body := page.as_py()) is None:
                     continue
-                rows = scopes(body, front_matter(body)[1])
+                if not (rows := scopes(body, front_matter(body)[1])):
+                    continue
                 sha = hashlib.sha256(body.encode("utf-8", "surrogatepass")).hexdigest()
-                columns = [*map(list, zip(*rows, strict=True))] if rows else [[]] * 5
-                own = batch.column(0).take(pa.array([at] * len(rows), pa.int64()))
-                yield pa.RecordBatch.from_arrays([own, *(pa.array(c, t) for c, t in zip([*columns, [sha] * len(rows)], types, strict=True))], names)
+                at += [i] * len(rows)
+                for c, more in zip(held, [*zip(*rows, strict=True), [sha] * len(rows)], strict=True):
+                    c.extend(more)
+                if len(at) >= TOGETHER:
+                    yield made(batch, at, held)
+                    at, held = [], [[] for _ in types]
+            if at:
+                yield made(batch, at, held)
 
     return pages.select(F.col(key), F.col(text).cast("string").alias("_text")).mapInArrow(run, f"`{key}` {kind}, line int, status string, view string, reason string, frame array<int>, source_hash string")
 

@@ -123,3 +123,39 @@ def test_discourse_of_awkward_pages(spark):
     got = discourse(spark.createDataFrame(rows, "id int, text string").withColumnRenamed("id", "a b"), "a b").collect()
     assert [(r["a b"], r["line"], r["view"]) for r in got if r["line"] == 4 and r["view"] == "factual"] == [(3, 4, "factual")]
     assert sum(r["a b"] == 3 for r in got) == 3002 and sum(r["a b"] is None for r in got) == 1
+
+
+def test_plain_lines_and_repeated_titles_try_no_family(monkeypatch):
+    import itertools
+
+    from cairn.functions import discourse as D
+
+    lines = "if|SUPPOSE x|assuming|hypothetical|counterfactual|what if|would have|it was rejected|Cancelled|canceled|not decided|not accepted|did not choose|might|maybe|Perhaps|possibly|probably|suspect|uncertain|tentative|would|could|User: x|- **system**: y|external:|Anna Lee: x|> Anna Lee: x|he said|says|reported|reports|according to|quoted|quotation|> x|\"x|plan to|plans to|planned to|planning to|propose|proposed|proposal|intend to|intends to|- [ ] x|really?|ſuppoſe|если|сказал|Order 7 has state F.|plain|".split("|")
+    whole = lambda t: next(((v, r) for v, r, p in (*D._FIRST, *D._LATER) if p.search(t)), D.FACTUAL)
+    tried = [f.format(t) for t, f in itertools.product(lines, ("{}", "The {}", "{} then.", "  {}"))]
+    assert [D.line_meaning(t) for t in tried] == [whole(t) for t in tried]
+    assert sum(D.line_meaning(t) != D.FACTUAL for t in lines) > 40
+
+    assert D.heading_meaning("Plans of the tenth year") == ("planning", "heading_scope")
+
+    class Never:
+        def search(self, text):
+            raise AssertionError(text)
+
+    for name in ("_FIRST", "_HEADING", "_LATER"):
+        monkeypatch.setattr(D, name, [("x", "x", Never())])
+    assert D.line_meaning("Order 7 has state F.") == D.FACTUAL
+    assert D.heading_meaning("Plans of the tenth year") == ("planning", "heading_scope")
+
+
+def test_rows_of_pages_are_handed_on_together(spark, monkeypatch):
+    from cairn.operators import prose as P
+
+    pages = [(i, None if i % 7 == 3 else "" if i % 7 == 5 else f"# Plans\n\nOne {i}.\n\nTwo.") for i in range(60)]
+    df = spark.createDataFrame(pages, "id long, text string").coalesce(1)
+    want = sorted((i, n) for i, t in pages if t for n in (1, 3, 5))
+    for most in (1, 8, 4096):
+        monkeypatch.setattr(P, "TOGETHER", most)
+        assert sorted((r.id, r.line) for r in P.discourse(df, "id").collect()) == want
+    batches = P.discourse(df, "id").select("id").mapInArrow(lambda bs: bs, "id long")
+    assert batches.count() == len(want)
