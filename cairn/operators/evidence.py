@@ -108,17 +108,19 @@ def best_fact_per_line(facts: DataFrame, page: str = "page", line: str = "line",
     return best
 
 
-def replay(ledger: DataFrame, requests: DataFrame, keys: Sequence[str], digest: str, order: str) -> DataFrame:
+def replay(ledger: DataFrame, requests: DataFrame, keys: Sequence[str], digest: str, order: str, more: Sequence[str] = ()) -> DataFrame:
     """requests with ``outcome`` accepted, replay or conflict, against the ledger and each other.
 
     The first request of a key is accepted unless the ledger has the key; another with the same
-    digest replays it, with a different one it conflicts. Keys never expire.
+    digest replays it, with a different one it conflicts. Keys never expire. Where ``more`` names
+    columns of requests, these and the digest are returned too.
     """
     w = Window.partitionBy(*keys).orderBy("_then", order)
-    both = ledger.select(*keys, digest, F.lit(None).cast(requests.schema[order].dataType).alias(order), F.lit(0).alias("_then")).unionByName(requests.select(*keys, digest, order, F.lit(1).alias("_then")))
+    void = [F.lit(None).cast(requests.schema[c].dataType).alias(c) for c in (order, *more)]
+    both = ledger.select(*keys, digest, *void, F.lit(0).alias("_then")).unionByName(requests.select(*keys, digest, order, *more, F.lit(1).alias("_then")))
     held = both.withColumn("_first", F.first(digest).over(w)).withColumn("_n", F.row_number().over(w))
     outcome = F.when(F.col("_n") == 1, "accepted").when(F.col(digest) == F.col("_first"), "replay").otherwise("conflict")
-    return held.withColumn("outcome", outcome).filter("_then = 1").select(*keys, order, "outcome")
+    return held.withColumn("outcome", outcome).filter("_then = 1").select(*keys, order, *([digest, *more] if more else []), "outcome")
 
 
 def retract(supports: DataFrame, retractions: DataFrame) -> DataFrame:

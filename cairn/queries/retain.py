@@ -59,7 +59,7 @@ j AS (SELECT h.*, failed, CASE WHEN failed THEN 'held' ELSE o1 END AS outcome, C
 
 @query("retain_results", f"WITH {_PLAN} SELECT source_id, 'o' || n AS candidate, outcome, reason FROM j")
 def retain_results(spark, sf_dir):
-    return planned(spark, sf_dir)[1]["results"].select("source_id", "candidate", "outcome", "reason")
+    return RT.judge(*inputs(spark, sf_dir), keep)["results"].select("source_id", "candidate", "outcome", "reason")
 
 
 @query("retain_state", f"""WITH {_PLAN}, m AS (SELECT slug, payload, count(*) AS n FROM j WHERE outcome <> 'held' GROUP BY 1, 2),

@@ -143,3 +143,32 @@ def test_only_candidates_with_relations_go_through_the_rounds(spark):
     whole = [c for rows, c in sizes if rows >= n]
     # candidates, first ones of each memory, placed, the least numbers, judged, done: none of the rounds
     assert len(whole) <= 6 and sum("receipt" in c for c in whole) <= 1
+
+
+def test_candidates_are_dealt_out_and_written_once(spark):
+    state = {n: spark.createDataFrame([], s) for n, s in RT.SCHEMAS.items()}
+    sizes = []
+
+    def save(df):
+        out = keep(df)
+        sizes.append(out.count())
+        return out
+
+    n = 300
+    plain = [("s", "1", f"plain{i}", "p", "Same", None) for i in range(n)]
+    odd = [("s", "1", "null", "p", "N", [None]), ("s", "1", "both", "p", "B", ["plain0", None]), ("s", "1", "twice", "p", "Rent: 7", ["plain0", "plain0"]), ("s", "1", "row", "p", "| Rent | 8 |", ["plain1"]), ("s", "1", "late", "p", "L", ["plain9"])]
+    odd += [("s", "1", "plain3", "p", "", None), ("t", "1", "lost", "p", "Other", ["plain0"])]
+    new = RT.judge(state, sources(spark, ("s", "1", "q", None), ("t", "1", "q", "0")), candidates(spark, *plain, *odd), save)
+    got = sorted((r["candidate"], r["reason"] or r["outcome"]) for r in new["results"].collect() if not r["candidate"].startswith("plain") or r["outcome"] == "duplicate")
+    assert got == [("both", "relation"), ("late", "relation"), ("lost", "relation"), ("null", "relation"), ("plain3", "duplicate"), ("row", "conflict"), ("twice", "written")]
+    assert new["results"].count() == n + len(odd)
+    # only the candidates themselves; what is made of them is as small as the rows with relations or the first ones
+    assert sum(x >= n for x in sizes) == 1
+
+
+def test_a_chain_costs_one_table_a_round(spark):
+    ids = spark.createDataFrame([("s", "1", "c0")], "source_id string, revision string, candidate string")
+    links = spark.createDataFrame([("s", "1", f"c{i}", f"c{i - 1}") for i in range(1, 5)] + [("s", "1", "x", "y"), ("s", "1", "y", "x"), ("t", "1", "c1", "c0")], "source_id string, revision string, candidate string, _to string")
+    saved = []
+    got = RT.retained_closure(ids, links, lambda df: saved.append(1) or keep(df))
+    assert sorted(r["candidate"] for r in got.collect()) == ["c1", "c2", "c3", "c4"] and len(saved) == 5
