@@ -1,8 +1,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from cairn.llm import components as links_of
 from cairn.llm import hyperplanes, minhash
 from cairn.llm.components import components
 from tests.llm.helpers import awkward, empty, near_duplicates
@@ -27,6 +29,43 @@ def test_components_against_union_find(spark):
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
 
 
+def jobs_of(spark, make):
+    """What make() gives, and the number of Spark jobs that it ran."""
+    group = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        return make(), len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_components_take_few_jobs(spark):
+    """Plans, threads and compiled code of every job stay in the driver's memory for a while."""
+    edges = spark.createDataFrame([(i + j, i + j - 1) for i in range(0, 4000, 4) for j in (1, 2, 3)], "u long, v long").repartition(4)
+    got, jobs = jobs_of(spark, lambda: components(edges))
+    assert {(r["node"], r["component"]) for r in got.collect()} == {(k, k - k % 4) for k in range(4000)}
+    assert 0 < jobs <= 40
+
+
+@pytest.mark.parametrize("chunk", [1, 3, 50, 1 << 18])
+def test_forests_keep_components_over_chunks(monkeypatch, chunk):
+    monkeypatch.setattr(links_of, "CHUNK", chunk)
+    rng = np.random.default_rng(chunk)
+    x, y = rng.integers(0, 120, 400), rng.integers(0, 120, 400)
+    links = sorted((int(max(a, b)), int(min(a, b))) for a, b in zip(x, y, strict=True))
+    sides = [pa.array([p[i] for p in links], pa.int64()) for i in (0, 1)]
+    batches = [pa.RecordBatch.from_arrays([s.slice(i, 17) for s in sides], ["u", "v"]) for i in range(0, 400, 17)]
+    out = [p for b in links_of._forests(iter([batches[0].slice(0, 0), *batches])) for p in zip(b.column("u").to_pylist(), b.column("v").to_pylist(), strict=True)]
+    assert len(out) <= len([p for p in links if p[0] != p[1]]) and all(u > v for u, v in out)
+    whole = lambda pairs: dict(zip(*(a.tolist() for a in links_of.forest(*np.array(pairs).T)), strict=True))
+    assert whole(out) == whole(links)
+    root = {k: k for p in links for k in p}
+    for _ in range(120):
+        for a, b in links:
+            root[a] = root[b] = min(root[a], root[b])
+    assert whole(links) == {k: r for k, r in root.items() if k != r}
+
+
 def variants(rng, base, n, edits):
     out = []
     for _ in range(n):
