@@ -23,6 +23,28 @@ def test_conflicts_of_a_hot_subject_by_blocks(spark, block):
     assert want and sorted((r.subject, r.id_a, r.id_b) for r in got) == want
 
 
+def test_conflicts_hold_one_facts_pairs_at_a_time(spark):
+    from cairn.operators.evidence import cross_page_conflicts
+
+    df = spark.range(800).selectExpr("id", "concat('p', id) page", "'hot' subject", "'size' attribute", "concat('about ', id % 2) value")
+    five = cross_page_conflicts(df).limit(5)
+    assert len(five.collect()) == 5
+    node = five._jdf.queryExecution().executedPlan().executedPlan()
+    while not node.nodeName().startswith("Generate"):
+        node = node.plan() if "QueryStage" in node.nodeName() else node.children().head()
+    assert node.metrics().apply("numOutputRows").value() <= 800  # of 160,000 in this cell
+
+
+def test_conflicts_of_shared_pages_and_ids(spark):
+    from cairn.operators.evidence import cross_page_conflicts
+
+    # p has two values, and id 3 is on two pages; neither is in conflict with itself
+    rows = [(1, "p", "s", "a", "1"), (2, "p", "s", "a", "2"), (3, "q", "s", "a", "1"), (3, "r", "s", "a", "2"), (4, None, "s", "a", "3"), (None, "t", "s", "a", "3"), (5, "u", None, "a", "1")]
+    df = spark.createDataFrame(rows, "id long, page string, subject string, attribute string, value string")
+    for block in (1, 2, 4096):
+        assert sorted((r.id_a, r.id_b) for r in cross_page_conflicts(df, block=block).collect()) == [(1, 3), (2, 3)]
+
+
 def test_shared_paths_in_tasks_by_rows(spark, monkeypatch):
     from cairn.operators import maintenance
 
